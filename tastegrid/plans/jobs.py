@@ -18,10 +18,9 @@ from tastegrid.operators.factors import factors_by_category as join_factors
 from tastegrid.operators.factors import project_2d, wide_factors, with_category_name
 from tastegrid.operators.interactions import rated_pairs
 from tastegrid.operators.sampling import plot_points, resample_percent
-from tastegrid.operators.skew import heavy_keys
 from tastegrid.plans.evaluate import evaluate
 from tastegrid.plans.grid import GridResult, grid_search
-from tastegrid.plans.split import assign_parts, keep_warm
+from tastegrid.plans.split import split_interactions
 from tastegrid.sources.files import (
     counts_schema,
     read_category_map,
@@ -34,7 +33,7 @@ from tastegrid.sources.files import (
     write_parquet,
     write_wide_csv,
 )
-from tastegrid.sources.workspace import cut, fresh_path
+from tastegrid.sources.workspace import cut
 
 
 def split(
@@ -45,12 +44,8 @@ def split(
     The labeled rows are stored once, by part; the item set of train then comes from
     one column of the stored table instead of a second run of the split.
     """
-    rows = read_parquet(spark, interactions)
-    heavy_items = heavy_keys(rows, ["item_id"], cfg.skew)
-    staged = fresh_path(spark, "labeled")
-    write_parquet(assign_parts(rows, cfg), staged, ["part"])
-    labeled = read_parquet(spark, staged).select(*rows.columns, "part")
-    for name, part in zip(("train", "val", "test"), keep_warm(labeled, heavy_items)):
+    parts = split_interactions(read_parquet(spark, interactions), cfg, store=True)
+    for name, part in zip(("train", "val", "test"), parts):
         write_parquet(part, f"{out}/{name}")
 
 
@@ -75,7 +70,7 @@ def train_eval(
         save_model(result.model, f"{out}/model")
         write_parquet(result.model.itemFactors, f"{out}/item_factors")
         if report_on is not None:
-            pairs = rated_pairs(read_parquet(spark, report_on), ev.min_rating)
+            pairs = cut(rated_pairs(read_parquet(spark, report_on), ev.min_rating))
             write_parquet(evaluate(result.model, rows, pairs, ev), f"{out}/report")
     return result
 

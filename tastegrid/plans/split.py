@@ -32,7 +32,8 @@ from tastegrid.operators.skew import (
     heavy_from_counts,
     heavy_keys,
 )
-from tastegrid.sources.workspace import cut
+from tastegrid.sources.files import read_parquet, write_parquet
+from tastegrid.sources.workspace import cut, fresh_path
 
 TRAIN, VAL, TEST = "train", "val", "test"
 COPIES = "_copies"
@@ -136,8 +137,11 @@ def ordinals(df: DataFrame, users: DataFrame, cfg: SplitConfig) -> DataFrame:
     )
     place = F.coalesce(F.sum(layout.weight).over(earlier), F.lit(0))
     kept = [F.col(f"`{c}`") for c in layout.rows.columns if c != BUCKET]
+    # One row per user and bucket makes a small hash table per task, and the rows are
+    # sorted only once, for the window.
+    starts = layout.starts.hint("shuffle_hash")
     return (
-        layout.rows.join(layout.starts, ["user_id", BUCKET])
+        layout.rows.join(starts, ["user_id", BUCKET])
         .withColumn(DIGEST, digest("shuffle", cfg.shuffle_seed, layout.keys))
         .withColumn("ordinal", F.col("before") + place)
         .select(*kept, "part", "ordinal")
@@ -194,13 +198,25 @@ def keep_warm(
     return train, val, test
 
 
+def store_labeled(df: DataFrame, cfg: SplitConfig) -> DataFrame:
+    """The labeled rows as a Parquet table in the shared folder, one folder per part.
+
+    A step that reads one part or one column afterwards touches only that, and the
+    split itself runs once.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, "labeled")
+    write_parquet(assign_parts(df, cfg), path, ["part"])
+    return read_parquet(spark, path).select(*[F.col(f"`{c}`") for c in df.columns], "part")
+
+
 def split_interactions(
-    df: DataFrame, cfg: SplitConfig = SplitConfig()
+    df: DataFrame, cfg: SplitConfig = SplitConfig(), store: bool = False
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Train, val and test with the schema of the input.
 
-    The three frames are lazy and share the labeling; ``jobs.split`` stores the labeled
-    rows first, which is the way to go when all three are wanted.
+    The frames are lazy. With ``store=True`` the labeled rows are written first and all
+    three read from there, the way to go when more than one of them is used.
     """
-    labeled = assign_parts(df, cfg)
+    labeled = store_labeled(df, cfg) if store else assign_parts(df, cfg)
     return keep_warm(labeled, heavy_keys(df, ["item_id"], cfg.skew))

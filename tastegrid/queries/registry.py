@@ -17,7 +17,7 @@ from tastegrid.plans.evaluate import candidates_from_recs, evaluate, evaluate_sc
 from tastegrid.plans.grid import grid_search
 from tastegrid.queries import views
 from tastegrid.sources import files
-from tastegrid.sources.workspace import fresh_path
+from tastegrid.sources.workspace import cut, fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -166,8 +166,8 @@ def warm_items(spark, folder):
     )
 
 
-def _split(spark, folder):
-    return split.split_interactions(views.interactions(spark, folder), views.SPLIT)
+def _split(spark, folder, store=False):
+    return split.split_interactions(views.interactions(spark, folder), views.SPLIT, store)
 
 
 @query
@@ -423,7 +423,7 @@ def ordered_recs(spark, folder):
 
 
 def _eval_fixed(spark, folder, mode):
-    train, _, test = _split(spark, folder)
+    train, _, test = _split(spark, folder, store=True)
     cfg = EvalConfig(mode=mode, k=views.RECS_K)
     pairs = interactions.rated_pairs(test)
     placed = candidates_from_recs(views.fixed_recs(spark, folder), train, pairs, cfg)
@@ -452,7 +452,7 @@ FIT = AlsConfig(rank=10, reg_param=0.1)
 
 
 def _model(spark, folder):
-    train, _, test = _split(spark, folder)
+    train, _, test = _split(spark, folder, store=True)
     return als.fit_als(train, FIT), train, test
 
 
@@ -483,7 +483,7 @@ def als_reload_predict(spark, folder):
 
 def _eval_model(spark, folder, mode):
     model, train, test = _model(spark, folder)
-    pairs = interactions.rated_pairs(test)
+    pairs = cut(interactions.rated_pairs(test))
     return evaluate(model, train, pairs, EvalConfig(mode=mode, k=views.RECS_K))
 
 
@@ -504,7 +504,7 @@ def eval_recs_in_test(spark, folder):
 
 @query
 def als_grid_metrics(spark, folder):
-    train, val, _ = _split(spark, folder)
+    train, val, _ = _split(spark, folder, store=True)
     grid = GridConfig(ranks=(5, 10), reg_params=(0.1,))
     cfg = EvalConfig(mode="all_items", k=views.RECS_K)
     return grid_search(train, val, grid, cfg).metrics
