@@ -36,6 +36,10 @@ class SkewConfig:
     rows_per_task: int = ROWS_PER_TASK
     max_keys: int = MAX_HEAVY_KEYS
 
+    def __post_init__(self) -> None:
+        if self.rows_per_task < 1 or self.max_keys < 1:
+            raise ValueError("rows_per_task and max_keys must be positive")
+
 
 @dataclass(frozen=True)
 class SplitConfig:

@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tastegrid.config import ROWS_PER_TASK, ViewConfig
+from tastegrid.config import MAX_HEAVY_KEYS, ROWS_PER_TASK, ViewConfig
 from tastegrid.functions.hashing import draw
 from tastegrid.operators.ordinals import hash_ordinal
+from tastegrid.sources.workspace import cut
 
 
 def sample_size(rows: int, percent: float) -> int:
@@ -73,10 +74,8 @@ def resample_to_smallest(
     its rows are numbered bucket by bucket, and the draws of all classes come from
     one distributed range. Classes are categories, few by nature.
     """
-    numbered = Window.orderBy(by)
-    classes = (
-        class_sizes(df, by).withColumn("_class", F.row_number().over(numbered) - 1)
-    )
+    numbered = F.row_number().over(Window.orderBy(by)) - 1
+    classes = cut(class_sizes(df, by).withColumn("_class", numbered))
     shape = classes.agg(
         F.count(F.lit(1)).alias("classes"),
         F.coalesce(F.min("n"), F.lit(0)).alias("least"),
@@ -97,7 +96,8 @@ def resample_to_smallest(
         F.floor(F.col("id") / least).cast("int").alias("_class"),
         F.pmod(F.col("id"), F.lit(least)).alias("draw_id"),
     )
-    picked = draws.join(classes, "_class").select(
+    few = shape["classes"] <= MAX_HEAVY_KEYS
+    picked = draws.join(F.broadcast(classes) if few else classes, "_class").select(
         by,
         "draw_id",
         _pick(shape["largest"], seed, [F.col(by), F.col("draw_id")], F.col("n")).alias("ordinal"),

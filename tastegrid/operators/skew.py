@@ -77,13 +77,17 @@ def salted_join(
     Left rows of a heavy key get a salt, right rows of that key are repeated once a
     salt, so every left row meets all its partners exactly once. The salt depends on
     row content and on the partition the row sits in, both of which survive a retry;
-    the partition also separates identical copies.
+    the partition also separates identical copies. Columns come out in the order of
+    the left frame, followed by those of the right.
     """
     keys = list(on or heavy.columns)
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how!r}")
+    semi = how in ("left_semi", "left_anti")
+    rest = [] if semi else [c for c in right.columns if c not in keys]
+    columns = [F.col(f"`{c}`") for c in left.columns + rest]
     if not heavy:
-        return left.join(right, keys, how)
+        return left.join(right, keys, how).select(*columns)
     by = list(heavy.columns)
     hot = heavy.broadcast(left)
     content = F.xxhash64(*[F.col(f"`{c}`") for c in left.columns], F.spark_partition_id())
@@ -98,10 +102,7 @@ def salted_join(
         .withColumn(SALT, F.explode(F.sequence(F.lit(0), last)))
         .drop(SALTS)
     )
-    joined = salted.join(repeated, [*keys, SALT], how).drop(SALT)
-    rest = [c for c in right.columns if c not in keys]
-    extra = [] if how in ("left_semi", "left_anti") else rest
-    return joined.select(*[F.col(f"`{c}`") for c in left.columns + extra])
+    return salted.join(repeated, [*keys, SALT], how).select(*columns)
 
 
 def copies(df: DataFrame, columns: Sequence[str], name: str = "copies") -> DataFrame:

@@ -83,8 +83,8 @@ def evaluate(
 
 def _side_by_side(left: DataFrame, right: DataFrame) -> DataFrame:
     """Two one-row frames as one row."""
-    one = F.lit(1).alias("_one")
-    return left.select(one, "*").join(right.select(one, "*"), "_one").drop("_one")
+    both = left.unionByName(right, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 def evaluate_scores(scored: DataFrame, cfg: EvalConfig = EvalConfig()) -> DataFrame:
