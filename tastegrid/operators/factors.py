@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tastegrid.functions.shapes import array_width, widen_array
+from tastegrid.operators.skew import small
 
 
 def factors_by_category(factors: DataFrame, categories: DataFrame) -> DataFrame:
@@ -30,10 +31,10 @@ def wide_factors(df: DataFrame, width: int | None = None) -> DataFrame:
 def with_category_name(df: DataFrame, cmap: DataFrame) -> DataFrame:
     """Category names by id, null where the map has none.
 
-    Category maps are as small as the list of categories; the size is checked by the
-    optimizer, which broadcasts below its threshold.
+    The few categories would make for few, large join tasks, so the map is broadcast if
+    its size allows.
     """
-    return df.join(cmap, "category_id", "left")
+    return df.join(small(cmap), "category_id", "left")
 
 
 def project_2d(df: DataFrame, columns: list[str]) -> DataFrame:

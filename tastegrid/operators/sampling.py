@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tastegrid.config import MAX_HEAVY_KEYS, ROWS_PER_TASK, ViewConfig
+from tastegrid.config import ROWS_PER_TASK, ViewConfig
 from tastegrid.functions.hashing import draw
 from tastegrid.operators.ordinals import hash_ordinal
+from tastegrid.operators.skew import small
 from tastegrid.sources.workspace import cut
 
 
@@ -96,8 +97,7 @@ def resample_to_smallest(
         F.floor(F.col("id") / least).cast("int").alias("_class"),
         F.pmod(F.col("id"), F.lit(least)).alias("draw_id"),
     )
-    few = shape["classes"] <= MAX_HEAVY_KEYS
-    picked = draws.join(F.broadcast(classes) if few else classes, "_class").select(
+    picked = draws.join(small(classes), "_class").select(
         by,
         "draw_id",
         _pick(shape["largest"], seed, [F.col(by), F.col("draw_id")], F.col("n")).alias("ordinal"),

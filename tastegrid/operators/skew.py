@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tastegrid.config import ROWS_PER_TASK, SkewConfig
+from tastegrid.config import MAX_HEAVY_KEYS, ROWS_PER_TASK, SkewConfig
 
 SALT = "_salt"
 SALTS = "_salts"
@@ -105,6 +105,11 @@ def salted_join(
     return salted.join(repeated, [*keys, SALT], how).select(*columns)
 
 
+def small(df: DataFrame, limit: int = MAX_HEAVY_KEYS) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``limit`` rows, else unchanged."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 def copies(df: DataFrame, columns: Sequence[str], name: str = "copies") -> DataFrame:
     """Identical rows folded into one, with their number."""
     return df.groupBy(*[F.col(f"`{c}`") for c in columns]).agg(F.count(F.lit(1)).alias(name))

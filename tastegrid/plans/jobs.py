@@ -38,15 +38,17 @@ from tastegrid.sources.workspace import cut
 
 def split(
     spark: SparkSession, interactions: str, out: str, cfg: SplitConfig = SplitConfig()
-) -> None:
-    """Write ``train``, ``val`` and ``test`` Parquet tables under ``out``.
+) -> dict[str, str]:
+    """Write the split under ``out`` and return the Parquet paths of the three tables.
 
-    The labeled rows are stored once, by part; the item set of train then comes from
-    one column of the stored table instead of a second run of the split.
+    All rows are written once, by part. The train part is a finished table as it
+    stands; val and test are written again without the items that train lacks.
     """
-    parts = split_interactions(read_parquet(spark, interactions), cfg, store=True)
-    for name, part in zip(("train", "val", "test"), parts):
-        write_parquet(part, f"{out}/{name}")
+    rows = read_parquet(spark, interactions)
+    _, val, test = split_interactions(rows, cfg, store=f"{out}/labeled")
+    write_parquet(val, f"{out}/val")
+    write_parquet(test, f"{out}/test")
+    return {"train": f"{out}/labeled/part=train", "val": f"{out}/val", "test": f"{out}/test"}
 
 
 def train_eval(

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tastegrid.config import SplitConfig
 from tastegrid.functions.hashing import digest, draw, threshold
-from tastegrid.operators.interactions import user_counts, warm_items
+from tastegrid.operators.interactions import distinct_items, user_counts, warm_items
 from tastegrid.operators.ordinals import (
     BUCKET,
     DIGEST,
@@ -33,7 +33,7 @@ from tastegrid.operators.skew import (
     heavy_keys,
 )
 from tastegrid.sources.files import read_parquet, write_parquet
-from tastegrid.sources.workspace import cut, fresh_path
+from tastegrid.sources.workspace import cut
 
 TRAIN, VAL, TEST = "train", "val", "test"
 COPIES = "_copies"
@@ -187,36 +187,41 @@ def merge_train(train: DataFrame, *more: DataFrame) -> DataFrame:
 
 
 def keep_warm(
-    labeled: DataFrame, items: HeavyKeys
+    labeled: DataFrame, heavy_items: HeavyKeys, train_items: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Train, val and test frames; val and test keep only items that train has."""
     train = labeled.where(F.col("part") == TRAIN).drop("part")
+    known = train if train_items is None else train_items
     val, test = (
-        warm_items(labeled.where(F.col("part") == part).drop("part"), train, items)
+        warm_items(labeled.where(F.col("part") == part).drop("part"), known, heavy_items)
         for part in (VAL, TEST)
     )
     return train, val, test
 
 
-def store_labeled(df: DataFrame, cfg: SplitConfig) -> DataFrame:
-    """The labeled rows as a Parquet table in the shared folder, one folder per part.
+def store_labeled(df: DataFrame, cfg: SplitConfig, path: str) -> DataFrame:
+    """The labeled rows as a Parquet table with one folder per part.
 
     A step that reads one part or one column afterwards touches only that, and the
     split itself runs once.
     """
-    spark = df.sparkSession
-    path = fresh_path(spark, "labeled")
     write_parquet(assign_parts(df, cfg), path, ["part"])
-    return read_parquet(spark, path).select(*[F.col(f"`{c}`") for c in df.columns], "part")
+    stored = read_parquet(df.sparkSession, path)
+    return stored.select(*[F.col(f"`{c}`") for c in df.columns], "part")
 
 
 def split_interactions(
-    df: DataFrame, cfg: SplitConfig = SplitConfig(), store: bool = False
+    df: DataFrame, cfg: SplitConfig = SplitConfig(), store: str | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Train, val and test with the schema of the input.
 
-    The frames are lazy. With ``store=True`` the labeled rows are written first and all
-    three read from there, the way to go when more than one of them is used.
+    The frames are lazy. With a ``store`` path the labeled rows are written there first
+    and all three frames read from it, the way to go when more than one is used. The
+    items of train are then collected once, from one column of the stored table.
     """
-    labeled = store_labeled(df, cfg) if store else assign_parts(df, cfg)
-    return keep_warm(labeled, heavy_keys(df, ["item_id"], cfg.skew))
+    if store is None:
+        return keep_warm(assign_parts(df, cfg), heavy_keys(df, ["item_id"], cfg.skew))
+    labeled = store_labeled(df, cfg, store)
+    heavy_items = heavy_keys(labeled.where(F.col("part") != TRAIN), ["item_id"], cfg.skew)
+    train_items = cut(distinct_items(labeled.where(F.col("part") == TRAIN)))
+    return keep_warm(labeled, heavy_items, train_items)

@@ -167,7 +167,8 @@ def warm_items(spark, folder):
 
 
 def _split(spark, folder, store=False):
-    return split.split_interactions(views.interactions(spark, folder), views.SPLIT, store)
+    path = fresh_path(spark, "labeled") if store else None
+    return split.split_interactions(views.interactions(spark, folder), views.SPLIT, path)
 
 
 @query
@@ -246,7 +247,7 @@ def factors_category(spark, folder):
 @query
 def factors_category_name(spark, folder):
     top = _top(spark, folder)
-    cmap = categories.category_map(top).withColumnRenamed("top_category", "category")
+    cmap = cut(categories.category_map(top).withColumnRenamed("top_category", "category"))
     rows = views.factors(spark, folder).select(F.col("id").alias("item_id"), "category_id")
     return factors.with_category_name(rows, cmap)
 

@@ -19,22 +19,23 @@ def test_split_train_profile_and_view(spark, out):
     rows = views.interactions(spark, FOLDER)
     write_parquet(rows, f"{out}/interactions")
     cfg = SplitConfig(row_key=("row_key",))
-    jobs.split(spark, f"{out}/interactions", f"{out}/split", cfg)
-    sizes = {p: read_parquet(spark, f"{out}/split/{p}").count() for p in ("train", "val", "test")}
+    paths = jobs.split(spark, f"{out}/interactions", f"{out}/split", cfg)
+    sizes = {part: read_parquet(spark, path).count() for part, path in paths.items()}
     assert sizes["train"] > sizes["val"] > 0 and sizes["test"] > 0
-    assert read_parquet(spark, f"{out}/split/val").columns == rows.columns
+    for path in paths.values():
+        assert read_parquet(spark, path).columns == rows.columns
     with pytest.raises(Exception, match="(?i)exist"):
         jobs.split(spark, f"{out}/interactions", f"{out}/split", cfg)
 
     grid = GridConfig(ranks=(4,), reg_params=(0.1, 1.0), als=AlsConfig(max_iter=2))
     result = jobs.train_eval(
         spark,
-        f"{out}/split/train",
-        f"{out}/split/val",
+        paths["train"],
+        paths["val"],
         f"{out}/fit",
         grid,
         EvalConfig(mode="test_rows", k=20),
-        report_on=f"{out}/split/test",
+        report_on=paths["test"],
     )
     assert result.best["point"] in (0, 1)
     assert read_parquet(spark, f"{out}/fit/metrics").count() == 2

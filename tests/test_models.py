@@ -19,8 +19,9 @@ FIT = AlsConfig(rank=4, max_iter=3)
 
 
 @pytest.fixture(scope="module")
-def parts(spark):
-    train, val, test = split_interactions(views.interactions(spark, FOLDER), views.SPLIT, True)
+def parts(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("split") / "labeled")
+    train, val, test = split_interactions(views.interactions(spark, FOLDER), views.SPLIT, path)
     return train.persist(), val.persist(), test.persist()
 
 

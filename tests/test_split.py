@@ -91,8 +91,8 @@ def test_without_row_key_copies_are_kept(rows):
     assert bag(assign_parts(copied, cfg)) == bag(plain)
 
 
-def test_warm_items_schema_and_totals(rows, labeled):
-    for store in (False, True):
+def test_warm_items_schema_and_totals(rows, labeled, tmp_path):
+    for store in (None, str(tmp_path / "labeled")):
         train, val, test = split_interactions(rows, KEYED, store)
         assert train.schema.names == val.schema.names == test.schema.names == rows.columns
         assert [f.dataType for f in train.schema] == [f.dataType for f in rows.schema]
