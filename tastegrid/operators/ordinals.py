@@ -17,13 +17,18 @@ from pyspark.sql import functions as F
 from tastegrid.config import ROWS_PER_TASK
 from tastegrid.functions.hashing import DRAW_BITS, digest, leading_bits
 
+ROWS_WORTH_A_TASK = 50_000
 BUCKET = "_bucket"
 DIGEST = "_digest"
 
 
-def bucket_bits(rows: int, rows_per_task: int = ROWS_PER_TASK) -> int:
-    """Leading hash bits that cut ``rows`` rows into pieces of about one task each."""
-    return min(DRAW_BITS, max(0, math.ceil(math.log2(max(rows, 1) / rows_per_task))))
+def bucket_bits(rows: int, rows_per_task: int = ROWS_PER_TASK, tasks: int = 1) -> int:
+    """Leading hash bits that cut ``rows`` rows into pieces of about one task each.
+
+    Fewer rows are still spread over the available tasks, as far as that pays.
+    """
+    pieces = max(rows / rows_per_task, min(tasks, rows // ROWS_WORTH_A_TASK), 1)
+    return min(DRAW_BITS, math.ceil(math.log2(pieces)))
 
 
 def hash_bucket(hex_digest: Column, bits: Column | int) -> Column:
@@ -54,7 +59,8 @@ def hash_ordinal(
     ``rows`` is the size of the table; it sets the number of buckets. The bucket
     table has about ``rows / rows_per_task`` rows for each group.
     """
-    bits = bucket_bits(rows, rows_per_task)
+    tasks = 1 if by else df.sparkSession.sparkContext.defaultParallelism
+    bits = bucket_bits(rows, rows_per_task, tasks)
     marked = df.withColumn(DIGEST, digest(purpose, seed, keys)).withColumn(
         BUCKET, hash_bucket(F.col(DIGEST), bits)
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tastegrid.config import EvalConfig
 from tastegrid.operators.als import predict, recommend
-from tastegrid.operators.interactions import rated_pairs
+from tastegrid.operators.interactions import relevant
 from tastegrid.operators.ranking import (
     exclude_seen,
     label_counts,
@@ -90,13 +90,14 @@ def _side_by_side(left: DataFrame, right: DataFrame) -> DataFrame:
 def evaluate_scores(scored: DataFrame, cfg: EvalConfig = EvalConfig()) -> DataFrame:
     """Ranking metrics of test rows that already carry a ``prediction``.
 
-    Rows are folded first; the candidates and the label counts read the same folded
-    rows. A pair is relevant if any of its rows is.
+    Rows are folded first. A pair is relevant if any of its rows is; the label counts
+    come from the relevant rows alone.
     """
     rated = F.coalesce(F.col("rating") >= cfg.min_rating, F.lit(False))
     folded = scored.groupBy(*PAIR, "prediction").agg(
         F.count(F.lit(1)).alias("copies"), F.max(rated).alias("relevant")
     )
     marked = folded.withColumn("relevant", F.max("relevant").over(Window.partitionBy(*PAIR)))
-    labels = label_counts(marked.select(*PAIR, "relevant").distinct())
+    liked = relevant(scored, cfg.min_rating).select(*PAIR).distinct()
+    labels = label_counts(liked.withColumn("relevant", F.lit(True)))
     return ranking_metrics(candidates_from_pairs(marked, cfg), labels, cfg.k)

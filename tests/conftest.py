@@ -8,7 +8,7 @@ def build_session() -> SparkSession:
     spark = (
         SparkSession.builder.master("local[8]")
         .appName("tastegrid-tests")
-        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.shuffle.partitions", "4")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

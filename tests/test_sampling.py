@@ -36,6 +36,8 @@ def test_sizes_round_halves_to_even():
     assert sample_size(1000, 5) == 50
     assert bucket_bits(10, 100) == 0
     assert bucket_bits(800, 100) == 3
+    assert bucket_bits(600_000, tasks=8) == 3
+    assert bucket_bits(100, tasks=8) == 0
 
 
 def test_ordinals_are_complete_and_independent_of_buckets(points):

@@ -67,11 +67,12 @@ def test_halves_follow_the_global_index(rows):
 
 
 def test_result_does_not_depend_on_partitioning(spark, rows, labeled):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "3")
     try:
         assert bag(assign_parts(rows.repartition(13), KEYED)) == bag(labeled)
     finally:
-        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
 def test_heavy_users_give_the_same_split(rows, labeled):
