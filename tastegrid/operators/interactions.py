@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tastegrid.config import MIN_INTERACTIONS, MIN_RELEVANT_RATING, SkewConfig
 from tastegrid.operators.skew import HeavyKeys, copies, heavy_keys, salted_join
 from tastegrid.sources.files import run_sql
+from tastegrid.sources.workspace import cut
 
 
 def user_counts(df: DataFrame, n: int = 1) -> DataFrame:
@@ -16,19 +17,25 @@ def user_counts(df: DataFrame, n: int = 1) -> DataFrame:
 
 
 def active_users_sql(spark: SparkSession, df: DataFrame, n: int = MIN_INTERACTIONS) -> DataFrame:
-    """Rows of users with at least ``n`` rows, in SQL."""
+    """Rows of users with at least ``n`` rows, in SQL.
+
+    The users are stored in between. That leaves a plain join of two shuffled tables,
+    which adaptive execution can split where one user has most of the rows.
+    """
+    busy = run_sql(
+        spark,
+        "SELECT user_id FROM interactions GROUP BY user_id HAVING count(*) >= :least",
+        {"interactions": df},
+        least=n,
+    )
     return run_sql(
         spark,
         """
         SELECT rows.*
         FROM interactions AS rows
-        LEFT SEMI JOIN (
-            SELECT user_id FROM interactions GROUP BY user_id HAVING count(*) >= :least
-        ) AS busy
-        ON rows.user_id = busy.user_id
+        LEFT SEMI JOIN busy_users AS busy ON rows.user_id = busy.user_id
         """,
-        {"interactions": df},
-        least=n,
+        {"interactions": df, "busy_users": cut(busy)},
     )
 
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml.recommendation import ALSModel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tastegrid.config import EvalConfig
@@ -69,9 +70,32 @@ def evaluate(
     ``pairs`` are the folded test rows of ``rated_pairs``. Precision and NDCG use
     ``cfg.k``; the RMSE covers all test rows with a prediction in every mode.
     """
+    return _report(model, train, pairs, predict(model, pairs), cfg)
+
+
+def measure(
+    model: ALSModel,
+    train: DataFrame | None,
+    pairs: DataFrame,
+    cfg: EvalConfig = EvalConfig(),
+) -> Row:
+    """The row of ``evaluate``; the predictions are computed once for all metrics."""
+    scored = predict(model, pairs).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _report(model, train, pairs, scored, cfg).first()
+    finally:
+        scored.unpersist()
+
+
+def _report(
+    model: ALSModel,
+    train: DataFrame | None,
+    pairs: DataFrame,
+    scored: DataFrame,
+    cfg: EvalConfig,
+) -> DataFrame:
     if cfg.mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}, not {cfg.mode!r}")
-    scored = predict(model, pairs)
     if cfg.mode == "test_rows":
         placed = candidates_from_pairs(scored, cfg)
     else:

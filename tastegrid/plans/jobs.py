@@ -11,6 +11,7 @@ from tastegrid.operators.categories import (
     attach_category_id,
     category_map,
     expand_counts,
+    rejected_ids,
     remap_ids,
     top_category,
 )
@@ -84,10 +85,11 @@ def top_categories(
     out: str,
     names: list[str] | None = None,
     empty: str = "first",
-) -> None:
+) -> int:
     """Write ``top_categories`` (Parquet, sorted by item) and ``category_map`` (CSV).
 
-    With ``names`` the counts are read by schema and not scanned to infer one.
+    With ``names`` the counts are read by schema and not scanned to infer one. Returns
+    how many item ids were left out because they are no number.
     """
     schema = counts_schema(names) if names else None
     flat, found = expand_counts(read_counts_json(spark, counts, schema))
@@ -97,6 +99,7 @@ def top_categories(
     ready = remap_ids(attach_category_id(top, cmap), read_id_map(spark, id_map))
     ordered = ready.repartitionByRange("item_id").sortWithinPartitions("item_id")
     write_parquet(ordered, f"{out}/top_categories")
+    return rejected_ids(top).first()["rejected"]
 
 
 def factors_by_category(

@@ -45,7 +45,10 @@ def test_split_train_profile_and_view(spark, out):
     # The translation maps every id to itself, so that factors find their category.
     ids = views.item_map(spark, FOLDER).selectExpr("item_id AS item_id_csv", "item_id")
     write_csv(ids, f"{out}/id_map", header=True)
-    jobs.top_categories(spark, f"{out}/counts", f"{out}/id_map", f"{out}/top", list(views.SEGMENTS))
+    rejected = jobs.top_categories(
+        spark, f"{out}/counts", f"{out}/id_map", f"{out}/top", list(views.SEGMENTS)
+    )
+    assert rejected == 0
     top = read_parquet(spark, f"{out}/top/top_categories")
     assert top.columns == ["item_id", "category_id", "top_category"]
     assert top.count() == ids.count()
