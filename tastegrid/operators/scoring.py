@@ -8,13 +8,19 @@ its users, nothing that grows with the number of items, and returns k rows a use
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# The functions below travel to the workers inside the task, so the package need not be
+# installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 USERS_PER_BLOCK = 16_384
 # Upper bound for the score matrix of one step, in numbers.
 SCORES_PER_STEP = 4_000_000

@@ -1,5 +1,11 @@
+import os
+import subprocess
+import sys
+
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark import cloudpickle
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.mllib.evaluation import RankingMetrics
 from pyspark.sql import functions as F
@@ -7,7 +13,7 @@ from pyspark.sql import functions as F
 from tastegrid.config import AlsConfig, EvalConfig, GridConfig
 from tastegrid.operators import als, ranking
 from tastegrid.operators.interactions import rated_pairs
-from tastegrid.operators.scoring import top_items
+from tastegrid.operators.scoring import _scorer, top_items
 from tastegrid.plans.evaluate import evaluate
 from tastegrid.plans.grid import grid_search
 from tastegrid.plans.split import split_interactions
@@ -147,3 +153,11 @@ def test_default_grid_has_fifty_points_ranks_outside():
     assert len(points) == 50
     assert points[:2] == [(10, 0.001), (10, 0.002)]
     assert points[-1] == (160, 1.0)
+
+
+def test_scoring_tasks_do_not_need_the_package(tmp_path):
+    (tmp_path / "task").write_bytes(cloudpickle.dumps(_scorer(3, pa.float64())))
+    code = "import pickle, sys; f = pickle.load(open('task', 'rb')); assert list(f(iter([]))) == []"
+    code += "; assert 'tastegrid' not in sys.modules"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True)
