@@ -1,6 +1,30 @@
 """DuckDB counterparts of the queries of this folder, where SQL can express them."""
 
 ORACLES: dict[str, str] = {
+    "op1_near_dup": r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, list_filter(string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+    FROM documents
+), sets AS (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(
+        range(1, greatest(len(w) - 1, 2)), lambda i: array_to_string(w[i:i + 2], ' '))) END AS s
+    FROM words
+), items AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+links AS (
+    SELECT a.doc_id AS x, b.doc_id AS y
+    FROM items a JOIN items b ON a.g = b.g AND a.doc_id <> b.doc_id
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n
+    HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), reach AS (
+    SELECT doc_id AS x, doc_id AS y FROM sets
+    UNION
+    SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x
+)
+SELECT s.doc_id, len(s.s) AS n_shingles, min(r.y) AS component_id, s.doc_id = min(r.y) AS kept
+FROM sets s JOIN reach r ON s.doc_id = r.x GROUP BY s.doc_id, s.s
+""",
     "op10_exact_dedup": r"""
 WITH d AS (
     SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents

@@ -6,17 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tastegrid.llm import exact_dedup
+from tastegrid.llm import exact_dedup, near_dup
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_near_dup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dup.near_groups(_table(spark, folder, "documents"), words=3, at_least=(17, 20))
+
+
 def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, folder, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_dup": op1_near_dup,
     "op10_exact_dedup": op10_exact_dedup,
 }
