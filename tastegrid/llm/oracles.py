@@ -24,6 +24,33 @@ links AS (
 )
 SELECT s.doc_id, len(s.s) AS n_shingles, min(r.y) AS component_id, s.doc_id = min(r.y) AS kept
 FROM sets s JOIN reach r ON s.doc_id = r.x GROUP BY s.doc_id, s.s
+""",
+    "op3_mixing": r"""
+WITH RECURSIVE weights(name, w) AS (
+    VALUES ('src0', 0.10::DOUBLE), ('src1', 0.10), ('src2', 0.08), ('src3', 0.06), (NULL, 0.66)
+), docs AS (
+    SELECT doc_id, source, length(text) AS chars,
+           CASE WHEN source IN ('src0', 'src1', 'src2', 'src3') THEN source END AS name,
+           ('0x' || substr(md5(concat_ws(':', 'mix:1', doc_id)), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
+    FROM documents
+), sizes AS (SELECT name, sum(chars) AS size FROM docs GROUP BY name),
+means AS (
+    SELECT w.name, w.w / (SELECT 0.10::DOUBLE + 0.10 + 0.08 + 0.06 + 0.66)
+           * (SELECT sum(size) FROM sizes)::DOUBLE / s.size::DOUBLE AS m
+    FROM weights w JOIN sizes s ON w.name IS NOT DISTINCT FROM s.name
+), steps AS (
+    SELECT name, m, 0 AS k, exp(-m) AS term, exp(-m) AS cdf FROM means
+    UNION ALL
+    SELECT name, m, k + 1, term * m / (k + 1), cdf + term * m / (k + 1) FROM steps WHERE k < 60
+), taken AS (
+    SELECT d.doc_id, d.source,
+           unnest(range((SELECT count(*) FROM steps s WHERE s.name IS NOT DISTINCT FROM d.name AND s.cdf <= d.u)
+           ::BIGINT)) AS copy
+    FROM docs d
+)
+SELECT doc_id, source, copy, row_number() OVER (
+    ORDER BY md5(concat_ws(':', 'shuffle:1', doc_id, copy)), doc_id, copy) - 1 AS position
+FROM taken
 """,
     "op10_exact_dedup": r"""
 WITH d AS (

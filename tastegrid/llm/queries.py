@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tastegrid.llm import exact_dedup, near_dup
+from tastegrid.llm import exact_dedup, mixing, near_dup
+
+
+# Sources with a target weight of their own; all others share the rest by their sizes.
+MIXTURE = mixing.Mixture({"src0": 0.10, "src1": 0.10, "src2": 0.08, "src3": 0.06}, rest=0.66)
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -17,11 +21,16 @@ def op1_near_dup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dup.near_groups(_table(spark, folder, "documents"), words=3, at_least=(17, 20))
 
 
+def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mixture(_table(spark, folder, "documents"), MIXTURE)
+
+
 def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, folder, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dup": op1_near_dup,
+    "op3_mixing": op3_mixing,
     "op10_exact_dedup": op10_exact_dedup,
 }
