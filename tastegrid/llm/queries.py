@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tastegrid.llm import exact_dedup, mixing, near_dup
+from tastegrid.llm import exact_dedup, mixing, near_dup, quality
 
 
 # Sources with a target weight of their own; all others share the rest by their sizes.
@@ -25,6 +25,10 @@ def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixture(_table(spark, folder, "documents"), MIXTURE)
 
 
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judged(_table(spark, folder, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, folder, "documents"))
 
@@ -32,5 +36,6 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dup": op1_near_dup,
     "op3_mixing": op3_mixing,
+    "op6_quality": op6_quality,
     "op10_exact_dedup": op10_exact_dedup,
 }
