@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tastegrid.llm import exact_dedup, mixing, near_dup, quality
+from tastegrid.llm import exact_dedup, mixing, near_dup, packing, quality
 
 
+# Vocabulary files are a parameter; these two lie beside the installed tokenizers.
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
 # Sources with a target weight of their own; all others share the rest by their sizes.
 MIXTURE = mixing.Mixture({"src0": 0.10, "src1": 0.10, "src2": 0.08, "src3": 0.06}, rest=0.66)
 
@@ -29,6 +34,10 @@ def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judged(_table(spark, folder, "documents"))
 
 
+def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(_table(spark, folder, "documents"), packing.PackConfig(WORD_TOKENIZER))
+
+
 def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, folder, "documents"))
 
@@ -37,5 +46,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dup": op1_near_dup,
     "op3_mixing": op3_mixing,
     "op6_quality": op6_quality,
+    "op8_packing": op8_packing,
     "op10_exact_dedup": op10_exact_dedup,
 }
