@@ -51,6 +51,19 @@ means AS (
 SELECT doc_id, source, copy, row_number() OVER (
     ORDER BY md5(concat_ws(':', 'shuffle:1', doc_id, copy)), doc_id, copy) - 1 AS position
 FROM taken
+""",
+    "op7_topk": r"""
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+    WHERE embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+    FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scored
+)
+SELECT query_id, r::INTEGER AS rank, vec_id, score FROM ranked WHERE r <= 20
 """,
     "op10_exact_dedup": r"""
 WITH d AS (

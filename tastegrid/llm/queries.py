@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tastegrid.llm import exact_dedup, mixing, near_dup, packing, quality
+from tastegrid.llm import exact_dedup, mixing, near_dup, packing, quality, topk
 
 
 # Vocabulary files are a parameter; these two lie beside the installed tokenizers.
@@ -34,6 +35,13 @@ def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judged(_table(spark, folder, "documents"))
 
 
+def op7_topk(spark: SparkSession, folder: str) -> DataFrame:
+    scaled = F.transform("embedding", lambda x: F.floor(64 * x.cast("double")))
+    embeddings = _table(spark, folder, "embeddings")
+    vectors = embeddings.where(topk.usable(F.col("embedding"))).select("vec_id", scaled.alias("vector"))
+    return topk.top_k(vectors, F.col("vec_id") % 20 == 0)
+
+
 def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"), packing.PackConfig(WORD_TOKENIZER))
 
@@ -46,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dup": op1_near_dup,
     "op3_mixing": op3_mixing,
     "op6_quality": op6_quality,
+    "op7_topk": op7_topk,
     "op8_packing": op8_packing,
     "op10_exact_dedup": op10_exact_dedup,
 }
