@@ -7,8 +7,9 @@ taken off, and those that may reach the threshold are confirmed on the full shin
 
 Documents with equal sets are one class from the start. In a band every class is compared
 with one pivot, the class that shares most bands with others; a group of near copies is
-joined by that in one step, without its pairs. What a bucket still holds in different
-components is then compared in full, so that no pair that shares a band is left out.
+joined by that in one step, without its pairs. Classes that a pivot leaves in different
+components are compared where their differences from the pivot leave a link possible, so
+that no pair that shares a band is left out.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tastegrid.llm.components import components
@@ -237,17 +238,14 @@ class _Search:
         """``x, y``: each class of a bucket with the pivot of the bucket."""
         score = self.active.groupBy("cls").agg(F.sum("width").alias("score"))
         scored = self.shelf.put(
-            "scored", self.active.join(score, "cls").select("bucket", "cls", "n", "score")
+            "scored", self.active.join(score, "cls").select("bucket", "cls", "score")
         )
         best = scored.groupBy("bucket").agg(
-            F.max(F.struct("score", (-F.col("cls")).alias("low"), "n")).alias("best")
-        )
-        pivot = self.shelf.put(
-            "pivots",
-            best.select("bucket", (-F.col("best.low")).alias("y"), F.col("best.n").alias("m")),
+            F.max(F.struct("score", (-F.col("cls")).alias("low"))).alias("best")
         )
+        pivot = self.shelf.put("pivots", best.select("bucket", (-F.col("best.low")).alias("y")))
         pairs = scored.join(pivot, "bucket").where(F.col("cls") != F.col("y"))
-        return pairs.where(self._sizes("n", "m")).select(F.col("cls").alias("x"), "y").distinct()
+        return pairs.select(F.col("cls").alias("x"), "y").distinct()
 
     def store_sets(self) -> None:
         """The full sets of all classes that share a band with another class."""
@@ -271,67 +269,75 @@ class _Search:
     def confirm(self, pairs: DataFrame, label: str) -> DataFrame:
         """The links ``a, b`` among candidate pairs ``x, y``; a y may have very many x."""
         top, base = self.at_least
-        put, small = self.shelf.put, self.classes.select("cls", "n", "sketch")
-        pairs = put(f"{label}-pairs", pairs)
-        one = small.select(F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("sketch").alias("sx"))
-        two = small.select(F.col("cls").alias("y"), F.col("n").alias("ny"), F.col("sketch").alias("sy"))
-        likely = put(
-            f"{label}-likely",
-            pairs.join(two, "y")
-            .join(one, "x")
-            .where(
-                _may_link(F.col("sx"), F.col("sy"), F.col("nx"), F.col("ny"), top / base)
-            )
-            .select("x", "y", "nx", "ny"),
-        )
-        salts = put(
-            f"{label}-salts",
-            likely.groupBy("y").agg(F.ceil(F.count(F.lit(1)) / PAIRS_PER_SALT).alias("salts")),
+        small = self.classes.select("cls", "n", "sketch")
+        one, two = (small.select(*[F.col(c).alias(c[0] + side) for c in small.columns]) for side in "xy")
+        likely = (
+            pairs.join(two.withColumnRenamed("cy", "y"), "y")
+            .join(one.withColumnRenamed("cx", "x"), "x")
+            .where(self._sizes("nx", "ny"))
+            .where(_may_link(F.col("sx"), F.col("sy"), F.col("nx"), F.col("ny"), top / base))
         )
-        right = (
-            self.sets.join(salts.withColumnRenamed("y", "cls"), "cls")
-            .select(F.col("cls").alias("y"), F.col("shingles").alias("right"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt"))
-        )
-        left = likely.join(salts, "y").withColumn("salt", F.pmod(F.xxhash64("x"), F.col("salts"))).drop("salts")
-        left = left.join(self.sets.withColumnsRenamed({"cls": "x", "shingles": "left"}), "x")
+        likely = self.shelf.put(f"{label}-likely", likely.select("x", "y", "nx", "ny"))
         common = F.size(F.array_intersect("left", "right")).cast("bigint")
-        both = left.join(right, ["y", "salt"]).select("x", "y", "nx", "ny", common.alias("common"))
-        links = both.where(F.col("common") * base >= (F.col("nx") + F.col("ny") - F.col("common")) * top)
-        links = put(f"{label}-links", links.select(F.col("x").alias("a"), F.col("y").alias("b")))
+        both = self._meet(likely, label).withColumn("common", common)
+        union = F.col("nx") + F.col("ny") - F.col("common")
+        links = both.where(F.col("common") * base >= union * top)
+        links = self.shelf.put(f"{label}-links", links.select(F.col("x").alias("a"), F.col("y").alias("b")))
         self.shelf.drop(f"{label}-likely", f"{label}-salts")
         return links
 
-    def leftovers(self, comps: DataFrame, done: DataFrame) -> DataFrame:
-        """Pairs that share a bucket, lie in different components and were not compared yet.
-
-        One side is outside the largest component of the bucket, so a bucket that is one
-        group but for a few classes costs a few times its width.
-        """
-        put = self.shelf.put
-        named = comps.withColumnsRenamed({"node": "cls"})
-        placed = put(
-            "placed",
-            self.active.join(named, "cls", "left").select(
-                "bucket", "cls", "n", F.coalesce("component", "cls").alias("comp")
-            ),
-        )
-        per = placed.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("rows"))
-        main = per.groupBy("bucket").agg(
-            F.max(F.struct("rows", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")
+    def _meet(self, pairs: DataFrame, label: str) -> DataFrame:
+        """Pairs ``x, y`` with both sets as ``left, right``; the pairs of one y are spread."""
+        salts = self.shelf.put(
+            f"{label}-salts",
+            pairs.groupBy("y").agg(F.ceil(F.count(F.lit(1)) / PAIRS_PER_SALT).alias("salts")),
         )
-        main = put("main", main.where("comps > 1").select("bucket", F.col("top.comp").alias("main")))
-        open_ = placed.join(main, "bucket")
-        minor = put("minor", open_.where("comp != main").withColumnsRenamed(
-            {"cls": "y", "n": "m", "comp": "other"}))
-        every = open_.drop("main").withColumnRenamed("cls", "x")
-        pairs = minor.join(every, "bucket").where(
-            (F.col("comp") != F.col("other"))
-            & ((F.col("comp") == F.col("main")) | (F.col("x") < F.col("y")))
-            & self._sizes("n", "m")
+        every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt")
+        right = self.sets.withColumnsRenamed({"cls": "y", "shingles": "right"}).join(salts, "y")
+        salt = F.pmod(F.xxhash64("x"), F.col("salts"))
+        left = pairs.join(salts, "y").withColumn("salt", salt).drop("salts")
+        left = left.join(self.sets.withColumnsRenamed({"cls": "x", "shingles": "left"}), "x")
+        return left.join(right.select("y", "right", every), ["y", "salt"]).drop("salt")
+
+    def leftovers(self, stars: DataFrame, comps: DataFrame) -> DataFrame:
+        """Pairs ``x, y`` that share a pivot, lie in different components and may be linked.
+
+        ``stars`` are the pairs of a class x and its pivot y. Let D be the shingles that a class
+        and the pivot do not share. If a class is not linked to the pivot, its D is more than
+        1 - t of the union of both, for a threshold t; from this follows that another class is
+        linked to it only if both D have more than t / 2 of that other class's D in common. So
+        at least one of the rarest shingles of that D, as many as may be missing and one, is in
+        both. Such pairs are found by the shingle. Near copies of one text differ from it in
+        places of their own, and so hardly any pair of them is looked at.
+        """
+        top, base = self.at_least
+        comp = comps.withColumnsRenamed({"node": "cls", "component": "comp"})
+
+        def placed(df: DataFrame, key: str, name: str) -> DataFrame:
+            of = comp.select(F.col("cls").alias(key), F.col("comp").alias(name))
+            return df.join(of, key, "left").withColumn(name, F.coalesce(name, key))
+
+        both = self.shelf.put("stars", placed(placed(stars, "x", "cx"), "y", "cy"))
+        open_ = both.groupBy("y").agg(F.max((F.col("cx") != F.col("cy")).cast("int")).alias("open"))
+        members = self.shelf.put("members", both.join(open_.where("open = 1").select("y"), "y"))
+        apart = F.concat(F.array_except("left", "right"), F.array_except("right", "left"))
+        differ = self._meet(members, "differ").select("x", "y", "cx", "cy", apart.alias("d"))
+        differ = differ.select("x", "y", "cx", "cy", F.size("d").alias("size"), F.explode("d").alias("e"))
+        differ = self.shelf.put("differ", differ.withColumn("loose", F.col("cx") != F.col("cy")))
+        known = differ.groupBy("y", "e").agg(
+            F.count(F.lit(1)).alias("df"), F.max(F.col("loose").cast("int")).alias("any")
         )
-        pairs = pairs.select("x", "y").distinct()
-        seen = done.select("x", "y").unionByName(done.select(F.col("y").alias("x"), F.col("x").alias("y")))
-        return pairs.join(seen, ["x", "y"], "left_anti")
+        known = self.shelf.put("known", known.where("df > 1"))
+        shared = differ.join(known, ["y", "e"])
+        by_class = Window.partitionBy("y", "x")
+        alone = F.col("size") - F.count(F.lit(1)).over(by_class)
+        rank = alone + F.row_number().over(by_class.orderBy("df", "e"))
+        missing = F.col("size") - F.floor(F.col("size") * top / (2 * base))
+        rare = shared.withColumn("rank", rank).where((F.col("rank") <= missing) & (F.col("any") == 1))
+        rare = self.shelf.put("rare", rare.select("y", "e", "x", "cx"))
+        loose = differ.where("loose").select("y", "e", F.col("x").alias("z"), F.col("cx").alias("cz"))
+        pairs = rare.join(loose, ["y", "e"]).where("cx != cz")
+        return pairs.select(F.least("x", "z").alias("x"), F.greatest("x", "z").alias("y")).distinct()
 
     def same_ids(self) -> DataFrame:
         """Links between the classes of rows that share a doc_id."""
@@ -358,17 +364,15 @@ def near_groups(
     """
     run = _Search(docs, words, at_least)
     run.store_sets()
-    first = run.confirm(run.pivots(), "pivot")
-    same = run.same_ids()
-    links = run.shelf.put("first", first.unionByName(same))
+    stars = run.shelf.put("pivot-pairs", run.pivots())
+    links = run.shelf.put("first", run.confirm(stars, "pivot").unionByName(run.same_ids()))
     comps = run.shelf.put("first-comps", components(links, run.shelf, "first"))
-    done = run.docs.sparkSession.read.parquet(run.shelf.paths["pivot-pairs"])
-    more = run.confirm(run.leftovers(comps, done), "rest")
+    more = run.confirm(run.leftovers(stars, comps), "rest")
     if not more.isEmpty():
         comps = run.shelf.put(
             "last-comps", components(links.unionByName(more), run.shelf, "last")
         )
-    run.shelf.drop("sets", "active", "scored", "placed", "minor")
+    run.shelf.drop("sets", "active", "scored", "stars", "members", "differ", "known", "rare")
     placed = run.classes.select("set_key", "n", "cls", "rep").join(
         comps.withColumnRenamed("node", "cls"), "cls", "left"
     )
