@@ -1,6 +1,62 @@
 """DuckDB counterparts of the queries of this folder, where SQL can express them."""
 
+from tastegrid.llm.licenses import TEMPLATES
+
+
+def _words(text: str) -> str:
+    """SQL for the normalised words of a text."""
+    plain = rf"regexp_replace({text}, '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+', ' ', 'g')"
+    lowered = f"translate({plain}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"list_filter(string_split({lowered}, ' '), lambda w: w <> '')"
+
+
+# SQL for the distinct bigrams of the words w.
+_GRAMS = """CASE WHEN len(w) > 1 THEN list_distinct(list_transform(
+    range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) ELSE w END"""
+
+_TEMPLATE_ROWS = ", ".join(
+    "('" + name.replace("'", "''") + "', '" + text.replace("'", "''") + "')" for name, text in TEMPLATES.items()
+)
+
 ORACLES: dict[str, str] = {
+    "op2_licenses": f"""
+WITH v AS MATERIALIZED (SELECT name, {_words("text")} AS w FROM (VALUES {_TEMPLATE_ROWS}) v(name, text)),
+t AS MATERIALIZED (SELECT name, {_GRAMS} AS g FROM v),
+lines AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+units AS (
+    SELECT doc_id, -1 AS line, text AS unit FROM lines WHERE len(l) > 1
+    UNION ALL
+    SELECT doc_id, (unnest(range(len(l))))::INTEGER AS line, unnest(l) AS unit FROM lines
+), split AS MATERIALIZED (SELECT doc_id, line, {_words("unit")} AS w FROM units),
+grams AS MATERIALIZED (SELECT doc_id, line, {_GRAMS} AS g FROM split),
+scored AS (
+    SELECT doc_id, line, name AS license,
+           2.0::DOUBLE * len(list_intersect(grams.g, t.g)) / (len(grams.g) + len(t.g)) AS dice
+    FROM grams JOIN t ON len(grams.g) BETWEEN len(t.g) * 0.6 AND len(t.g) * 1.6
+    WHERE len(grams.g) > 0
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY dice DESC, license) AS r
+    FROM scored WHERE dice >= 0.8
+)
+SELECT doc_id, line, license, dice FROM ranked WHERE r = 1
+""",
+    "op4_url_filter": r"""
+WITH rules(verdict, host, path) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'),
+    ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+p AS (
+    SELECT page_id,
+        translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1),
+                  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path
+    FROM pages
+), fits AS (
+    SELECT p.page_id, r.host || r.path AS rule, r.verdict,
+           row_number() OVER (PARTITION BY p.page_id ORDER BY length(r.host || r.path) DESC) AS n
+    FROM p JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)
+)
+SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, 'allow') AS verdict
+FROM p LEFT JOIN fits f ON p.page_id = f.page_id AND f.n = 1
+""",
     "op1_near_dup": r"""
 WITH RECURSIVE words AS (
     SELECT doc_id, list_filter(string_split_regex(

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tastegrid.llm import exact_dedup, mixing, near_dup, packing, quality, topk
+from tastegrid.llm import exact_dedup, licenses, mixing, near_dup, packing, quality, topk, url_filter
 
 
 # Vocabulary files are a parameter; these two lie beside the installed tokenizers.
@@ -18,6 +18,14 @@ BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 # Sources with a target weight of their own; all others share the rest by their sizes.
 MIXTURE = mixing.Mixture({"src0": 0.10, "src1": 0.10, "src2": 0.08, "src3": 0.06}, rest=0.66)
 
+URL_RULES = (
+    url_filter.Rule("allow", "com", "/"),
+    url_filter.Rule("block", "example.com", "/en/"),
+    url_filter.Rule("allow", "www.example.com", "/en/"),
+    url_filter.Rule("block", "net", "/es/"),
+    url_filter.Rule("block", "net", "/fr/"),
+)
+
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -27,10 +35,18 @@ def op1_near_dup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dup.near_groups(_table(spark, folder, "documents"), words=3, at_least=(17, 20))
 
 
+def op2_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(_table(spark, folder, "documents"))
+
+
 def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixture(_table(spark, folder, "documents"), MIXTURE)
 
 
+def op4_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.judge(_table(spark, folder, "pages"), URL_RULES)
+
+
 def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judged(_table(spark, folder, "documents"))
 
@@ -52,7 +68,9 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dup": op1_near_dup,
+    "op2_licenses": op2_licenses,
     "op3_mixing": op3_mixing,
+    "op4_url_filter": op4_url_filter,
     "op6_quality": op6_quality,
     "op7_topk": op7_topk,
     "op8_packing": op8_packing,
