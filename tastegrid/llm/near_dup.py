@@ -303,12 +303,15 @@ class _Search:
         """Pairs ``x, y`` that share a pivot, lie in different components and may be linked.
 
         ``stars`` are the pairs of a class x and its pivot y. Let D be the shingles that a class
-        and the pivot do not share. If a class is not linked to the pivot, its D is more than
-        1 - t of the union of both, for a threshold t; from this follows that another class is
-        linked to it only if both D have more than t / 2 of that other class's D in common. So
-        at least one of the rarest shingles of that D, as many as may be missing and one, is in
-        both. Such pairs are found by the shingle. Near copies of one text differ from it in
-        places of their own, and so hardly any pair of them is looked at.
+        and its pivot do not share, and c the number that the D of two classes have in common.
+        The classes X and Z differ in |D_X| + |D_Z| - 2c shingles; a threshold t allows them
+        k (|X| + |Z|), with k = (1 - t) / (1 + t). So c is at least half of the sum of both
+        |D| - k |class|. One of the two, Z, is not linked to the pivot, which makes its term
+        positive; the least such term of a star gives each X a least c. Of the rarest shingles
+        of D_X, as many as may be missing and one, at least one must then be in D_Z.
+
+        Near copies of one text differ from it in places of their own, so hardly any pair of
+        them is looked at.
         """
         top, base = self.at_least
         comp = comps.withColumnsRenamed({"node": "cls", "component": "comp"})
@@ -321,9 +324,14 @@ class _Search:
         open_ = both.groupBy("y").agg(F.max((F.col("cx") != F.col("cy")).cast("int")).alias("open"))
         members = self.shelf.put("members", both.join(open_.where("open = 1").select("y"), "y"))
         apart = F.concat(F.array_except("left", "right"), F.array_except("right", "left"))
-        differ = self._meet(members, "differ").select("x", "y", "cx", "cy", apart.alias("d"))
-        differ = differ.select("x", "y", "cx", "cy", F.size("d").alias("size"), F.explode("d").alias("e"))
-        differ = self.shelf.put("differ", differ.withColumn("loose", F.col("cx") != F.col("cy")))
+        loose = (F.col("cx") != F.col("cy")).alias("loose")
+        sets = self._meet(members, "differ")
+        differ = sets.select("x", "y", "cx", loose, F.size("left").alias("n"), apart.alias("d"))
+        term = F.size("d") - F.col("n") * ((base - top) / (base + top))
+        differ = differ.select("x", "y", "cx", "loose", F.size("d").alias("size"), term.alias("term"), F.explode("d").alias("e"))
+        differ = self.shelf.put("differ", differ)
+        least = differ.where("loose").groupBy("y").agg(F.min("term").alias("least"))
+        least = self.shelf.put("least", least)
         known = differ.groupBy("y", "e").agg(
             F.count(F.lit(1)).alias("df"), F.max(F.col("loose").cast("int")).alias("any")
         )
@@ -332,8 +340,10 @@ class _Search:
         by_class = Window.partitionBy("y", "x")
         alone = F.col("size") - F.count(F.lit(1)).over(by_class)
         rank = alone + F.row_number().over(by_class.orderBy("df", "e"))
-        missing = F.col("size") - F.floor(F.col("size") * top / (2 * base))
-        rare = shared.withColumn("rank", rank).where((F.col("rank") <= missing) & (F.col("any") == 1))
+        # Rounded down before it is rounded up: a bound met exactly stays.
+        common = F.greatest(F.ceil((F.col("term") + F.col("least")) / 2 - 1e-6), F.lit(1))
+        rare = shared.withColumn("rank", rank).where("any = 1").join(least, "y")
+        rare = rare.where(F.col("rank") <= F.col("size") - common + 1)
         rare = self.shelf.put("rare", rare.select("y", "e", "x", "cx"))
         loose = differ.where("loose").select("y", "e", F.col("x").alias("z"), F.col("cx").alias("cz"))
         pairs = rare.join(loose, ["y", "e"]).where("cx != cz")
@@ -372,7 +382,7 @@ def near_groups(
         comps = run.shelf.put(
             "last-comps", components(links.unionByName(more), run.shelf, "last")
         )
-    run.shelf.drop("sets", "active", "scored", "stars", "members", "differ", "known", "rare")
+    run.shelf.drop("sets", "active", "scored", "stars", "members", "differ", "least", "known", "rare")
     placed = run.classes.select("set_key", "n", "cls", "rep").join(
         comps.withColumnRenamed("node", "cls"), "cls", "left"
     )
