@@ -20,103 +20,102 @@ from pyspark import cloudpickle
 # The functions below travel to the workers inside the task.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Words that are remembered; beyond that the memory starts anew. No result depends on it.
-REMEMBERED = 600_000
-# Characters that are encoded together.
-SLICE_CHARS = 8_000_000
+TAILS = (".", ",")
+
+# Characters that are encoded together; every distinct word of them is encoded once.
+SLICE_CHARS = 16_000_000
 
 
 class WordEncoder:
-    """Encodes texts with a tokenizer file, remembering the ids of words."""
+    """Encodes texts with a tokenizer file."""
 
-    def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
+    def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.folds_case = '"Lowercase"' in json.dumps(json.loads(self.tokenizer.to_str()).get("normalizer"))
-        self.remembered = remembered
-        self._forget()
-
-    def _forget(self) -> None:
-        # Words after a space: their number, whether they begin and end solidly, their ids.
-        self.index: dict[str, int] = {}
-        self.solid = np.zeros((0, 2), dtype=bool)
-        self.starts = np.zeros(1, dtype=np.int64)
-        self.flat = np.empty(0, dtype=np.int32)
-        self.heads: dict[str, list[int]] = {}
-
-    def _split(self, piece: str) -> tuple[str, str]:
-        """A full stop or comma after a plain letter is a piece of its own."""
-        tail = ""
-        if piece[-1:] in (".", ",") and piece[-2:-1].isalpha() and piece[-2].lower().isalpha():
-            piece, tail = piece[:-1], piece[-1]
-        if self.folds_case and piece.isascii() and "<|" not in piece:
-            piece = piece.lower()
-        return piece, tail
-
-    def _ids(self, pieces: list[str]) -> list[list[int]]:
-        split = [self._split(p) for p in pieces]
-        fresh = [p for p in dict.fromkeys(x for pair in split for x in pair) if p not in self.heads]
-        found = self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)
-        self.heads.update((p, e.ids) for p, e in zip(fresh, found))
-        return [self.heads[head] + self.heads[tail] if tail else self.heads[head] for head, tail in split]
-
-    def _numbers(self, words: list[str]) -> np.ndarray:
-        """The number of each word, after learning those not known yet."""
-        numbers = np.array([self.index.get(w, -1) for w in words], dtype=np.int64)
-        new = np.flatnonzero(numbers < 0)
-        if len(new):
-            fresh = [words[i] for i in new]
-            ids = self._ids([" " + w for w in fresh])
-            numbers[new] = np.arange(len(self.index), len(self.index) + len(new))
-            self.index.update(zip(fresh, numbers[new].tolist()))
-            solid = [(bool(w) and not w[0].isspace(), bool(w) and not w[-1].isspace()) for w in fresh]
-            self.solid = np.concatenate([self.solid, np.array(solid, dtype=bool).reshape(-1, 2)])
-            self._append(ids)
-        return numbers
-
-    def _append(self, ids: list[list[int]]) -> None:
-        ends = self.starts[-1] + np.cumsum([len(i) for i in ids], dtype=np.int64)
-        joined = np.fromiter(chain.from_iterable(ids), np.int32, count=int(ends[-1] - len(self.flat)))
-        self.starts = np.concatenate([self.starts, ends])
-        self.flat = np.concatenate([self.flat, joined])
+        normalizer = json.loads(self.tokenizer.to_str()).get("normalizer")
+        self.folds_case = '"Lowercase"' in json.dumps(normalizer)
+        self.tails = [self._plain([sign])[0] for sign in TAILS]
+
+    def _plain(self, pieces: list[str]) -> list[list[int]]:
+        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
+        return [e.ids for e in found]
+
+    def _word_ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words, each after a space, and where they begin and end.
+
+        A full stop or comma after a plain letter is a piece of its own, and case makes no
+        difference to a tokenizer that lowers all text; so many words share their ids.
+        """
+        tail = np.zeros(len(words), dtype=np.int64)
+        for i, sign in enumerate(TAILS):
+            ends = pc.match_substring_regex(words, f"[A-Za-z][{sign}]$")
+            tail[np.asarray(pc.and_(ends, pc.ends_with(words, sign)))] = i + 1
+        heads = pc.if_else(pa.array(tail > 0), pc.utf8_slice_codeunits(words, 0, -1), words)
+        if self.folds_case:
+            # Not so for other letters: composing them first may depend on their case.
+            plain = pc.and_(pc.string_is_ascii(heads), pc.invert(pc.match_substring(heads, "<|")))
+            heads = pc.if_else(plain, pc.ascii_lower(heads), heads)
+        coded = heads.dictionary_encode()
+        ids = self._plain([" " + w for w in coded.dictionary.to_pylist()])
+        return _joined(ids, self.tails, np.asarray(coded.indices), tail)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and where each text begins and ends in them; null is empty."""
-        if len(self.index) > self.remembered:
-            self._forget()
         words = pc.split_pattern(pc.fill_null(texts, ""), " ")
         offsets = np.asarray(words.offsets)
         offsets = offsets - offsets[0]
         coded = words.flatten().dictionary_encode()
-        known, codes = coded.dictionary.to_pylist(), np.asarray(coded.indices)
-        number = self._numbers(known)[codes]
+        known, codes = coded.dictionary, np.asarray(coded.indices)
+        flat, starts = self._word_ids(known)
+        filled = np.asarray(pc.greater(pc.binary_length(known), 0))
+        solid_start = filled & np.asarray(pc.equal(pc.utf8_ltrim_whitespace(known), known))
+        solid_end = filled & np.asarray(pc.equal(pc.utf8_rtrim_whitespace(known), known))
         # A piece begins where a text does, or at a space between two solid signs.
         first = np.zeros(len(codes), dtype=bool)
         first[offsets[:-1]] = True
         begins = first.copy()
-        begins[1:] |= self.solid[number[:-1], 1] & self.solid[number[1:], 0]
+        begins[1:] |= solid_end[codes[:-1]] & solid_start[codes[1:]]
         places = np.flatnonzero(begins)
         sizes = np.diff(places, append=len(codes))
         # The others are met once: pieces of several words, and the first of each text.
         rare = np.flatnonzero((sizes > 1) | first[places])
         pieces = []
         for at, size in zip(places[rare], sizes[rare]):
-            piece = " ".join(known[c] for c in codes[at : at + size])
+            piece = " ".join(known[c].as_py() for c in codes[at : at + size].tolist())
             pieces.append(piece if first[at] else " " + piece)
-        kept = len(self.flat), len(self.starts)
-        units = number[places]
-        if pieces:
-            units[rare] = kept[1] - 1 + np.arange(len(pieces))
-            self._append(self._ids(pieces))
-        lengths = self.starts[units + 1] - self.starts[units]
+        units = codes[places].astype(np.int64)
+        units[rare] = len(starts) - 1 + np.arange(len(pieces))
+        flat, starts = _appended(flat, starts, self._plain(pieces))
+        lengths = starts[units + 1] - starts[units]
         stops = np.cumsum(lengths)
-        shift = np.repeat(self.starts[units] - (stops - lengths), lengths)
-        ids = self.flat[shift + np.arange(len(shift))]
-        self.flat, self.starts = self.flat[: kept[0]], self.starts[: kept[1]]
+        shift = np.repeat((starts[units] - (stops - lengths)).astype(np.int32), lengths)
+        shift += np.arange(len(shift), dtype=np.int32)
         upto = np.concatenate([[0], stops])
-        return ids, upto[np.searchsorted(places, offsets)]
+        return flat[shift], upto[np.searchsorted(places, offsets)]
+
+
+def _appended(flat: np.ndarray, starts: np.ndarray, ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.fromiter(map(len, ids), np.int64, count=len(ids))
+    more = np.fromiter(chain.from_iterable(ids), np.int32, count=int(sizes.sum()))
+    return np.concatenate([flat, more]), np.concatenate([starts, starts[-1] + np.cumsum(sizes)])
+
+
+def _joined(
+    heads: list[list[int]], tails: list[list[int]], head: np.ndarray, tail: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of each word: those of its head, and of its tail where ``tail`` is not 0."""
+    flat, starts = _appended(np.empty(0, np.int32), np.zeros(1, np.int64), heads + tails)
+    pairs = np.stack([head, np.where(tail > 0, len(heads) + tail - 1, -1)], axis=1).ravel()
+    keep = pairs >= 0
+    parts = pairs[keep]
+    lengths = starts[parts + 1] - starts[parts]
+    stops = np.cumsum(lengths)
+    shift = np.repeat(starts[parts] - (stops - lengths), lengths) + np.arange(lengths.sum())
+    upto = np.concatenate([[0], stops])
+    before = np.concatenate([[0], np.cumsum(keep)])[::2]
+    return flat[shift], upto[before]
 
 
 def slices(texts: pa.Array, most: int = SLICE_CHARS) -> list[tuple[int, int]]:
