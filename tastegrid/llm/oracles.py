@@ -107,6 +107,26 @@ means AS (
 SELECT doc_id, source, copy, row_number() OVER (
     ORDER BY md5(concat_ws(':', 'shuffle:1', doc_id, copy)), doc_id, copy) - 1 AS position
 FROM taken
+""",
+    "op5_chat": r"""
+WITH c AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')
+), e AS (
+    SELECT *, length(replace(replace(replace(text, '\', '\b'), '###', '\h'), '</turn>', '\e')) AS text_chars,
+           length(replace(replace(replace(replace(replace(
+               role, '\', '\b'), '###', '\h'), '</turn>', '\e'), ':', '\c'), chr(10), '\n')) AS role_chars
+    FROM c
+), t AS (
+    SELECT conv_id, count(*) AS n_turns,
+           string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
+           coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS trained,
+           sum(4 + role_chars + 2 + text_chars + 9)::BIGINT AS formatted_chars
+    FROM e GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(trained) AS loss_chars,
+       sha256(trained) AS loss_sha256, formatted_chars
+FROM t
 """,
     "op7_topk": r"""
 WITH v AS (

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import sys
+from collections.abc import Callable, Iterator
+from hashlib import sha256
 
 import public_tokenizers
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tastegrid.llm import exact_dedup, licenses, mixing, near_dup, packing, quality, topk, url_filter
+from tastegrid.llm import chat, exact_dedup, licenses, mixing, near_dup, packing, quality, token_files, topk, url_filter
+from tastegrid.sources.workspace import fresh_path
+
+# The functions below travel to the workers inside the task.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 # Vocabulary files are a parameter; these two lie beside the installed tokenizers.
@@ -47,6 +55,37 @@ def op4_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge(_table(spark, folder, "pages"), URL_RULES)
 
 
+# A conversation whose texts hold the marks of the template.
+MARKED_CHAT = [(-7, turn, role, "\\### Assistant: </turn> ok") for turn, role in enumerate(("user", "assistant"))]
+CHAT_DIGEST = (
+    "conv_id BIGINT, n_turns BIGINT, turns_sha256 STRING, loss_chars BIGINT, loss_sha256 STRING, "
+    "formatted_chars BIGINT"
+)
+
+
+def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What is read back from formatted chats."""
+    for batch in batches:
+        rows = []
+        columns = (batch.column(c).to_pylist() for c in ("conv_id", "formatted", "spans"))
+        for conv_id, text, spans in zip(*columns):
+            turns = chat.read_turns(text)
+            trained = "".join(
+                chat.unescape(text[s["text_begin"] : s["text_end"]]) for s in spans if s["loss"]
+            )
+            said = "".join(f"{role}\n{said}\n" for role, said in turns)
+            rows.append((conv_id, len(turns), sha256(said.encode()).hexdigest(), len(trained),
+                         sha256(trained.encode()).hexdigest(), len(text)))
+        names = [c.split()[0] for c in CHAT_DIGEST.split(", ")]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=names)
+
+
+def op5_chat(spark: SparkSession, folder: str) -> DataFrame:
+    chats = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    marked = spark.createDataFrame(MARKED_CHAT, "conv_id BIGINT, turn BIGINT, role STRING, text STRING")
+    return chat.format_chats(chats.unionByName(marked)).mapInArrow(_digest, CHAT_DIGEST)
+
+
 def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judged(_table(spark, folder, "documents"))
 
@@ -62,6 +101,11 @@ def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"), packing.PackConfig(WORD_TOKENIZER))
 
 
+def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    path = fresh_path(spark, "token-files")
+    return token_files.round_trip(_table(spark, folder, "documents"), path, BYTE_TOKENIZER)
+
+
 def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, folder, "documents"))
 
@@ -71,8 +115,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_licenses": op2_licenses,
     "op3_mixing": op3_mixing,
     "op4_url_filter": op4_url_filter,
+    "op5_chat": op5_chat,
     "op6_quality": op6_quality,
     "op7_topk": op7_topk,
     "op8_packing": op8_packing,
+    "op9_token_files": op9_token_files,
     "op10_exact_dedup": op10_exact_dedup,
 }
