@@ -20,7 +20,6 @@ VIEW_LIMIT = 25.0
 # What one task may hold comfortably; these steer the layout, never the result.
 ROWS_PER_TASK = 1_000_000
 MAX_HEAVY_KEYS = 100_000
-LIST_LIMIT = 100_000
 
 
 @dataclass(frozen=True)

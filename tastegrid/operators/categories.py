@@ -7,9 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tastegrid.config import SkewConfig
 from tastegrid.functions.shapes import expand_struct, fill_zero, largest_column, numeric_fields
-from tastegrid.operators.skew import heavy_keys, salted_join
 
 
 def expand_counts(counts: DataFrame, struct: str = "categories") -> tuple[DataFrame, list[str]]:
@@ -39,21 +37,25 @@ def category_map(top: DataFrame) -> DataFrame:
 
 
 def attach_category_id(top: DataFrame, cmap: DataFrame) -> DataFrame:
-    """Category id by name; the map is bounded by the number of count columns."""
-    return top.join(F.broadcast(cmap), "top_category").select(
+    """Category id by name; the map is bounded by the number of count columns.
+
+    An item without a category keeps its row, with a null id.
+    """
+    return top.join(F.broadcast(cmap), "top_category", "left").select(
         "item_id", "category_id", "top_category"
     )
 
 
-def remap_ids(df: DataFrame, id_map: DataFrame, skew: SkewConfig = SkewConfig()) -> DataFrame:
+def remap_ids(df: DataFrame, id_map: DataFrame) -> DataFrame:
     """Replace item ids by the ids of the interaction files.
 
-    Ids that are no number have no partner and drop out; ``rejected_ids`` counts them.
+    Ids that are no number have no partner and drop out; ``rejected_ids`` counts them. Items
+    have one row each on either side, so no key is heavy.
     """
     keyed = df.withColumn("item_id", F.col("item_id").try_cast("int")).where(
         F.col("item_id").isNotNull()
     )
-    joined = salted_join(keyed, id_map, "inner", heavy_keys(keyed, ["item_id"], skew))
+    joined = keyed.join(id_map, "item_id")
     rest = [c for c in df.columns if c != "item_id"]
     return joined.select(F.col("item_id_csv").alias("item_id"), *rest)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tastegrid.config import MIN_INTERACTIONS, MIN_RELEVANT_RATING, SkewConfig
-from tastegrid.operators.skew import HeavyKeys, copies, heavy_keys, salted_join
+from tastegrid.operators.skew import HeavyKeys, copies, heavy_from_counts, salted_join
 from tastegrid.sources.files import run_sql
 from tastegrid.sources.workspace import cut
 
@@ -24,7 +24,7 @@ def active_users_sql(spark: SparkSession, df: DataFrame, n: int = MIN_INTERACTIO
     """
     busy = run_sql(
         spark,
-        "SELECT user_id FROM interactions GROUP BY user_id HAVING count(*) >= :least",
+        "SELECT user_id FROM {interactions} GROUP BY user_id HAVING count(*) >= :least",
         {"interactions": df},
         least=n,
     )
@@ -32,8 +32,8 @@ def active_users_sql(spark: SparkSession, df: DataFrame, n: int = MIN_INTERACTIO
         spark,
         """
         SELECT rows.*
-        FROM interactions AS rows
-        LEFT SEMI JOIN busy_users AS busy ON rows.user_id = busy.user_id
+        FROM {interactions} AS rows
+        LEFT SEMI JOIN {busy_users} AS busy ON rows.user_id = busy.user_id
         """,
         {"interactions": df, "busy_users": cut(busy)},
     )
@@ -42,9 +42,13 @@ def active_users_sql(spark: SparkSession, df: DataFrame, n: int = MIN_INTERACTIO
 def active_users(
     df: DataFrame, n: int = MIN_INTERACTIONS, skew: SkewConfig = SkewConfig()
 ) -> DataFrame:
-    """Rows of users with at least ``n`` rows; heavy users are spread over tasks."""
-    heavy = heavy_keys(df, ["user_id"], skew)
-    return salted_join(df, user_counts(df, n).select("user_id"), "left_semi", heavy)
+    """Rows of users with at least ``n`` rows; heavy users are spread over tasks.
+
+    One stored count of users serves the search for heavy ones and the join.
+    """
+    counts = cut(user_counts(df.select("user_id").dropna(), n))
+    heavy = heavy_from_counts(counts, ["user_id"], skew)
+    return salted_join(df, counts.select("user_id"), "left_semi", heavy)
 
 
 def restrict_users(df: DataFrame, users: DataFrame, heavy: HeavyKeys) -> DataFrame:

@@ -10,12 +10,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tastegrid.config import ROWS_PER_TASK
 from tastegrid.functions.hashing import DRAW_BITS, digest, leading_bits
+from tastegrid.sources.workspace import cut
 
 ROWS_WORTH_A_TASK = 50_000
 BUCKET = "_bucket"
@@ -85,23 +85,20 @@ def key_offsets(
     """Add ``before``: rows of all smaller keys in the same ``by`` group.
 
     ``counts`` holds one row per key with its number of rows ``n``. It is read several
-    times and should be stored. Keys are cut into ranges at approximate quantiles;
-    the cut points shape the work only, the totals are exact for any of them.
+    times and should be stored. Keys are cut into ranges of their own order, whatever
+    their type; the ranges shape the work only, the totals are exact for any of them.
     """
-    keys = counts.count()
-    pieces = math.ceil(keys / rows_per_task)
+    pieces = math.ceil(counts.count() / rows_per_task)
     if pieces <= 1:
         return rows_before(counts, [by], [key])
-    steps = [i / pieces for i in range(1, pieces)]
-    cuts = sorted(set(counts.approxQuantile(key, steps, min(0.1 / pieces, 0.01))))
-    splits = [-math.inf, *cuts, math.inf]
-    value = counts.withColumn("_value", F.col(key).cast("double"))
-    ranged = Bucketizer(splits=splits, inputCol="_value", outputCol=BUCKET).transform(value)
+    ranged = cut(
+        counts.repartitionByRange(pieces, key).withColumn(BUCKET, F.spark_partition_id())
+    )
     sums = ranged.groupBy(by, BUCKET).agg(F.sum("n").alias("n"))
     starts = rows_before(sums, [by], [BUCKET]).select(by, BUCKET, F.col("before").alias("_start"))
     return (
         rows_before(ranged, [by, BUCKET], [key])
         .join(starts, [by, BUCKET])
         .withColumn("before", F.col("_start") + F.col("before"))
-        .drop("_start", "_value", BUCKET)
+        .drop("_start", BUCKET)
     )

@@ -13,12 +13,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tastegrid.config import LIST_LIMIT, SkewConfig
+from tastegrid.config import SkewConfig
 from tastegrid.operators.skew import copies, heavy_keys, salted_join
 
 # Copies of one candidate that are added up one by one; beyond, the rest of the
 # harmonic sum has a closed form that is exact to double precision.
 SUMMED_COPIES = 4096
+# Copies of one row that one step spreads out.
+COPIES_AT_ONCE = 10_000
 
 
 def top_k_per_user(
@@ -100,12 +102,30 @@ def place_candidates(cands: DataFrame, k: int | None = None, ties: str = "rank")
     )
 
 
-def ordered_lists(placed: DataFrame, name: str = "item_ids", limit: int = LIST_LIMIT) -> DataFrame:
-    """Item ids of each user in list order, in parts of at most ``limit`` ids.
+def ordered_places(placed: DataFrame) -> DataFrame:
+    """``user_id, place, item_id``: the list of each user, one row per place from 0.
 
-    Nearly every user has the single part 0. A longer list continues in parts 1, 2, ...
-    so no value grows with the number of rows of one user. The parts of a user are
-    built in different tasks.
+    The form for lists of any length: repeated rows take one place each, and nothing is
+    gathered.
+    """
+    numbered = placed.select("user_id", "item_id", "start", "copies").withColumn("_n", F.col("copies"))
+    step = F.lit(COPIES_AT_ONCE).cast("bigint")
+    groups = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_n") - 1) / step)))
+    spread = numbered.withColumn("_group", groups)
+    inside = F.sequence(
+        F.lit(0).cast("bigint"), F.least(F.col("_n") - F.col("_group") * step, step) - 1
+    )
+    rows = spread.withColumn("_step", F.explode(inside))
+    place = F.col("start") + F.col("_group") * step + F.col("_step")
+    return rows.select("user_id", place.cast("bigint").alias("place"), "item_id")
+
+
+def ordered_lists(placed: DataFrame, limit: int, name: str = "item_ids") -> DataFrame:
+    """Item ids of each user in list order, as arrays of at most ``limit`` ids.
+
+    The caller names the limit: a longer list goes on in rows with ``part`` 1, 2, ..., so no
+    value grows with the number of rows of one user. ``ordered_places`` has no such parts.
+    The parts of a user are built in different tasks.
     """
     first = F.floor(F.col("start") / limit).cast("bigint")
     last = F.floor((F.col("start") + F.col("copies") - 1) / limit).cast("bigint")
@@ -125,17 +145,17 @@ def ordered_lists(placed: DataFrame, name: str = "item_ids", limit: int = LIST_L
 
 
 def ordered_predictions(
-    df: DataFrame, k: int | None = None, ties: str = "rank", limit: int = LIST_LIMIT
+    df: DataFrame, limit: int, k: int | None = None, ties: str = "rank"
 ) -> DataFrame:
     """Item ids by descending prediction, then item; repeated rows stay repeated."""
     cands = copies(df, ["user_id", "item_id", "prediction"])
-    return ordered_lists(place_candidates(cands, k, ties), limit=limit)
+    return ordered_lists(place_candidates(cands, k, ties), limit)
 
 
-def relevant_items(rows: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
+def relevant_items(rows: DataFrame, limit: int) -> DataFrame:
     """Item ids of each user in ascending order; repeated rows stay repeated."""
     cands = copies(rows, ["user_id", "item_id"]).withColumn("prediction", F.lit(0))
-    return ordered_lists(place_candidates(cands), limit=limit)
+    return ordered_lists(place_candidates(cands), limit)
 
 
 def ranking_pairs(predicted: DataFrame, labels: DataFrame) -> DataFrame:

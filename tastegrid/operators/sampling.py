@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tastegrid.config import ROWS_PER_TASK, ViewConfig
@@ -29,27 +29,22 @@ def resample_percent(
     """Draw a percentage of the rows with replacement, with ``draw_id`` 0, 1, 2, ...
 
     Each draw picks one ordinal; ordinals are unique, so the join has no heavy key
-    beyond a row that chance picks several times. The pick uses 32 hash bits for
-    tables up to 2^32 rows and 64 beyond.
+    beyond a row that chance picks several times. Every pick reduces 64 hash bits.
     """
     rows = df.count()
     size = sample_size(rows, percent)
     placed = hash_ordinal(df, "place", seed, keys, rows, rows_per_task=rows_per_task)
     draws = df.sparkSession.range(size).select(
-        F.col("id").alias("draw_id"), _pick(rows, seed, [F.col("id")]).alias("ordinal")
+        F.col("id").alias("draw_id"), _pick(F.lit(rows), seed, [F.col("id")]).alias("ordinal")
     )
     return draws.join(placed, "ordinal").drop("ordinal")
 
 
-def _pick(rows: int | None, seed: int, keys: list, size=None):
-    """A draw reduced to ``[0, rows)``."""
-    limit = F.lit(rows).cast("bigint") if size is None else size
-    low = draw("pick", seed, keys)
-    if rows is not None and rows <= 1 << 32:
-        return F.pmod(low, F.greatest(limit, F.lit(1).cast("bigint")))
-    high = draw("pick-high", seed, keys)
+def _pick(rows: Column, seed: int, keys: list) -> Column:
+    """A draw of 64 bits reduced to ``[0, rows)``; the bias is below rows / 2^64."""
+    low, high = draw("pick", seed, keys), draw("pick-high", seed, keys)
     wide = high.cast("decimal(38,0)") * F.lit(1 << 32).cast("decimal(38,0)") + low
-    return F.pmod(wide, F.greatest(limit, F.lit(1).cast("bigint"))).cast("bigint")
+    return F.pmod(wide, F.greatest(rows.cast("bigint"), F.lit(1).cast("bigint"))).cast("bigint")
 
 
 def class_sizes(df: DataFrame, by: str) -> DataFrame:
@@ -100,7 +95,7 @@ def resample_to_smallest(
     picked = draws.join(small(classes), "_class").select(
         by,
         "draw_id",
-        _pick(shape["largest"], seed, [F.col(by), F.col("draw_id")], F.col("n")).alias("ordinal"),
+        _pick(F.col("n"), seed, [F.col(by), F.col("draw_id")]).alias("ordinal"),
     )
     return picked.join(placed, [by, "ordinal"]).drop("ordinal")
 

@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 # installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-USERS_PER_BLOCK = 16_384
+# Bytes that a task may hold for its users: factors as doubles, the k best, and room to merge.
+BLOCK_BYTES = 256 << 20
 # Upper bound for the score matrix of one step, in numbers.
 SCORES_PER_STEP = 4_000_000
 
@@ -31,23 +32,25 @@ def top_items(
     items: DataFrame,
     k: int,
     score_type: str = "DOUBLE",
-    users_per_block: int = USERS_PER_BLOCK,
+    users_per_block: int | None = None,
 ) -> DataFrame:
     """``user_id`` and ``recommendations``: the k best (item_id, rating), best first.
 
     Both frames hold a unique ``id`` and ``features`` of the same width. Equal scores
-    are ordered by item id. The items travel once per user block.
+    are ordered by item id. The items travel once per user block, in their stored type;
+    a block has as many users as fit in the memory of a task.
     """
     spark = users.sparkSession
-    number = users.count()
+    number, width = users.agg(F.count(F.lit(1)), F.max(F.size("features"))).first()
+    if users_per_block is None:
+        users_per_block = max(1, BLOCK_BYTES // (8 * (width or 1) + 48 * k))
     spread = min(spark.sparkContext.defaultParallelism, math.ceil(number / 64))
     blocks = max(1, math.ceil(number / users_per_block), spread)
-    whole = F.col("features").cast("array<double>").alias("features")
     block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")
     key = F.col("id").cast("bigint").alias("id")
-    left = users.select(block, F.lit(0).alias("side"), key, whole)
+    left = users.select(block, F.lit(0).alias("side"), key, "features")
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
-    right = items.select(every, F.lit(1).alias("side"), key, whole)
+    right = items.select(every, F.lit(1).alias("side"), key, "features")
     tiles = (
         left.unionByName(right)
         .where(F.col("features").isNotNull())
@@ -62,7 +65,7 @@ def top_items(
 def _matrix(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     ids = batch.column("id").to_numpy(zero_copy_only=False)
     values = batch.column("features").flatten().to_numpy(zero_copy_only=False)
-    return ids, values.reshape(len(ids), -1)
+    return ids, values.reshape(len(ids), -1).astype(np.float64, copy=False)
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -99,7 +99,8 @@ def _report(
     if cfg.mode == "test_rows":
         placed = candidates_from_pairs(scored, cfg)
     else:
-        recs = recommend(model, pairs.select("user_id"), cfg.k)
+        # Users without a relevant row count in no metric.
+        recs = recommend(model, pairs.where("relevant").select("user_id"), cfg.k)
         placed = candidates_from_recs(recs, train, pairs, cfg)
     metrics = ranking_metrics(placed, label_counts(pairs), cfg.k)
     return _side_by_side(rmse_of_pairs(scored), metrics)

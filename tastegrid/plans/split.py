@@ -130,18 +130,18 @@ def ordinals(df: DataFrame, users: DataFrame, cfg: SplitConfig) -> DataFrame:
     given; they take the places from ``ordinal`` on.
     """
     layout = _layout(df, users, cfg)
+    # Rows with equal keys go by their other columns: then only full copies can tie, and
+    # it makes no difference which of those goes first.
+    others = [F.col(f"`{c}`") for c in df.columns if c not in layout.keys]
     earlier = (
         Window.partitionBy("user_id", BUCKET)
-        .orderBy(DIGEST, *layout.keys)
+        .orderBy(DIGEST, *layout.keys, *others)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     place = F.coalesce(F.sum(layout.weight).over(earlier), F.lit(0))
     kept = [F.col(f"`{c}`") for c in layout.rows.columns if c != BUCKET]
-    # One row per user and bucket makes a small hash table per task, and the rows are
-    # sorted only once, for the window.
-    starts = layout.starts.hint("shuffle_hash")
     return (
-        layout.rows.join(starts, ["user_id", BUCKET])
+        layout.rows.join(layout.starts, ["user_id", BUCKET])
         .withColumn(DIGEST, digest("shuffle", cfg.shuffle_seed, layout.keys))
         .withColumn("ordinal", F.col("before") + place)
         .select(*kept, "part", "ordinal")

@@ -75,7 +75,9 @@ BLOCKS = {
         SELECT top_category, row_number() OVER (ORDER BY top_category) - 1 AS category_id
         FROM (SELECT DISTINCT top_category FROM tops)""",
     "item_map": """
-        SELECT CAST(p_partkey + 100000 AS INT) AS item_id_csv, CAST(p_partkey AS INT) AS item_id
+        SELECT CAST(p_partkey + 100000 AS INT) AS item_id_csv,
+               CAST(CASE WHEN p_partkey % 50 = 0 THEN p_partkey + 1000000 ELSE p_partkey END AS INT)
+               AS item_id
         FROM part""",
     "factors": """
         SELECT CAST(vec_id AS INT) AS id, embedding AS features,
@@ -112,6 +114,17 @@ def _lists(source: str, order: str, name: str, limit: int = 100_000) -> str:
         GROUP BY user_id, part"""
 
 
+def _pairs(predicted: str, limit: int = 100_000) -> str:
+    """Both lists by part, of the users that have both; a missing part is an empty text."""
+    ours = _lists(predicted, "prediction DESC, item_id", "predicted", limit)
+    liked = "(SELECT * FROM interactions WHERE rating >= 3)"
+    theirs = _lists(liked, "item_id", "relevant", limit)
+    return f"""
+        SELECT user_id, part, coalesce(predicted, '') AS predicted, coalesce(relevant, '') AS relevant
+        FROM ({ours}) FULL JOIN ({theirs}) USING (user_id, part)
+        WHERE user_id IN (SELECT user_id FROM {predicted}) AND user_id IN (SELECT user_id FROM {liked})"""
+
+
 def _top(source: str, k: int, ties: str = "rank") -> str:
     number = {
         "rank": "rank() OVER (PARTITION BY user_id ORDER BY prediction DESC)",
@@ -173,7 +186,11 @@ def _grid(steps: tuple[int, ...]) -> str:
     return _with("interactions", f"SELECT * FROM ({union}) ORDER BY map DESC, point LIMIT 1", **blocks)
 
 
-_PICK = "('0x' || substr(md5('pick:1:' || {}), 1, 8))::BIGINT"
+# 64 bits, the high half from a draw of its own.
+_PICK = (
+    "(('0x' || substr(md5('pick-high:1:' || {0}), 1, 8))::BIGINT::HUGEINT * 4294967296"
+    " + ('0x' || substr(md5('pick:1:' || {0}), 1, 8))::BIGINT)"
+)
 
 _RESAMPLE = """
     SELECT d.i AS draw_id, p.* EXCLUDE (place)
@@ -211,6 +228,11 @@ _UNSEEN = (
     "(SELECT 1 FROM train t WHERE t.user_id = r.user_id AND t.item_id = r.item_id)"
 )
 
+_KNOWN = (
+    "SELECT * FROM test WHERE user_id IN (SELECT user_id FROM train) "
+    "AND item_id IN (SELECT item_id FROM train)"
+)
+
 ORACLES: dict[str, str] = {
     "scan_interactions": _with("interactions", "SELECT * FROM interactions"),
     "json_counts_roundtrip": _COUNTS,
@@ -268,9 +290,8 @@ ORACLES: dict[str, str] = {
     ),
     "factors_category": _with(
         f"{_CATEGORIES} factors",
-        """SELECT tops.item_id, category_names.category_id,
-                  CAST(len(features) AS INT) AS width,
-                  features[1]::DOUBLE AS first, features[-1]::DOUBLE AS last
+        f"""SELECT tops.item_id, category_names.category_id,
+                  {", ".join(f"features[{i + 1}]::DOUBLE AS x{i}" for i in range(WIDTH))}
            FROM factors JOIN tops ON factors.id = tops.item_id
                         JOIN category_names USING (top_category)""",
     ),
@@ -324,13 +345,14 @@ ORACLES: dict[str, str] = {
         "interactions scored",
         _lists(f"({_top('scored', 10)})", "prediction DESC, item_id", "item_ids"),
     ),
-    "ranking_pairs": _with(
+    "ordered_places": _with(
         "interactions scored",
-        f"""SELECT user_id, part, predicted, relevant
-            FROM ({_lists(f"({_top('scored', 10)})", "prediction DESC, item_id", "predicted")})
-            JOIN ({_lists("(SELECT * FROM interactions WHERE rating >= 3)", "item_id", "relevant")})
-            USING (user_id, part)""",
+        """SELECT user_id, item_id,
+                  row_number() OVER (PARTITION BY user_id ORDER BY prediction DESC, item_id) - 1 AS place
+           FROM scored""",
     ),
+    "ranking_pairs": _with("interactions scored", _pairs(f"({_top('scored', 10)})")),
+    "ranking_pairs_in_parts": _with("interactions scored", _pairs("scored", 5)),
     "rmse": _with(
         "interactions scored",
         "SELECT round(sqrt(avg((rating - prediction) * (rating - prediction))), 6) AS rmse FROM scored",
@@ -387,6 +409,49 @@ ORACLES: dict[str, str] = {
     "ordered_recs": _with(
         f"{_SPLIT} recs", _lists(f"({_UNSEEN})", "rating DESC, item_id", "item_ids")
     ),
+    "als_factor_ids": _with(
+        _SPLIT, "SELECT DISTINCT CAST(item_id AS INT) AS item_id, 10::INTEGER AS width FROM train"
+    ),
+    "als_predicted_rows": _with(_SPLIT, _KNOWN),
+    "als_reload_rows": _with(_SPLIT, _KNOWN),
+    "als_recommend_counts": _with(
+        _SPLIT,
+        """SELECT user_id, n, n AS items
+           FROM (SELECT DISTINCT user_id FROM test WHERE user_id IN (SELECT user_id FROM train)),
+                (SELECT least(500, count(DISTINCT item_id))::BIGINT AS n FROM train)""",
+    ),
+    "eval_all_items_users": _with(
+        _SPLIT,
+        """SELECT count(DISTINCT user_id)::BIGINT AS users FROM test
+           WHERE rating >= 3 AND user_id IN (SELECT user_id FROM train)""",
+    ),
+    "als_grid_points": _with(
+        f"{_SPLIT} val",
+        """SELECT CAST(r * 2 + g AS INT) AS point, CAST([5, 10][r + 1] AS INT) AS rank,
+                  [0.05::DOUBLE, 0.1][g + 1] AS reg_param, users
+           FROM range(2) a(r), range(2) b(g),
+                (SELECT count(DISTINCT user_id)::BIGINT AS users FROM val
+                 WHERE rating >= 3 AND user_id IN (SELECT user_id FROM train))""",
+    ),
+    "job_split": _with(
+        f"{_SPLIT} val",
+        """SELECT *, 'train' AS part FROM train UNION ALL SELECT *, 'val' FROM val
+           UNION ALL SELECT *, 'test' FROM test""",
+    ),
+    "job_top_categories": _with(
+        f"{_CATEGORIES} item_map",
+        """SELECT item_id_csv AS item_id, category_id, top_category
+           FROM tops JOIN category_names USING (top_category)
+                     JOIN item_map ON tops.item_id = item_map.item_id""",
+    ),
+    "job_factors_by_category": _with(
+        f"{_CATEGORIES} factors item_map",
+        f"""SELECT item_id_csv AS item_id, category_id,
+                   {", ".join(f"features[{i + 1}]::DOUBLE AS x{i}" for i in range(WIDTH))}
+            FROM (SELECT id, features FROM factors)
+            JOIN item_map ON id + 100000 = item_id_csv JOIN tops ON tops.item_id = item_map.item_id
+            JOIN category_names USING (top_category)""",
+    ),
     "eval_all_items_fixed": _fixed(_REC_ROWS),
     "eval_unseen_items_fixed": _fixed(
         f"SELECT user_id, item_id, rating AS prediction FROM ({_UNSEEN})"

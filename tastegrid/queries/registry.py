@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tastegrid.config import AlsConfig, EvalConfig, GridConfig, SkewConfig, ViewConfig
+from tastegrid.config import TOP_K, AlsConfig, EvalConfig, GridConfig, SkewConfig, ViewConfig
 from tastegrid.functions.shapes import array_width
 from tastegrid.operators import als, categories, factors, interactions, ranking, sampling
-from tastegrid.operators.skew import heavy_keys
-from tastegrid.plans import split
+from tastegrid.operators.skew import copies, heavy_keys
+from tastegrid.plans import jobs, split
 from tastegrid.plans.evaluate import candidates_from_recs, evaluate, evaluate_scores
 from tastegrid.plans.grid import grid_search
 from tastegrid.queries import views
@@ -103,7 +103,7 @@ def distinct_items(spark, folder):
 @query
 def relevant_items(spark, folder):
     rows = interactions.relevant(views.interactions(spark, folder))
-    return as_text(ranking.relevant_items(rows), "item_ids")
+    return as_text(ranking.relevant_items(rows, views.LIST_LIMIT), "item_ids")
 
 
 # --- split -----------------------------------------------------------------------------
@@ -158,7 +158,7 @@ def merge_train(spark, folder):
 @query
 def warm_items(spark, folder):
     rows = views.interactions(spark, folder)
-    labeled = split.assign_parts(rows, views.SPLIT)
+    labeled = split.store_labeled(rows, views.SPLIT, fresh_path(spark, "labeled"))
     return interactions.warm_items(
         labeled.where("part <> 'train'"),
         labeled.where("part = 'train'"),
@@ -178,12 +178,12 @@ def split_train(spark, folder):
 
 @query
 def split_val(spark, folder):
-    return _split(spark, folder)[1]
+    return _split(spark, folder, store=True)[1]
 
 
 @query
 def split_test(spark, folder):
-    return _split(spark, folder)[2]
+    return _split(spark, folder, store=True)[2]
 
 
 # --- categories and factors ------------------------------------------------------------
@@ -214,7 +214,7 @@ def category_map(spark, folder):
 
 
 def _with_ids(spark, folder):
-    top = _top(spark, folder)
+    top = cut(_top(spark, folder))
     return categories.attach_category_id(top, categories.category_map(top))
 
 
@@ -233,15 +233,7 @@ def factors_category(spark, folder):
     joined = factors.factors_by_category(
         views.factors(spark, folder).drop("category_id"), _with_ids(spark, folder)
     )
-    return as_double(
-        joined.select(
-            "item_id",
-            "category_id",
-            F.size("features").alias("width"),
-            F.element_at("features", 1).alias("first"),
-            F.element_at("features", -1).alias("last"),
-        )
-    )
+    return as_double(factors.wide_factors(joined.select("item_id", "category_id", "features")))
 
 
 @query
@@ -316,7 +308,7 @@ def top_k_row_number(spark, folder):
 
 
 def _predicted_lists(spark, folder):
-    return ranking.ordered_predictions(views.scored(spark, folder), 10)
+    return ranking.ordered_predictions(views.scored(spark, folder), views.LIST_LIMIT, 10)
 
 
 @query
@@ -324,9 +316,26 @@ def ordered_predictions(spark, folder):
     return as_text(_predicted_lists(spark, folder), "item_ids")
 
 
+@query
+def ordered_places(spark, folder):
+    """The lists of all predictions, one row per place."""
+    cands = copies(views.scored(spark, folder), ["user_id", "item_id", "prediction"])
+    return ranking.ordered_places(ranking.place_candidates(cands))
+
+
+@query
+def ranking_pairs_in_parts(spark, folder):
+    """Whole lists cut after five ids, so that many go on in further rows."""
+    scored, rows = views.scored(spark, folder), views.interactions(spark, folder)
+    labels = ranking.relevant_items(interactions.relevant(rows), 5)
+    pairs = ranking.ranking_pairs(ranking.ordered_predictions(scored, 5), labels)
+    return as_text(pairs, "predicted", "relevant")
+
+
 @query
 def ranking_pairs(spark, folder):
-    labels = ranking.relevant_items(interactions.relevant(views.interactions(spark, folder)))
+    liked = interactions.relevant(views.interactions(spark, folder))
+    labels = ranking.relevant_items(liked, views.LIST_LIMIT)
     pairs = ranking.ranking_pairs(_predicted_lists(spark, folder), labels)
     return as_text(pairs, "predicted", "relevant")
 
@@ -419,7 +428,8 @@ def recs_only_test(spark, folder):
 def ordered_recs(spark, folder):
     train, _, _ = _split(spark, folder)
     recs = ranking.exclude_seen(ranking.rec_rows(views.fixed_recs(spark, folder)), train)
-    lists = ranking.ordered_predictions(recs.withColumnRenamed("rating", "prediction"))
+    scored = recs.withColumnRenamed("rating", "prediction")
+    lists = ranking.ordered_predictions(scored, views.LIST_LIMIT)
     return as_text(lists, "item_ids")
 
 
@@ -450,6 +460,7 @@ def eval_recs_in_test_fixed(spark, folder):
 # --- models --------------------------------------------------------------------------------
 
 FIT = AlsConfig(rank=10, reg_param=0.1)
+GRID = GridConfig(ranks=(5, 10), reg_params=(0.05, 0.1))
 
 
 def _model(spark, folder):
@@ -471,7 +482,7 @@ def als_predict(spark, folder):
 @query
 def als_recommend(spark, folder):
     model, _, test = _model(spark, folder)
-    return ranking.rec_rows(als.recommend(model, test, views.RECS_K))
+    return ranking.rec_rows(als.recommend(model, test, TOP_K))
 
 
 @query
@@ -485,7 +496,7 @@ def als_reload_predict(spark, folder):
 def _eval_model(spark, folder, mode):
     model, train, test = _model(spark, folder)
     pairs = cut(interactions.rated_pairs(test))
-    return evaluate(model, train, pairs, EvalConfig(mode=mode, k=views.RECS_K))
+    return evaluate(model, train, pairs, EvalConfig(mode=mode, k=TOP_K))
 
 
 @query
@@ -506,6 +517,96 @@ def eval_recs_in_test(spark, folder):
 @query
 def als_grid_metrics(spark, folder):
     train, val, _ = _split(spark, folder, store=True)
-    grid = GridConfig(ranks=(5, 10), reg_params=(0.1,))
-    cfg = EvalConfig(mode="all_items", k=views.RECS_K)
-    return grid_search(train, val, grid, cfg).metrics
+    cfg = EvalConfig(mode="all_items", k=TOP_K)
+    return grid_search(train, val, GRID, cfg).metrics
+
+
+# What does not depend on the fitted numbers, and so has an exact counterpart.
+
+
+@query
+def als_factor_ids(spark, folder):
+    """The items that got factors, and how many."""
+    found = als.item_factors(_model(spark, folder)[0])
+    return found.select(F.col("id").alias("item_id"), F.size("features").alias("width"))
+
+
+def _as_tested(df, test):
+    """Columns and types of the test rows; the model works on 32-bit ids."""
+    return df.select(*[F.col(f.name).cast(f.dataType) for f in test.schema.fields])
+
+
+@query
+def als_predicted_rows(spark, folder):
+    """The test rows that get a prediction: user and item are known."""
+    model, _, test = _model(spark, folder)
+    return _as_tested(als.predict(model, test), test)
+
+
+@query
+def als_reload_rows(spark, folder):
+    """The same from the model after a round trip through a file."""
+    model, _, test = _model(spark, folder)
+    path = fresh_path(spark, "model")
+    files.save_model(model, path)
+    return _as_tested(als.predict(files.load_model(path), test), test)
+
+
+@query
+def als_recommend_counts(spark, folder):
+    """Recommendations per user, and the different items among them."""
+    model, _, test = _model(spark, folder)
+    rows = ranking.rec_rows(als.recommend(model, test, TOP_K))
+    return rows.groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("item_id").alias("items")
+    )
+
+
+@query
+def eval_all_items_users(spark, folder):
+    """The users that count in the evaluation."""
+    return _eval_model(spark, folder, "all_items").select("users")
+
+
+@query
+def als_grid_points(spark, folder):
+    """The points of the grid in order; both axes are walked."""
+    return als_grid_metrics(spark, folder).select("point", "rank", "reg_param", "users")
+
+
+# --- jobs ------------------------------------------------------------------------------------
+
+
+@query
+def job_split(spark, folder):
+    """The three tables that the split job writes, with the part as a column."""
+    source, out = fresh_path(spark, "interactions"), fresh_path(spark, "split")
+    views.interactions(spark, folder).write.parquet(source)
+    paths = jobs.split(spark, source, out, views.SPLIT)
+    parts = [spark.read.parquet(p).withColumn("part", F.lit(name)) for name, p in paths.items()]
+    return split.merge_train(*parts)
+
+
+def _category_files(spark, folder):
+    counts, id_map = fresh_path(spark, "counts-json"), fresh_path(spark, "id-map-csv")
+    out = fresh_path(spark, "top")
+    views.nested_counts(spark, folder).write.json(counts)
+    files.write_csv(views.item_map(spark, folder), id_map, header=True)
+    jobs.top_categories(spark, counts, id_map, out, list(views.SEGMENTS))
+    return out
+
+
+@query
+def job_top_categories(spark, folder):
+    return spark.read.parquet(f"{_category_files(spark, folder)}/top_categories")
+
+
+@query
+def job_factors_by_category(spark, folder):
+    """Wide factors of items with a category; the factors go by the ids of the id map."""
+    source, out = fresh_path(spark, "factors"), fresh_path(spark, "wide")
+    renamed = views.factors(spark, folder).select((F.col("id") + 100000).alias("id"), "features")
+    renamed.write.parquet(source)
+    top = f"{_category_files(spark, folder)}/top_categories"
+    jobs.factors_by_category(spark, source, top, out)
+    return as_double(files.read_wide_factors(spark, out))

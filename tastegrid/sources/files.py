@@ -80,12 +80,10 @@ def write_csv(df: DataFrame, path: str, header: bool) -> None:
 
 
 def run_sql(
-    spark: SparkSession, text: str, views: Mapping[str, DataFrame], **params: object
+    spark: SparkSession, text: str, frames: Mapping[str, DataFrame], **params: object
 ) -> DataFrame:
-    """SQL text over DataFrames registered as temporary views."""
-    for name, df in views.items():
-        df.createOrReplaceTempView(name)
-    return spark.sql(text, args=params or None)
+    """SQL text over DataFrames, which it names in braces; no view stays in the session."""
+    return spark.sql(text, args=params or None, **frames)
 
 
 def save_model(model: ALSModel, path: str) -> None:

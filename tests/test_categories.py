@@ -2,7 +2,6 @@ import json
 
 from pyspark.sql import functions as F
 
-from tastegrid.config import SkewConfig
 from tastegrid.operators.categories import (
     attach_category_id,
     category_map,
@@ -69,7 +68,7 @@ def test_ids_map_and_translation(spark, tmp_path):
     id_map = read_id_map(spark, str(tmp_path / "map.csv"))
     expected = {(100, 0, "history, biography"), (200, 1, "poetry")}
     assert set(map(tuple, remap_ids(ids, id_map).collect())) == expected
-    heavy = remap_ids(ids.unionByName(ids), id_map, SkewConfig(rows_per_task=1))
+    heavy = remap_ids(ids.unionByName(ids), id_map)
     assert sorted(map(tuple, heavy.collect())) == sorted(2 * list(expected))
     assert rejected_ids(ids).first()["rejected"] == 1
     path = str(tmp_path / "cmap")
@@ -112,3 +111,12 @@ def test_projection_keeps_the_largest_spread(spark):
     assert view.columns == ["item_id", "category_id", "x", "y"]
     ends = {r["item_id"]: r["x"] for r in view.where("item_id IN (0, 199)").collect()}
     assert abs(ends[199] - ends[0] - 597) < 0.1
+
+
+def test_items_without_a_category_keep_their_rows(spark, tmp_path):
+    """``empty="null"``: no category id, but the item stays."""
+    flat, names = expand_counts(read_counts_json(spark, write_lines(tmp_path)))
+    top = top_category(flat, names, "null")
+    ids = attach_category_id(top, category_map(top))
+    got = {r["item_id"]: (r["category_id"], r["top_category"]) for r in ids.collect()}
+    assert len(got) == len(LINES) and got["3"] == (None, None) and got["2"][1] == "poetry"

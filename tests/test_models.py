@@ -109,15 +109,15 @@ def test_evaluate_equals_spark_metrics_over_lists(spark, parts, model, mode):
     evaluator = RegressionEvaluator(metricName="rmse", labelCol="rating", predictionCol="prediction")
     assert got["rmse"] == pytest.approx(evaluator.evaluate(scored), abs=1e-9)
     if mode == "test_rows":
-        lists = ranking.ordered_predictions(scored, k)
+        lists = ranking.ordered_predictions(scored, 100_000, k)
     else:
         rows = ranking.rec_rows(als.recommend(model, test, k))
         if mode == "unseen_items":
             rows = ranking.exclude_seen(rows, train)
         elif mode == "recs_in_test":
             rows = rows.join(test.select("user_id", "item_id"), ["user_id", "item_id"])
-        lists = ranking.ordered_predictions(rows.withColumnRenamed("rating", "prediction"))
-    labels = ranking.relevant_items(test.where("rating >= 3"))
+        lists = ranking.ordered_predictions(rows.withColumnRenamed("rating", "prediction"), 100_000)
+    labels = ranking.relevant_items(test.where("rating >= 3"), 100_000)
     pairs = ranking.ranking_pairs(lists, labels).collect()
     rdd = spark.sparkContext.parallelize([(r["predicted"], r["relevant"]) for r in pairs])
     metrics = RankingMetrics(rdd)

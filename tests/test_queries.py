@@ -7,6 +7,8 @@ from tastegrid.operators.interactions import active_users_sql
 from tastegrid.operators.ranking import top_k_per_user
 from tastegrid.plans.split import ordinals, user_plan
 from tastegrid.queries import views
+from tastegrid.queries.oracles import ORACLES
+from tastegrid.queries.registry import QUERIES
 from tests.compare import connect, difference
 
 FOLDER = "/root/testdata/sf0.001"
@@ -29,16 +31,17 @@ def database():
 
 
 def test_every_query_but_the_models_has_sql():
-    assert set(queries()) - set(oracle_sql()) == MODELS
+    assert set(QUERIES) - set(ORACLES) == MODELS
+    assert set(QUERIES) <= set(queries()) and set(ORACLES) <= set(oracle_sql())
     assert not set(oracle_sql()) - set(queries())
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, database, name):
     assert difference(queries()[name](spark, FOLDER), database.sql(oracle_sql()[name])) is None
 
 
-@pytest.mark.parametrize("name", sorted(MODELS - {"als_grid_metrics", "als_reload_predict"}))
+@pytest.mark.parametrize("name", sorted(MODELS))
 def test_model_query_gives_rows(spark, name):
     assert queries()[name](spark, FOLDER).count() > 0
 
@@ -85,5 +88,23 @@ def test_top_k_is_cut_before_the_shuffle(spark):
     assert text.count("WindowGroupLimit") == 2
 
 
+def test_sql_leaves_no_views(spark):
+    spark.range(3).createOrReplaceTempView("interactions")
+    active_users_sql(spark, views.interactions(spark, FOLDER), 10).count()
+    assert [t.name for t in spark.catalog.listTables() if t.isTemporary] == ["interactions"]
+    assert spark.table("interactions").count() == 3
+    spark.catalog.dropTempView("interactions")
+
+
+SCANS = {"active_users_df": 1, "split_test": 1, "split_val": 1, "top_category_mapped": 0, "resample_pct": 2}
+
+
+@pytest.mark.parametrize("name", sorted(SCANS))
+def test_scans_of_the_large_table(spark, name):
+    """How often the returned plan reads the lines; stored steps before it read them once."""
+    text = plan(queries()[name](spark, FOLDER))
+    assert text.count("lineitem.parquet") <= SCANS[name]
+
+
 def test_active_users_sql_is_a_semi_join(spark):
     assert "LeftSemi" in plan(active_users_sql(spark, views.interactions(spark, FOLDER), 10))

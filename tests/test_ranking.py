@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tastegrid.config import EvalConfig, SkewConfig
 from tastegrid.operators import ranking
+from tastegrid.operators.skew import copies
 from tastegrid.plans.evaluate import evaluate_scores
 
 TOY = [
@@ -136,9 +137,9 @@ def lists_by_loop(rows, k, ties):
 @pytest.mark.parametrize("ties", ["rank", "row_number"])
 def test_ordered_predictions_equal_a_plain_sort(scored, ties):
     expected = lists_by_loop(scored.collect(), 25, ties)
-    whole = ranking.ordered_predictions(scored, 25, ties)
+    whole = ranking.ordered_predictions(scored, 100_000, 25, ties)
     assert {r["user_id"]: r["item_ids"] for r in whole.collect()} == expected
-    parts = ranking.ordered_predictions(scored, 25, ties, limit=7).collect()
+    parts = ranking.ordered_predictions(scored, 7, 25, ties).collect()
     joined = {}
     for r in sorted(parts, key=lambda r: (r["user_id"], r["part"])):
         assert 1 <= len(r["item_ids"]) <= 7
@@ -147,8 +148,8 @@ def test_ordered_predictions_equal_a_plain_sort(scored, ties):
 
 
 def test_ranking_pairs_drop_users_without_labels_and_pad_parts(spark, scored):
-    pred = ranking.ordered_predictions(scored, 3, "row_number", limit=2)
-    labels = ranking.relevant_items(scored.where("rating >= 3 AND user_id < 5"), limit=2)
+    pred = ranking.ordered_predictions(scored, 2, 3, "row_number")
+    labels = ranking.relevant_items(scored.where("rating >= 3 AND user_id < 5"), 2)
     pairs = ranking.ranking_pairs(pred, labels).collect()
     # Users 2 and 3 have low ratings only, all others are left out of the labels.
     assert {r["user_id"] for r in pairs} == {1, 4}
@@ -194,3 +195,15 @@ def test_best_point_takes_the_earliest_of_equals(spark):
         [(0, 0.2), (1, 0.5), (2, 0.5), (3, None)], "point INT, map DOUBLE"
     )
     assert tuple(ranking.best_point(metrics).first()) == (1, 0.5)
+
+
+def test_places_are_the_lists_with_one_row_each(spark):
+    scored = spark.createDataFrame(
+        [(1, 5, 2.0), (1, 5, 2.0), (1, 4, 2.0), (1, 9, 3.0), (2, 1, 0.5)], "user_id INT, item_id INT, prediction DOUBLE"
+    )
+    cands = copies(scored, ["user_id", "item_id", "prediction"])
+    found = ranking.ordered_places(ranking.place_candidates(cands)).collect()
+    assert sorted(map(tuple, found)) == [(1, 0, 9), (1, 1, 4), (1, 2, 5), (1, 3, 5), (2, 0, 1)]
+    many = spark.createDataFrame([(1, 7, 0, 25_003)], "user_id INT, item_id INT, start BIGINT, copies BIGINT")
+    places = sorted(r["place"] for r in ranking.ordered_places(many).collect())
+    assert places == list(range(25_003))

@@ -7,6 +7,7 @@ from tastegrid.config import ViewConfig
 from tastegrid.functions.hashing import draw
 from tastegrid.operators.ordinals import bucket_bits, hash_ordinal
 from tastegrid.operators.sampling import (
+    _pick,
     plot_points,
     resample_percent,
     resample_to_smallest,
@@ -66,8 +67,9 @@ def test_resample_percent_picks_by_draw(spark, points):
         r["ordinal"]: r["item_id"]
         for r in hash_ordinal(points, "place", 1, ["item_id"], 605).collect()
     }
-    draws = spark.range(61).select("id", draw("pick", 1, ["id"]).alias("u")).collect()
-    expected = {r["id"]: order[r["u"] % 605] for r in draws}
+    halves = (draw("pick-high", 1, ["id"]).alias("high"), draw("pick", 1, ["id"]).alias("low"))
+    draws = spark.range(61).select("id", *halves).collect()
+    expected = {r["id"]: order[(r["high"] * 2**32 + r["low"]) % 605] for r in draws}
     got = resample_percent(points, 10, 1, ["item_id"])
     assert {r["draw_id"]: r["item_id"] for r in got.collect()} == {
         i: expected[i] for i in range(60)
@@ -103,3 +105,12 @@ def test_plot_points(points):
     sizes = {r["count"] for r in balanced.groupBy("category_id").count().collect()}
     least = sampled.groupBy("category_id").count().agg(F.min("count")).first()[0]
     assert sizes == {least}
+
+
+def test_picks_are_even_for_very_large_tables(spark):
+    """Three billion rows: the lower ordinals get their share of the draws, and no more."""
+    n, rows = 200_000, 3_000_000_000
+    picks = spark.range(n).select(_pick(F.lit(rows), 1, [F.col("id")]).alias("p"))
+    low = picks.where(F.col("p") < (1 << 32) % rows).count() / n
+    assert abs(low - ((1 << 32) % rows) / rows) < 0.01
+    assert picks.agg(F.max("p")).first()[0] < rows

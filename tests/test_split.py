@@ -141,3 +141,23 @@ def test_merge_train_matches_by_name_and_keeps_duplicates(spark):
     a = spark.createDataFrame([(1, 2)], "user_id INT, item_id INT")
     b = spark.createDataFrame([(2, 1), (2, 1)], "item_id INT, user_id INT")
     assert bag(merge_train(a, b)) == {(1, 2): 3}
+
+
+def test_text_ids_work_beyond_one_task(spark):
+    counts = spark.range(1000).select(
+        F.concat(F.lit("u"), F.md5(F.col("id").cast("string"))).alias("user_id"),
+        (F.col("id") % 7 + 1).alias("n"),
+        F.lit("a").alias("part"),
+    )
+    one = key_offsets(counts, "part", "user_id")
+    many = key_offsets(counts, "part", "user_id", rows_per_task=70)
+    assert bag(many.select("user_id", "before")) == bag(one.select("user_id", "before"))
+
+
+def test_row_key_that_is_not_unique_gives_one_split(spark, rows):
+    """Rows with equal keys go by their other columns, under any partitioning."""
+    same = rows.withColumn("row_key", F.lit("same"))
+    one = bag(assign_parts(same.repartition(7), KEYED))
+    assert one == bag(assign_parts(same.repartition(3), KEYED))
+    train, val, test = split_interactions(same, KEYED)
+    assert sum(one.values()) >= train.count() + val.count() + test.count()
