@@ -18,31 +18,36 @@ def components(links: DataFrame, shelf: Shelf, label: str = "links") -> DataFram
     pairs = links.where("a != b").select(
         F.greatest("a", "b").alias("big"), F.least("a", "b").alias("small")
     )
-    edges = shelf.put(f"{label}-0", pairs.distinct())
-    mark, step = None, 0
-    while mark != (mark := _mark(edges)):
-        for star in (_large_star, _small_star):
-            least = shelf.put(f"{label}-least", edges.groupBy("big").agg(F.min("small").alias("m")))
-            fresh = shelf.put(f"{label}-{step + 1}", star(edges, least).distinct())
-            shelf.drop(f"{label}-{step}", f"{label}-least")
-            edges, step = fresh, step + 1
-    roots = edges.select("small").distinct().select("small", F.col("small").alias("component"))
-    return roots.withColumnRenamed("small", "node").unionByName(
-        edges.select(F.col("big").alias("node"), F.col("small").alias("component"))
-    )
+    edges, step = shelf.put(f"{label}-0", pairs.distinct()), 0
+    while True:
+        least = shelf.put(f"{label}-least", _least(edges))
+        if _settled(least):
+            break
+        large = shelf.put(f"{label}-large", _large_star(edges, least).distinct())
+        shelf.drop(f"{label}-{step}", f"{label}-least")
+        least = shelf.put(f"{label}-least", _least(large))
+        edges, step = shelf.put(f"{label}-{step + 1}", _small_star(large, least).distinct()), step + 1
+        shelf.drop(f"{label}-large", f"{label}-least")
+    roots = least.select("m").distinct().select(F.col("m").alias("node"), F.col("m").alias("component"))
+    return roots.unionByName(least.select(F.col("big").alias("node"), F.col("m").alias("component")))
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(
-        edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("big", "small").cast("decimal(38,0)"))).first()
-    )
+def _least(edges: DataFrame) -> DataFrame:
+    return edges.groupBy("big").agg(F.min("small").alias("m"), F.count(F.lit(1)).alias("n"))
+
+
+def _settled(least: DataFrame) -> bool:
+    """Whether every node with a smaller neighbour has one only, and that one has none."""
+    if not least.where("n > 1").isEmpty():
+        return False
+    return least.join(least.select(F.col("big").alias("m")), "m", "left_semi").isEmpty()
 
 
 def _large_star(edges: DataFrame, least: DataFrame) -> DataFrame:
-    near = least.withColumnRenamed("big", "small")
+    near = least.select(F.col("big").alias("small"), "m")
     return edges.join(near, "small", "left").select("big", F.coalesce("m", "small").alias("small"))
 
 
 def _small_star(edges: DataFrame, least: DataFrame) -> DataFrame:
     moved = edges.join(least, "big").where("small != m").select(F.col("small").alias("big"), "m")
-    return moved.unionByName(least).withColumnRenamed("m", "small")
+    return moved.unionByName(least.select("big", "m")).withColumnRenamed("m", "small")

@@ -375,13 +375,12 @@ def near_groups(
     run = _Search(docs, words, at_least)
     run.store_sets()
     stars = run.shelf.put("pivot-pairs", run.pivots())
-    links = run.shelf.put("first", run.confirm(stars, "pivot").unionByName(run.same_ids()))
+    links = run.confirm(stars, "pivot").unionByName(run.same_ids())
     comps = run.shelf.put("first-comps", components(links, run.shelf, "first"))
     more = run.confirm(run.leftovers(stars, comps), "rest")
     if not more.isEmpty():
-        comps = run.shelf.put(
-            "last-comps", components(links.unionByName(more), run.shelf, "last")
-        )
+        known = comps.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        comps = run.shelf.put("last-comps", components(known.unionByName(more), run.shelf, "last"))
     run.shelf.drop("sets", "active", "scored", "stars", "members", "differ", "least", "known", "rare")
     placed = run.classes.select("set_key", "n", "cls", "rep").join(
         comps.withColumnRenamed("node", "cls"), "cls", "left"
@@ -405,5 +404,7 @@ def near_groups(
 
 def drop_near_copies(docs: DataFrame, words: int = 5, at_least: tuple[int, int] = (4, 5)) -> DataFrame:
     """The rows that stay, with all their columns in their order."""
-    gone = near_groups(docs, words, at_least).where("NOT kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone.distinct(), docs["doc_id"] == F.col("_gone"), "left_anti")
+    gone = near_groups(docs, words, at_least).where("NOT kept").select("doc_id").distinct()
+    # Whole rows as one column: no name of theirs can clash with one used here.
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.struct("*").alias("row"))
+    return rows.join(gone, "doc_id", "left_anti").select("row.*")
