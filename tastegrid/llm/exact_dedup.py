@@ -160,14 +160,12 @@ def exact_groups(
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows that stay, with all their columns in their order."""
     staying = exact_groups(docs).where("kept").select(*ROW)
-    marked = docs.withColumn("_sha256", F.sha2(normalised(F.col("text")), 256))
-    twice = (
-        marked.groupBy("doc_id", "_sha256").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Whole rows as one column: no name of theirs can clash with one used here.
+    marked = docs.select(
+        "doc_id", F.sha2(normalised(F.col("text")), 256).alias("text_sha256"), F.struct("*").alias("row")
     )
-    same = marked["doc_id"].eqNullSafe(staying["doc_id"]) & (
-        marked["_sha256"] == staying["text_sha256"]
-    )
-    left = marked.join(staying, same, "left_semi")
+    twice = marked.groupBy(*ROW).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    left = marked.join(staying, _same_row(marked, staying), "left_semi")
     if not twice.isEmpty():
-        left = left.dropDuplicates(["doc_id", "_sha256"])
-    return left.drop("_sha256")
+        left = left.dropDuplicates(list(ROW))
+    return left.select("row.*")

@@ -136,7 +136,8 @@ def mixture(docs: DataFrame, mix: Mixture) -> DataFrame:
 
 def mixed(docs: DataFrame, mix: Mixture) -> DataFrame:
     """The rows of the mixture themselves, with the columns of ``docs``, in shuffled order."""
-    taken = _exploded(docs, mix, "_copy")
-    keyed = taken.withColumn("_key", digest("shuffle", mix.seed, ["doc_id", "_copy"]))
-    ranged = keyed.repartitionByRange("_key", "doc_id").sortWithinPartitions("_key", "doc_id")
-    return ranged.select(*[F.col(f"`{c}`") for c in docs.columns])
+    # Whole rows as one column: no name of theirs can clash with one used here.
+    rows = docs.select("doc_id", "source", "text", F.struct("*").alias("row"))
+    taken = _exploded(rows, mix, "copy").select("doc_id", "copy", "row")
+    keyed = taken.withColumn("_key", digest("shuffle", mix.seed, ["doc_id", "copy"]))
+    return keyed.repartitionByRange("_key", "doc_id").sortWithinPartitions("_key", "doc_id").select("row.*")
