@@ -1,0 +1,65 @@
+import itertools
+
+import pyarrow as pa
+import pytest
+
+from tastegrid.llm.quality import ACCEPT, LABELLERS, REJECT, QualityConfig, fit_label_model, judged, keep_good, look, votes
+from tests.llm.tables import LONG, documents
+
+FOLDER = "/root/testdata/sf0.01"
+
+
+def test_held_out_accuracy(spark):
+    """The labels table takes no part in the fit; it only measures."""
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{FOLDER}/labels.parquet").collect()}
+    rows = judged(spark.read.parquet(f"{FOLDER}/documents.parquet")).collect()
+    good = [r["kept"] for r in rows if labels.get(r["doc_id"]) == 1]
+    bad = [r["kept"] for r in rows if labels.get(r["doc_id"]) == 0]
+    assert sum(good) / len(good) > 0.98 and sum(bad) / len(bad) < 0.05
+    assert len(rows) == 1000
+
+
+def test_em_finds_the_accuracies_of_labellers():
+    """Patterns drawn from known chances: the counts are their expected numbers."""
+    prior = 0.7
+    accept_good = [0.97, 0.95, 0.9, 0.99, 0.93, 0.96, 0.9, 0.98]
+    accept_bad = [0.4, 0.5, 0.3, 0.6, 0.4, 0.5, 0.2, 0.5]
+    counts = {}
+    for pattern in itertools.product((ACCEPT, REJECT), repeat=len(LABELLERS)):
+        good, bad = prior, 1 - prior
+        for vote, g, b in zip(pattern, accept_good, accept_bad):
+            good *= g if vote == ACCEPT else 1 - g
+            bad *= b if vote == ACCEPT else 1 - b
+        counts[pattern] = round(1e7 * (good + bad))
+    model = fit_label_model(counts, 2000)
+    assert model.prior == pytest.approx(prior, abs=0.01)
+    for j, (g, b) in enumerate(zip(accept_good, accept_bad)):
+        assert model.good[j][0] == pytest.approx(g, abs=0.01) and model.bad[j][2] == pytest.approx(1 - b, abs=0.02)
+        right = prior * g + (1 - prior) * (1 - b)
+        assert model.accuracies()[j] == pytest.approx(right, abs=0.01)
+
+
+def test_votes_on_plain_cases():
+    texts = ["The house of the man is on the hill and it is not far from the sea.", "BUY!! NOW!! THE!! BEST!! DEAL!! EVER!! MADE!! HERE!!",
+             "spam " * 50, None, "", " \n ", "word | other | more | list | of | the | things | here"]
+    table = votes(look(pa.array(texts, pa.string())))
+    assert REJECT not in table[0] and (table[1] == REJECT).sum() >= 3 and (table[2] == REJECT).sum() >= 3
+    assert (table[3:6] == 0).all() and REJECT in table[6]
+
+
+ROWS = [(1, "The end of the day is near and all is well in the house of the man."), (2, None), (3, ""), (4, "A!! B!! C!! D!! E!! F!! G!! H!! I!!"),
+        (None, "It was the best of times and it was the worst of times for all of us."), (5, LONG), (6, "x"), (6, "x")]
+
+
+def test_odd_rows(spark):
+    docs = documents(spark, ROWS * 3, clashing=True)
+    rows = judged(docs, QualityConfig(train_docs=5)).collect()
+    assert len(rows) == len(ROWS) * 3
+    assert all(r["score"] == 0 and not r["kept"] for r in rows if r["doc_id"] in (2, 3))
+    assert keep_good(docs).columns == docs.columns
+    assert judged(documents(spark, [])).count() == 0 and keep_good(documents(spark, [])).count() == 0
+
+
+def test_one_class_only(spark):
+    docs = documents(spark, [(i, "The man and the sea of the north is on the way to the town.") for i in range(20)])
+    assert keep_good(docs).count() == 20
