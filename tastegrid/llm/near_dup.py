@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from tastegrid.llm.components import components
 from tastegrid.llm.shelf import Shelf
+from tastegrid.llm.tokens import slices
 
 # The functions below travel to the workers inside the task.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -37,6 +38,8 @@ MANTISSA_BITS = 10
 BAND = 4
 # Pairs of one pivot that meet in one task.
 PAIRS_PER_SALT = 64
+# Characters whose words a task holds at a time.
+TEXT_CHARS = 3_000_000
 # Standard errors by which an estimate may fall short of the threshold.
 ERRORS = 6.5
 
@@ -131,11 +134,13 @@ def _sketcher(words: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         probes = _probe_order()
         for batch in batches:
+            texts = batch.column("text")
             sizes, keys, sketches = [], [], []
-            for shingles in shingle_sets(batch.column("text"), words):
-                sizes.append(len(shingles))
-                keys.append(set_key(shingles))
-                sketches.append(registers(shingles, probes).view("<i8") if len(shingles) else None)
+            for low, high in slices(texts, TEXT_CHARS):
+                for shingles in shingle_sets(texts.slice(low, high - low), words):
+                    sizes.append(len(shingles))
+                    keys.append(set_key(shingles))
+                    sketches.append(registers(shingles, probes).view("<i8") if len(shingles) else None)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
@@ -152,9 +157,8 @@ def _sketcher(words: int) -> Callable:
 def _setter(words: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            # A few texts at a time, since the sets are larger than the texts.
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for low, high in slices(batch.column("text"), TEXT_CHARS):
+                part = batch.slice(low, high - low)
                 sets = list(shingle_sets(part.column("text"), words))
                 yield pa.RecordBatch.from_arrays(
                     [

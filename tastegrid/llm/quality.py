@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from tastegrid.functions.hashing import DRAW_SPACE, draw
 from tastegrid.llm.shelf import Shelf
+from tastegrid.llm.tokens import slices
 
 # The functions below travel to the workers inside the task.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -42,6 +43,8 @@ ACCEPT, ABSTAIN, REJECT = 1, 0, -1
 SHAPE_BUCKETS = 512
 # Words that the shares of a text are thinned by, so that a few words cannot decide.
 PADDING = 8
+# Characters whose words a task holds at a time.
+TEXT_CHARS = 3_000_000
 
 
 @dataclass(frozen=True)
@@ -252,11 +255,22 @@ def fit_label_model(counts: Mapping[tuple[int, ...], int], rounds: int = 200) ->
 # ---- the jobs ----
 
 
-def _vote_job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _looks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Seen, pa.RecordBatch]]:
+    """Pieces of the batches whose words fit in memory, seen."""
     for batch in batches:
-        table = votes(look(batch.column("text"))) + 1
-        code = table @ (3 ** np.arange(len(LABELLERS)))
-        yield pa.RecordBatch.from_arrays([pa.array(code, pa.int32())], names=["pattern"])
+        texts = batch.column("text")
+        for low, high in slices(texts, TEXT_CHARS):
+            yield look(texts.slice(low, high - low)), batch.slice(low, high - low)
+
+
+def _codes(seen: Seen) -> np.ndarray:
+    """The vote pattern of each text as one number."""
+    return (votes(seen) + 1) @ (3 ** np.arange(len(LABELLERS)))
+
+
+def _vote_job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for seen, _ in _looks(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(_codes(seen), pa.int32())], names=["pattern"])
 
 
 def pattern_of(code: int) -> tuple[int, ...]:
@@ -265,17 +279,14 @@ def pattern_of(code: int) -> tuple[int, ...]:
 
 def _train_job(posteriors: np.ndarray) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                seen = look(batch.column("text").slice(at, 1000))
-                codes = (votes(seen) + 1) @ (3 ** np.arange(len(LABELLERS)))
-                rows = np.zeros((len(codes), SHAPE_BUCKETS))
-                for row, (where, share) in zip(rows, features(seen)):
-                    row[where] = share
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(rows), pa.list_(pa.float64())), pa.array(posteriors[codes])],
-                    names=["shares", "posterior"],
-                )
+        for seen, _ in _looks(batches):
+            rows = np.zeros((len(seen.words), SHAPE_BUCKETS))
+            for row, (where, share) in zip(rows, features(seen)):
+                row[where] = share
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(rows), pa.list_(pa.float64())), pa.array(posteriors[_codes(seen)])],
+                names=["shares", "posterior"],
+            )
 
     return run
 
@@ -289,13 +300,11 @@ def _scores(seen: Seen, weights: np.ndarray, bias: float) -> np.ndarray:
 
 def _score_job(weights: np.ndarray, bias: float, posteriors: np.ndarray) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen = look(batch.column("text"))
+        for seen, batch in _looks(batches):
             score = _scores(seen, weights, bias)
-            codes = (votes(seen) + 1) @ (3 ** np.arange(len(LABELLERS)))
             names = [n for n in batch.schema.names if n != "text"]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(n) for n in names), pa.array(posteriors[codes]), pa.array(score)],
+                [*(batch.column(n) for n in names), pa.array(posteriors[_codes(seen)]), pa.array(score)],
                 names=[*names, "posterior", "score"],
             )
 
@@ -381,8 +390,7 @@ def keep_good(docs: DataFrame, config: QualityConfig = QualityConfig()) -> DataF
 
 def _filter_job(weights: np.ndarray, bias: float, least: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen = look(batch.column("text"))
+        for seen, batch in _looks(batches):
             yield batch.filter(pa.array(_scores(seen, weights, bias) >= least))
 
     return run
