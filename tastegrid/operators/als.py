@@ -47,6 +47,26 @@ def predict(model: ALSModel, df: DataFrame) -> DataFrame:
     return model.transform(df)
 
 
+def release(model: ALSModel) -> None:
+    """Give back the storage of the factors; the model cannot be used cheaply afterwards.
+
+    The factors are stored below the frames of the model, so the stored data is looked for
+    in their lineage, by the names that the fit gives it. The inputs of the fit stay.
+    """
+    seen: set[int] = set()
+    open_ = [f._jdf.queryExecution().toRdd() for f in (model.userFactors, model.itemFactors)]
+    while open_:
+        data = open_.pop()
+        if data.id() in seen:
+            continue
+        seen.add(data.id())
+        level = data.getStorageLevel()
+        if (level.useMemory() or level.useDisk()) and "Factors" in (data.name() or ""):
+            data.unpersist(False)
+        above = data.dependencies()
+        open_.extend(above.apply(i).rdd() for i in range(above.size()))
+
+
 def item_factors(model: ALSModel) -> DataFrame:
     return model.itemFactors
 

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from tastegrid.config import EvalConfig
 from tastegrid.operators.als import predict, recommend
-from tastegrid.operators.interactions import relevant
 from tastegrid.operators.ranking import (
     exclude_seen,
     label_counts,
@@ -123,6 +122,6 @@ def evaluate_scores(scored: DataFrame, cfg: EvalConfig = EvalConfig()) -> DataFr
         F.count(F.lit(1)).alias("copies"), F.max(rated).alias("relevant")
     )
     marked = folded.withColumn("relevant", F.max("relevant").over(Window.partitionBy(*PAIR)))
-    liked = relevant(scored, cfg.min_rating).select(*PAIR).distinct()
-    labels = label_counts(liked.withColumn("relevant", F.lit(True)))
+    # A pair may have several predictions; it is one relevant item all the same.
+    labels = label_counts(marked.select(*PAIR, "relevant").distinct())
     return ranking_metrics(candidates_from_pairs(marked, cfg), labels, cfg.k)

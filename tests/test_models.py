@@ -148,6 +148,21 @@ def test_grid_search_keeps_the_best_model(parts):
         assert tuple(a) == pytest.approx(tuple(b), abs=1e-6)
 
 
+def test_grid_search_releases_what_lost(spark, parts):
+    """Afterwards only the factors of the best model are stored."""
+    train, val, _ = parts
+    stored = spark.sparkContext._jsc.getPersistentRDDs
+    before = set(stored().keySet().toArray())
+    grid = GridConfig(ranks=(2, 3), reg_params=(0.1, 0.5), als=FIT)
+    result = grid_search(train, val, grid, EvalConfig(mode="all_items", k=10))
+    assert result.metrics.count() == 4
+    # Its user and item factors, and the first item factors, which the fit itself leaves.
+    assert len(set(stored().keySet().toArray()) - before) <= 3
+    assert result.model.itemFactors.count() > 0
+    als.release(result.model)
+    assert not set(stored().keySet().toArray()) - before
+
+
 def test_default_grid_has_fifty_points_ranks_outside():
     points = GridConfig().points()
     assert len(points) == 50
