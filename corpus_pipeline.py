@@ -39,7 +39,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as pieces in sequences of 2048 tokens."""
-    return packing.pack(docs, packing.PackConfig(WORD_TOKENIZER))
+    # The workers still hold what earlier stages left, so a task takes fewer texts at a time.
+    return packing.pack(docs, packing.PackConfig(WORD_TOKENIZER, slice_chars=5_000_000))
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tastegrid.llm.numbering import numbered
 from tastegrid.llm.shelf import Shelf
-from tastegrid.llm.tokens import WordEncoder, slices
+from tastegrid.llm.tokens import SLICE_CHARS, WordEncoder, slices
 
 # The functions below travel to the workers inside the task.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -36,11 +36,16 @@ END_ID = 0
 
 @dataclass(frozen=True)
 class PackConfig:
-    """Settings of a packing. ``max_steps`` bounds the local search, and so the plan."""
+    """Settings of a packing.
+
+    ``max_steps`` bounds the local search, and so the plan. A task encodes texts of about
+    ``slice_chars`` characters together: more share more words and take more memory.
+    """
 
     tokenizer: str
     capacity: int = 2048
     max_steps: int = 20_000
+    slice_chars: int = SLICE_CHARS
 
 
 # ---- the plan ----
@@ -225,7 +230,7 @@ def _cut_job(config: PackConfig, with_ids: bool) -> Callable:
         encoder = WordEncoder(config.tokenizer)
         for batch in batches:
             docs, texts = batch.column("doc_id"), batch.column("text")
-            for low, high in slices(texts):
+            for low, high in slices(texts, config.slice_chars):
                 ids, ends = encoder.encode(texts.slice(low, high - low))
                 rows: list[tuple] = []
                 for i in range(high - low):
