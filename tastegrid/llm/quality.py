@@ -8,7 +8,6 @@ document.
 
 from __future__ import annotations
 
-import itertools
 import math
 import re
 import sys
@@ -54,8 +53,8 @@ PLAIN = re.compile("([A-ZÀ-ÖØ-Þ]*)([a-zß-öø-ÿ]*)([.,]?)")
 class QualityConfig:
     """Settings of the classifier.
 
-    ``train_docs`` bounds the sample the scorer is fitted on (about that many documents,
-    chosen by a hash of their text); counts and votes always cover every document.
+    ``train_docs`` bounds the sample the scorer is fitted on (about that many different texts,
+    chosen by their hash); counts and votes always cover every document.
     """
 
     train_docs: int = 10_000
@@ -362,7 +361,9 @@ def fit(docs: DataFrame, config: QualityConfig = QualityConfig()) -> Classifier:
     counts = {pattern_of(r["pattern"]): r["count"] for r in rows}
     model = fit_label_model(counts, config.em_rounds)
     share = min(1.0, config.train_docs / max(sum(counts.values()), 1))
-    sample = texts.where(draw("train", config.seed, [F.coalesce("text", F.lit(""))]) < round(share * DRAW_SPACE))
+    chosen = draw("train", config.seed, [F.coalesce("text", F.lit(""))]) < round(share * DRAW_SPACE)
+    # Copies of one text are chosen together, so each text counts once.
+    sample = texts.where(chosen).distinct()
     shelf = Shelf(docs.sparkSession)
     train = shelf.put(
         "train", sample.mapInArrow(_train_job(_all_posteriors(model)), "shares ARRAY<DOUBLE>, posterior DOUBLE")
