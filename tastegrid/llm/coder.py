@@ -56,7 +56,8 @@ class _Model:
     def look(self, step: int) -> None:
         """Predictions for the next id of each block."""
         one, two = self.before
-        slot = [(one * 40503 >> 3) % SLOTS, (one * 40503 + two * 30011 >> 5) % SLOTS]
+        last = SLOTS - 1
+        slot = [(one * 40503 >> 3) & last, (one * 40503 + two * 30011 >> 5) & last]
         self.at = [self.base * SLOTS + s for s in slot]
         self.seen = [g[a].astype(np.int64) for g, a in zip(self.guess, self.at)]
         self.sure = [t[a].astype(np.int64) for t, a in zip(self.trust, self.at)]
@@ -111,6 +112,14 @@ def _ready(low: np.ndarray, width: np.ndarray) -> np.ndarray:
     return np.flatnonzero(settled | tight)
 
 
+def _shifted(ready: np.ndarray, low: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """Move those blocks on by a word, and return those of them that have another one."""
+    some_low, some_width = low[ready] << _WORD, width[ready] << _WORD
+    again = _ready(some_low, some_width)
+    low[ready], width[ready] = some_low, some_width
+    return ready[again]
+
+
 def _blocks_of(ids: np.ndarray) -> list[int]:
     return [min(BLOCK_IDS, len(ids) - at) for at in range(0, len(ids), BLOCK_IDS)]
 
@@ -155,10 +164,10 @@ def encode_blocks(ids: np.ndarray) -> list[np.ndarray]:
                 start = cum[new, byte]
                 narrow_to(some_low, some_width, start, cum[new, byte + 1] - start, BYTE_BITS)
             lo[new], wi[new] = some_low, some_width
-        while len(ready := _ready(lo, wi)):
+        ready = _ready(lo, wi)
+        while len(ready):
             put(ready, lo)
-            lo[ready] <<= _WORD
-            wi[ready] <<= _WORD
+            ready = _shifted(ready, lo, wi)
         model.learn(now, outcome)
     every = np.arange(blocks)
     for _ in range(2):
@@ -213,11 +222,11 @@ def decode_blocks(coded: list[np.ndarray], sizes: list[int]) -> np.ndarray:
                 symbol = symbol << 8 | byte
             lo[new], wi[new] = some_low, some_width
             now[new] = symbol
-        while len(ready := _ready(lo, wi)):
-            lo[ready] <<= _WORD
-            wi[ready] <<= _WORD
+        ready = _ready(lo, wi)
+        while len(ready):
             co[ready] = (co[ready] << _WORD) | words[ready, np.minimum(place[ready], longest + 1)]
             place[ready] += 1
+            ready = _shifted(ready, lo, wi)
         model.learn(now, outcome)
         found[step, :active] = now
     flat = np.ascontiguousarray(found.T).ravel()

@@ -26,7 +26,7 @@ from tastegrid.llm.tokens import WordEncoder, slices
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 END_ID = 0
-SEGMENT_IDS = 2048 * 4096
+SEGMENT_IDS = 1024 * 4096
 SEGMENTS = "part INT, before BIGINT, n_ids BIGINT, data BINARY"
 PARTS = (
     "doc_id BIGINT, part INT, first BIGINT, n_tokens BIGINT, piece_start BIGINT, size BIGINT, crc BIGINT"
