@@ -7,6 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from tastegrid.sources.workspace import fresh_path
 
 
+# Files of a table for each core of the cluster, at most. Many more would only be small.
+FILES_PER_CORE = 8
+
+
 class Shelf:
     """Tables of one run. They survive lost executors, and nothing is computed twice."""
 
@@ -17,7 +21,8 @@ class Shelf:
     def put(self, label: str, df: DataFrame) -> DataFrame:
         """Write ``df`` as Parquet and read it again; an earlier table of that label stays."""
         path = fresh_path(self.spark, label)
-        df.write.parquet(path)
+        most = FILES_PER_CORE * self.spark.sparkContext.defaultParallelism
+        df.coalesce(most).write.parquet(path)
         self.paths[label] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
