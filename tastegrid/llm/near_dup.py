@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tastegrid.llm.components import components
 from tastegrid.llm.shelf import Shelf
-from tastegrid.llm.tokens import slices
+from tastegrid.llm.tokens import give_back, slices
 
 # The functions below travel to the workers inside the task.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -150,6 +150,7 @@ def _sketcher(words: int) -> Callable:
                 ],
                 names=["doc_id", "n", "set_key", "sketch"],
             )
+            give_back()
 
     return run
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tastegrid.llm.numbering import numbered
 from tastegrid.llm.shelf import Shelf
-from tastegrid.llm.tokens import SLICE_CHARS, WordEncoder, slices
+from tastegrid.llm.tokens import SLICE_CHARS, WordEncoder, give_back, slices
 
 # The functions below travel to the workers inside the task.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -244,6 +244,7 @@ def _cut_job(config: PackConfig, with_ids: bool) -> Callable:
                 if with_ids:
                     arrays, names = [*arrays, pa.array(rest[4], pa.binary())], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
+            give_back()
 
     return run
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tastegrid.functions.hashing import DRAW_SPACE, draw
 from tastegrid.llm.shelf import Shelf
-from tastegrid.llm.tokens import slices
+from tastegrid.llm.tokens import give_back, slices
 
 # The functions below travel to the workers inside the task.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -279,6 +279,7 @@ def _looks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Seen, pa.RecordB
         texts = batch.column("text")
         for low, high in slices(texts, TEXT_CHARS):
             yield look(texts.slice(low, high - low)), batch.slice(low, high - low)
+        give_back()
 
 
 def _codes(seen: Seen) -> np.ndarray:

@@ -7,6 +7,7 @@ together, are the ids of the text. Tests hold this against the plain way.
 
 from __future__ import annotations
 
+import ctypes
 import json
 import os
 import sys
@@ -118,6 +119,14 @@ def _joined(
     return flat[shift], upto[before]
 
 
+def give_back() -> None:
+    """Return freed memory to the system; a worker lives on between jobs and would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(texts: pa.Array, most: int = SLICE_CHARS) -> list[tuple[int, int]]:
     """Ranges of rows with about ``most`` characters, one row at least."""
     sizes = np.cumsum(np.asarray(pc.fill_null(pc.utf8_length(texts), 0), dtype=np.int64))
