@@ -4,11 +4,19 @@ Every line of a text, and the whole text if it has several lines, is normalised
 as a unit. The coefficient of two sets can reach a threshold t only if the smaller set has at
 least t / (2 - t) times the size of the larger; templates outside these bounds are not
 compared. The scan needs no shuffle.
+
+Notices wrapped over lines, above code or inside a sentence are found in windows over the words
+of the whole text, each as long as its template; the templates there are complete license
+texts and file headers too.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Mapping
+from functools import cache
+from importlib import resources
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,6 +57,14 @@ TEMPLATES: dict[str, str] = {
 }
 
 
+@cache
+def full_texts() -> dict[str, str]:
+    """Complete license texts and file headers, from the files beside this module."""
+    folder = resources.files(__package__) / "license_texts"
+    files = [f for f in folder.iterdir() if f.name.endswith(".txt")]
+    return {f.name.removesuffix(".txt"): f.read_text(encoding="utf-8") for f in files}
+
+
 def words(text: Column) -> Column:
     """Words of a normalised text: A-Z lowered, ASCII signs but letters and digits are spaces."""
     plain = F.regexp_replace(text, "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+", " ")
@@ -129,3 +145,140 @@ def scan(
     return scored.where(F.col("best.dice") >= least).select(
         "doc_id", "line", F.col("best.license").alias("license"), F.col("best.dice").alias("dice")
     )
+
+
+# Words found in texts of any kind; a text is not looked at for their sake if that can be helped.
+COMMON = frozenset(
+    "a above all also an and any are as at b be but by c can do each for from has have if in is it its may "
+    "must no not of on only or other see shall such that the their then this to under use was were what when "
+    "which will with without you your 0 1 2 3 4 5".split()
+)
+
+
+def _probe(grams: list[str], need: int) -> set[str]:
+    """Words of which every text with ``need`` of the pairs has at least one.
+
+    The pairs without any of these words are fewer than ``need``.
+    """
+    left, chosen = [set(g.split(" ")) for g in grams], set()
+    while len(left) >= need:
+        counts: dict[str, int] = {}
+        for pair in left:
+            for w in pair:
+                counts[w] = counts.get(w, 0) + 1
+        best = min(counts, key=lambda w: (w in COMMON, -counts[w], w))
+        chosen.add(best)
+        left = [pair for pair in left if best not in pair]
+    return chosen
+
+
+def _strings(values: list[str]) -> Column:
+    """A constant array in one literal; no value holds a line feed."""
+    return F.split(F.lit("\n".join(values)), "\n")
+
+
+def _dice(one: Column, two: Column) -> Column:
+    """``one`` has different values; ``two`` may repeat some."""
+    return F.lit(2.0) * F.size(F.array_intersect(one, two)) / (F.size(one) + F.size(F.array_distinct(two)))
+
+
+def windows(
+    docs: DataFrame,
+    templates: Mapping[str, str] | None = None,
+    least: float = LEAST_DICE,
+    units: Mapping[str, str] | None = None,
+) -> DataFrame:
+    """``doc_id, line, license, dice``: notices in windows of the whole text that reach ``least``.
+
+    A window has as many words as its template, or all words of a shorter text. It is placed
+    wherever a pair of words that a template has once would lie as in the template. Of windows
+    that overlap, the one with the greatest coefficient is given, then the longest, the first by
+    name, the first in the text. ``line`` is the line on which it begins; two windows may
+    begin on one line. A window inside a line, or a text, that ``scan`` gives for the same
+    template of ``units`` is not given again. Templates of one word have no windows.
+    """
+    templates = {**TEMPLATES, **full_texts()} if templates is None else templates
+    units = TEMPLATES if units is None else units
+    table = docs.sparkSession.createDataFrame(sorted(templates.items()), "name STRING, text STRING")
+    share, rows, probe = least / (2 - least), [], set()
+    for r in table.select("name", words(F.col("text")).alias("words")).collect():
+        pairs = [" ".join(p) for p in zip(r["words"], r["words"][1:])]
+        if not pairs:
+            continue
+        counts = Counter(pairs)
+        grams = list(counts)
+        # Dice of at least t needs t / (2 - t) of the pairs of the template.
+        need = max(1, math.ceil(share * len(grams) - 1e-9))
+        own = _probe(grams, need)
+        probe |= own
+        once = [(p, i) for i, p in enumerate(pairs) if counts[p] == 1]
+        at = _strings([str(i) for _, i in once]).cast("array<int>")
+        rows.append(
+            F.struct(
+                F.lit(r["name"]).alias("name"), F.lit(len(r["words"])).alias("m"), F.lit(need).alias("need"),
+                _strings(sorted(own)).alias("probe"), _strings(grams).alias("grams"), _strings([p for p, _ in once]).alias("once"), at.alias("at"),
+            )
+        )
+    found = docs.select("doc_id", "text", _once(words(F.col("text"))).alias("words"))
+    if not rows:
+        return found.where("false").select("doc_id", F.lit(0).alias("line"), F.lit("").alias("license"), F.lit(0.0).alias("dice"))
+    hits = _once(F.array_intersect(_strings(sorted(probe)), F.col("words"))).alias("hits")
+    found = found.where(F.size("words") > 1).select("doc_id", "text", "words", hits).where(F.size("hits") > 0)
+    pairs = F.zip_with(
+        F.slice("words", F.lit(1), F.size("words") - 1), F.slice("words", F.lit(2), F.size("words") - 1),
+        lambda x, y: F.concat_ws(" ", x, y),
+    )
+    found = found.select("doc_id", "text", "words", "hits", _once(pairs).alias("pairs"))
+    near = F.filter(
+        F.array(*rows),
+        lambda t: F.arrays_overlap(t["probe"], F.col("hits"))
+        & (F.size(F.array_intersect(t["grams"], F.col("pairs"))) >= t["need"]),
+    )
+    found = found.select("doc_id", "text", "words", "pairs", _once(near).alias("near")).where(F.size("near") > 0)
+
+    def begins(t: Column) -> Column:
+        placed = F.transform("pairs", lambda p, i: F.struct(i.alias("i"), F.array_position(t["once"], p).cast("int").alias("j")))
+        placed = F.filter(placed, lambda x: x["j"] > 0)
+        last = F.greatest(F.size("words") - t["m"], F.lit(0))
+        return F.array_distinct(
+            F.transform(placed, lambda x: F.greatest(F.least(x["i"] - F.element_at(t["at"], x["j"]), last), F.lit(0)))
+        )
+
+    def window(t: Column, begin: Column) -> Column:
+        dice = _dice(t["grams"], F.slice("pairs", begin + 1, t["m"] - 1))
+        end = F.least(begin + t["m"], F.size("words"))
+        return F.struct(
+            (-dice).alias("low"), (-t["m"]).alias("short"), t["name"].alias("license"), begin.alias("begin"), end.alias("end")
+        )
+
+    all_windows = F.flatten(F.transform("near", lambda t: F.transform(begins(t), lambda b: window(t, b))))
+    good = F.array_sort(F.filter(all_windows, lambda x: x["low"] <= -least))
+    found = found.select("doc_id", "text", "words", _once(good).alias("good")).where(F.size("good") > 0)
+    apart = F.aggregate(
+        "good",
+        F.filter("good", lambda x: F.lit(False)),
+        lambda taken, x: F.when(
+            F.exists(taken, lambda y: (y["begin"] < x["end"]) & (x["begin"] < y["end"])), taken
+        ).otherwise(F.concat(taken, F.array(x))),
+    )
+    lines = F.split("text", "\n", -1)
+    owners = F.flatten(F.transform(lines, lambda t, i: F.transform(words(t), lambda w: i)))
+    found = found.select("doc_id", lines.alias("lines"), "words", owners.alias("owners"), F.explode(apart).alias("x"))
+    first, last = F.element_at("owners", F.col("x.begin") + 1), F.element_at("owners", F.col("x.end"))
+    found = found.select("doc_id", "lines", "words", "x", first.alias("line"), last.alias("last"))
+    known = _template_array(docs, units)
+
+    def given(unit: Column) -> Column:
+        return F.exists(
+            known, lambda t: (t["name"] == F.col("x.license")) & (_dice(t["grams"], bigrams(unit)) >= least)
+        )
+
+    on_line = (F.col("line") == F.col("last")) & given(words(F.element_at("lines", F.col("line") + 1)))
+    return found.where(~(given(F.col("words")) | on_line)).select(
+        "doc_id", "line", F.col("x.license").alias("license"), (-F.col("x.low")).alias("dice")
+    )
+
+
+def notices(docs: DataFrame, least: float = LEAST_DICE) -> DataFrame:
+    """The rows of ``scan``, and those of ``windows`` that it does not have."""
+    return scan(docs, least=least).unionByName(windows(docs, least=least))

@@ -44,7 +44,7 @@ def op1_near_dup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_licenses(spark: SparkSession, folder: str) -> DataFrame:
-    return licenses.scan(_table(spark, folder, "documents"))
+    return licenses.notices(_table(spark, folder, "documents"))
 
 
 def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:

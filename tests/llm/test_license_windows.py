@@ -1,0 +1,48 @@
+import textwrap
+
+from tastegrid.llm.licenses import TEMPLATES, full_texts, notices, scan, windows
+from tests.llm.tables import LONG, documents
+
+
+def names(df):
+    return sorted(((r["doc_id"], r["line"], r["license"]) for r in df.collect()), key=str)
+
+
+MIT_FILE = "MIT License\n\nCopyright (c) 2020 Some Body\n\n" + full_texts()["MIT-full"]
+HEADER = "\n".join("# " + line for line in full_texts()["Apache-2.0-header"].splitlines())
+GRANT = "\n".join(textwrap.wrap(TEMPLATES["MIT-text"], 76))
+ROWS = [
+    (1, MIT_FILE),
+    (2, "#!/bin/sh\n" + HEADER + "\n" + LONG[:9000] + "\nexit 0"),
+    (3, "This small tool by us is licensed under the Apache License, Version 2.0. and comes as it is"),
+    (4, LONG[:3000] + "\n" + GRANT + "\n" + LONG[:3000]),
+    (5, LONG[:500] + " released under the MIT License. " + LONG[:500] + " All rights reserved. " + LONG[:500]),
+    (6, "nothing about it\n" + LONG), (7, None), (8, ""), (9, "license"),
+    (10, full_texts()["GPL-3-full"] + "\n" + full_texts()["MPL-2.0-full"]),
+    (None, "above\n" + full_texts()["BSD-3-Clause-full"]),
+    (11, "All rights reserved."), (12, "Licensed under CC BY-NC 4.0.\nx\n" + TEMPLATES["MIT-text"]),
+]
+
+
+def test_full_file_wrapped_header_and_notice_in_a_sentence(spark):
+    docs = documents(spark, ROWS, clashing=True)
+    found = names(windows(docs))
+    assert found == sorted(
+        [(1, 4, "MIT-full"), (2, 1, "Apache-2.0-header"), (3, 0, "Apache-2.0"), (4, 1, "MIT-text"), (5, 0, "MIT"),
+         (5, 0, "reserved"), (10, 0, "GPL-3-full"), (None, 1, "BSD-3-Clause-full"),
+         (10, full_texts()["GPL-3-full"].count("\n") + 1, "MPL-2.0-full")], key=str
+    )
+    # Every row of the scan stays, and what it has is not given twice.
+    assert names(notices(docs)) == sorted(found + names(scan(docs)), key=str)
+
+
+def test_every_text_is_found_between_other_words(spark):
+    texts = {**TEMPLATES, **full_texts()}
+    rows = [(i, f"{LONG[:2000]} {text} {LONG[:2000]}") for i, text in enumerate(texts.values())]
+    best = {r["doc_id"]: (r["license"], r["dice"]) for r in windows(documents(spark, rows)).collect()}
+    assert best == {i: (name, 1.0) for i, name in enumerate(texts)}
+
+
+def test_windows_are_native_and_without_shuffle(spark):
+    plan = notices(documents(spark, ROWS))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
