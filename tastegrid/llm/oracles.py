@@ -149,5 +149,78 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id,
        count(*) OVER (PARTITION BY t) AS group_size,
        doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
 FROM d
+""",
+    "op11_fim": r"""
+WITH h AS (
+    SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS x FROM documents
+), tokens AS (
+    SELECT doc_id, t, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w,
+           ('0x' || substr(x, 1, 8))::BIGINT AS h1, ('0x' || substr(x, 9, 8))::BIGINT AS h2,
+           ('0x' || substr(x, 17, 8))::BIGINT AS h3, ('0x' || substr(x, 25, 8))::BIGINT AS h4
+    FROM h
+), cuts AS (
+    SELECT *, len(w) AS n, least(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS a,
+           greatest(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS b,
+           CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50
+                THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+    FROM tokens
+), parts AS (
+    SELECT *, array_to_string(w[1:a], '') AS prefix, array_to_string(w[a + 1:b], '') AS middle,
+           array_to_string(w[b + 1:], '') AS suffix
+    FROM cuts
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM parts
+""",
+    "op13_spelling": r"""
+WITH RECURSIVE bits(byte, c, k) AS (
+    SELECT b, b, 0 FROM range(256) r(b)
+    UNION ALL
+    SELECT byte, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8
+), crc AS MATERIALIZED (SELECT list(c ORDER BY byte) AS t FROM bits WHERE k = 8),
+runs AS (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[A-Za-z\x{C0}-\x{FF}]+')) AS run
+    FROM documents
+), per_doc AS (SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= 5 GROUP BY doc_id, run),
+hashed AS MATERIALIZED (
+    SELECT run, per_doc.n AS n, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(
+        string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''),
+        lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [195::BIGINT, (unicode(x) - 64)::BIGINT] END))),
+        lambda c, b: xor(c >> 8, crc.t[xor(c, b) % 256 + 1])), 4294967295) AS h
+    FROM per_doc, crc
+), made AS (
+    SELECT CASE WHEN h % 97 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2)
+                ELSE run END AS word, n
+    FROM hashed
+), words AS MATERIALIZED (
+    SELECT word, sum(n)::BIGINT AS n FROM made WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), cut AS MATERIALIZED (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words),
+shorter AS (SELECT DISTINCT word, n, left(word, i - 1) || substr(word, i + 1) AS less FROM cut),
+masked AS (SELECT word, n, i, left(word, i - 1) || '*' || substr(word, i + 1) AS mask FROM cut),
+pairs AS MATERIALIZED (
+    SELECT a.word, b.word AS near, b.n AS near_n FROM masked a JOIN masked b ON a.mask = b.mask AND a.word <> b.word
+    UNION ALL SELECT s.word, w.word, w.n FROM shorter s JOIN words w ON s.less = w.word
+    UNION ALL SELECT w.word, s.word, s.n FROM shorter s JOIN words w ON s.less = w.word
+), best AS (
+    SELECT word, count(*) AS n_near, max(near_n) AS most FROM pairs GROUP BY word
+), first AS (
+    SELECT b.word, b.n_near, b.most, min(p.near) AS near FROM best b JOIN pairs p ON b.word = p.word AND p.near_n = b.most
+    GROUP BY ALL
+), forms AS MATERIALIZED (
+    SELECT w.word, w.n, coalesce(f.n_near, 0) AS n_near, CASE WHEN f.most >= 2 * w.n THEN f.near END AS form,
+           CASE WHEN f.most >= 2 * w.n THEN f.most END AS form_n
+    FROM words w LEFT JOIN first f ON w.word = f.word
+), walk(word, place, k) AS (
+    SELECT word, word, 0 FROM forms
+    UNION ALL
+    SELECT walk.word, forms.form, k + 1 FROM walk JOIN forms ON walk.place = forms.word WHERE forms.form IS NOT NULL
+)
+SELECT f.word, f.form, max_by(walk.place, walk.k) AS root, f.n, f.n_near, f.form_n
+FROM forms f JOIN walk ON f.word = walk.word GROUP BY f.word, f.form, f.n, f.n_near, f.form_n
 """,
 }

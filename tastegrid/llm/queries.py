@@ -12,7 +12,21 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tastegrid.llm import chat, exact_dedup, licenses, mixing, near_dup, packing, quality, token_files, topk, url_filter
+from tastegrid.llm import (
+    chat,
+    exact_dedup,
+    fim,
+    licenses,
+    mixing,
+    near_dup,
+    packing,
+    quality,
+    secret_scan,
+    spelling,
+    token_files,
+    topk,
+    url_filter,
+)
 from tastegrid.sources.workspace import fresh_path
 
 # The functions below travel to the workers inside the task.
@@ -110,6 +124,18 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, folder, "documents"))
 
 
+def op11_fim(spark: SparkSession, folder: str) -> DataFrame:
+    return fim.digests(fim.transform(_table(spark, folder, "documents")))
+
+
+def op12_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.digests(secret_scan.scan(_table(spark, folder, "documents")))
+
+
+def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variant_forms(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dup": op1_near_dup,
     "op2_licenses": op2_licenses,
@@ -121,4 +147,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_token_files": op9_token_files,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_fim": op11_fim,
+    "op12_secrets": op12_secrets,
+    "op13_spelling": op13_spelling,
 }
