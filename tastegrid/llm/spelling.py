@@ -20,6 +20,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,9 +39,10 @@ REACH = 2
 
 # Words that a task holds counts for before it passes them on, and words it searches at a time.
 WORDS_AT_ONCE = 500_000
-QUERIES_AT_ONCE = 4_000
+QUERIES_AT_ONCE = 32_000
+LETTERS_AT_ONCE = 4_000_000
 # Words in the smallest box of a task, and the most pairs it compares at a time.
-BOX_WORDS = 24
+BOX_WORDS = 48
 PAIRS_AT_ONCE = 1_000_000
 
 
@@ -352,6 +354,20 @@ def _bits(counts: np.ndarray, most: np.ndarray) -> np.ndarray:
     return padded.view(np.uint64)
 
 
+def _gathered(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of small boxes put together, so that many are compared at a time."""
+    held, number = [], 0
+    for part in parts:
+        if len(part[0]):
+            held.append(part)
+            number += len(part[0])
+        if number >= PAIRS_AT_ONCE // 8:
+            yield tuple(map(np.concatenate, zip(*held)))
+            held, number = [], 0
+    if held:
+        yield tuple(map(np.concatenate, zip(*held)))
+
+
 def _one_replaced(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a != b).sum(axis=1) == 1
 
@@ -384,7 +400,7 @@ class _Box:
                 tree = self.trees.get(other)
                 if tree is None:
                     continue
-                for q, w in tree.search(queries.counts[mine], reach):
+                for q, w in _gathered(tree.search(queries.counts[mine], reach)):
                     yield from self._checked(queries, mine[q], w, length, other, names, sizes)
 
     def _checked(self, queries, q, w, length, other, names, sizes) -> Iterator[pa.RecordBatch]:
@@ -405,28 +421,46 @@ class _Box:
                 )
 
 
+class _Part:
+    """Words held until there are enough."""
+
+    def __init__(self) -> None:
+        self.words: list[str] = []
+        self.numbers: list[int] = []
+        self.letters = 0
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        self.words.extend(batch.column("word").to_pylist())
+        self.numbers.extend(batch.column("n").to_pylist())
+        self.letters += pc.sum(pc.utf8_length(batch.column("word"))).as_py()
+
+    def full(self) -> bool:
+        return len(self.words) >= QUERIES_AT_ONCE or self.letters >= LETTERS_AT_ONCE
+
+
 def _search_job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come by task, the words of the index before the queries."""
-    task, box, held = None, None, ([], [])
+    task, box, index, queries = None, None, _Part(), _Part()
+
+    def answers() -> Iterator[pa.RecordBatch]:
+        nonlocal box, queries
+        if index.words and queries.words:
+            box = box or _Box(index.words, index.numbers)
+            yield from box.pairs(queries.words, queries.numbers)
+        queries = _Part()
+
     for batch in batches:
         tasks = np.asarray(batch.column("task"))
         sides = np.asarray(batch.column("side"))
         cuts = np.flatnonzero((np.diff(tasks) != 0) | (np.diff(sides) != 0)) + 1
         for begin, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(tasks)]):
             if tasks[begin] != task:
-                task, box, held = tasks[begin], None, ([], [])
-            part = batch.slice(begin, end - begin)
-            if sides[begin] == 0:
-                held[0].extend(part.column("word").to_pylist())
-                held[1].extend(part.column("n").to_pylist())
-                continue
-            if not held[0]:
-                continue
-            if box is None:
-                box = _Box(*held)
-            for at in range(0, part.num_rows, QUERIES_AT_ONCE):
-                some = part.slice(at, QUERIES_AT_ONCE)
-                yield from box.pairs(some.column("word").to_pylist(), some.column("n").to_pylist())
+                yield from answers()
+                task, box, index = tasks[begin], None, _Part()
+            (queries if sides[begin] else index).add(batch.slice(begin, end - begin))
+            if queries.full():
+                yield from answers()
+    yield from answers()
 
 
 PAIRS = "word STRING, n BIGINT, near STRING, near_n BIGINT"
