@@ -13,8 +13,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tastegrid.config import SkewConfig
-from tastegrid.operators.skew import copies, heavy_keys, salted_join
+from tastegrid.config import MIN_RELEVANT_RATING, SkewConfig
+from tastegrid.operators.running import totals_before
+from tastegrid.operators.skew import HeavyKeys, copies, heavy_keys, salted_join
 
 # Copies of one candidate that are added up one by one; beyond, the rest of the
 # harmonic sum has a closed form that is exact to double precision.
@@ -60,46 +61,49 @@ def top_k_per_user(
     return _best_rows(cold, k, F.rank(), [F.desc("prediction")]).unionByName(found)
 
 
-def _best_rows(df: DataFrame, k: int, number: Column, order: list) -> DataFrame:
-    place = number.over(Window.partitionBy("user_id").orderBy(*order))
+def _best_rows(
+    df: DataFrame, k: int, number: Column, order: list, by: Sequence[str] = ("user_id",)
+) -> DataFrame:
+    place = number.over(Window.partitionBy(*by).orderBy(*order))
     return df.withColumn("rank", place).where(F.col("rank") <= k)
 
 
-def place_candidates(cands: DataFrame, k: int | None = None, ties: str = "rank") -> DataFrame:
+def place_candidates(
+    cands: DataFrame,
+    k: int | None = None,
+    ties: str = "rank",
+    heavy: HeavyKeys | None = None,
+    by: Sequence[str] = ("user_id",),
+    among: Column | None = None,
+) -> DataFrame:
     """Add ``start``: the 0-based place of a candidate in its user's list.
 
     Candidates are unique per user, item and prediction and carry ``copies``. The list
     runs from the best prediction down, then by item. With ``k`` only the top is kept,
-    tied candidates included unless ``ties="row_number"``.
+    tied candidates included unless ``ties="row_number"``; ``among`` limits that to some lists. A
+    ``relevant`` flag gives ``hits``, the relevant rows on earlier places. The rows of ``heavy`` users are
+    cut into ranges of their lists, so one user takes several tasks.
     """
-    if k is not None:
+    order = [F.desc("prediction"), F.col("item_id")]
+    if k is not None and not heavy and among is None:
         # A candidate stands for at least one row, so fewer than k candidates above
         # it are necessary to stay. This cut happens before the shuffle.
-        cands = _best_rows(cands, k, F.rank(), [F.desc("prediction")]).drop("rank")
-    order = Window.partitionBy("user_id").orderBy(F.desc("prediction"), "item_id")
-    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
-    placed = cands.withColumn(
-        "start", F.coalesce(F.sum("copies").over(earlier), F.lit(0)).cast("bigint")
-    )
+        cands = _best_rows(cands, k, F.rank(), order[:1], by).drop("rank")
+    totals = {"start": F.col("copies")}
+    if "relevant" in cands.columns:
+        totals["hits"] = F.when(F.col("relevant"), F.col("copies")).otherwise(0)
+    run = F.col("prediction") if k is not None and ties != "row_number" else None
+    placed = totals_before(cands, by, order, totals, run, heavy)
     if k is None:
         return placed
+    every = F.lit(False) if among is None else ~among
     if ties == "row_number":
         left = F.lit(k) - F.col("start")
-        return placed.where(left > 0).withColumn("copies", F.least("copies", left))
-    # The first place of a run of equal predictions is the number of better ones.
-    previous = F.lag("prediction").over(order)
-    opens = F.when(
-        previous.isNull() | (previous != F.col("prediction")), F.col("start")
-    )
-    return (
-        placed.withColumn("_opens", opens)
-        .withColumn(
-            "_better",
-            F.max("_opens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+        return placed.where(every | (left > 0)).withColumn(
+            "copies", F.when(every, F.col("copies")).otherwise(F.least("copies", left))
         )
-        .where(F.col("_better") < k)
-        .drop("_opens", "_better")
-    )
+    # Where a run of equal predictions begins is the number of better ones.
+    return placed.where(every | (F.col("run_start") < k)).drop("run_start")
 
 
 def ordered_places(placed: DataFrame) -> DataFrame:
@@ -127,21 +131,27 @@ def ordered_lists(placed: DataFrame, limit: int, name: str = "item_ids") -> Data
     value grows with the number of rows of one user. ``ordered_places`` has no such parts.
     The parts of a user are built in different tasks.
     """
+    spread = _pieces(placed, limit).repartition("user_id", "part")
+    return spread.groupBy("user_id", "part").agg(_joined_pieces(F.col("piece")).alias(name))
+
+
+def _pieces(placed: DataFrame, limit: int, keep: Sequence[str] = ()) -> DataFrame:
+    """The share of each candidate in each part of its list, as ``piece``: begin, item and times."""
     first = F.floor(F.col("start") / limit).cast("bigint")
     last = F.floor((F.col("start") + F.col("copies") - 1) / limit).cast("bigint")
-    pieces = placed.select(
-        "user_id", "item_id", "start", "copies", F.explode(F.sequence(first, last)).alias("part")
+    parts = placed.select(
+        "user_id", *keep, "item_id", "start", "copies", F.explode(F.sequence(first, last)).alias("part")
     )
     begin = F.greatest(F.col("start"), F.col("part") * limit)
     end = F.least(F.col("start") + F.col("copies"), (F.col("part") + 1) * limit)
-    piece = F.struct(
-        begin.alias("begin"), "item_id", (end - begin).cast("int").alias("times")
-    )
-    spread = pieces.select("user_id", "part", piece.alias("piece")).repartition("user_id", "part")
-    repeated = F.transform(
-        F.array_sort(F.collect_list("piece")), lambda p: F.array_repeat(p["item_id"], p["times"])
-    )
-    return spread.groupBy("user_id", "part").agg(F.flatten(repeated).alias(name))
+    piece = F.struct(begin.alias("begin"), "item_id", (end - begin).cast("int").alias("times"))
+    return parts.select("user_id", *keep, "part", piece.alias("piece"))
+
+
+def _joined_pieces(piece: Column) -> Column:
+    """Item ids of one part in list order."""
+    ordered = F.array_sort(F.collect_list(piece))
+    return F.flatten(F.transform(ordered, lambda p: F.array_repeat(p["item_id"], p["times"])))
 
 
 def ordered_predictions(
@@ -181,6 +191,43 @@ def ranking_pairs(predicted: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
+def pairs_in_one_pass(
+    rows: DataFrame,
+    limit: int,
+    k: int | None = None,
+    ties: str = "rank",
+    min_rating: int = MIN_RELEVANT_RATING,
+) -> DataFrame:
+    """The rows of ``ranking_pairs`` from rows with prediction and rating, read and grouped once.
+
+    Rows are folded, and each folded row stands in the list of predictions and, where it is liked, in that of
+    relevant items. Both lists are placed side by side, users with one list go, and the
+    parts of both are put together in one grouping. Rows that are kept by user need no shuffle
+    before that last one; a missing part is empty.
+    """
+    liked = F.coalesce(F.col("rating") >= min_rating, F.lit(False))
+    kind = rows.schema["prediction"].dataType
+    folded = rows.groupBy("user_id", "item_id", "prediction").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(liked).alias("liked")
+    )
+    # Relevant items go by item alone.
+    sides = F.array(
+        F.struct(F.lit(0).alias("side"), F.col("prediction"), F.col("n").alias("copies")),
+        F.struct(F.lit(1).alias("side"), F.lit(0).cast(kind).alias("prediction"), F.col("liked").alias("copies")),
+    )
+    tagged = folded.select("user_id", "item_id", F.inline(sides)).where("copies > 0")
+    both = Window.partitionBy("user_id")
+    known = tagged.withColumn("_both", F.max("side").over(both) > F.min("side").over(both)).where("_both").drop("_both")
+    placed = place_candidates(known, k, ties, by=("user_id", "side"), among=F.col("side") == 0)
+    pieces = _pieces(placed, limit, ["side"]).repartition("user_id", "part")
+    return pieces.groupBy("user_id", "part").agg(
+        *[
+            _joined_pieces(F.when(F.col("side") == side, F.col("piece"))).alias(name)
+            for side, name in enumerate(("predicted", "relevant"))
+        ]
+    )
+
+
 def label_counts(pairs: DataFrame) -> DataFrame:
     """Number of distinct relevant items per user, users without any left out."""
     return pairs.where("relevant").groupBy("user_id").agg(F.count(F.lit(1)).alias("labels"))
@@ -212,47 +259,56 @@ def _precision_sum(hits: Column, start: Column, n: Column) -> Column:
     return F.when(n == 1, one).when(n <= SUMMED_COPIES, summed).otherwise(summed + rest)
 
 
-def user_metrics(placed: DataFrame, labels: DataFrame, k: int) -> DataFrame:
+def user_metrics(
+    placed: DataFrame, labels: DataFrame | None, k: int, by: Sequence[str] = ("user_id",)
+) -> DataFrame:
     """Average precision, precision at k and NDCG at k of each user with both lists.
 
-    ``placed`` has ``start``, ``copies`` and ``relevant`` per candidate, ``labels`` the
-    number of relevant items. Average precision looks at the whole list; precision at
-    k divides by k even if the list is shorter.
+    ``placed`` has ``start``, ``copies`` and ``relevant`` per candidate, and ``hits`` if they are known;
+    ``labels`` has the number of relevant items, or is None if each candidate carries it. Average
+    precision looks at the whole list; precision at k divides by k even if the list is shorter.
     """
-    earlier = (
-        Window.partitionBy("user_id").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    hit = F.when(F.col("relevant"), F.col("copies")).otherwise(0)
-    counted = placed.withColumn("_hits", F.coalesce(F.sum(hit).over(earlier), F.lit(0)))
+    if "hits" not in placed.columns:
+        hit = F.when(F.col("relevant"), F.col("copies")).otherwise(0)
+        placed = totals_before(placed, by, [F.col("start")], {"hits": hit})
     n, start = F.col("copies"), F.col("start")
-    totals = F.array(*[F.lit(t) for t in _discounts(k)])
+    totals = F.lit(_discounts(k))
     inside = F.greatest(F.lit(0), F.least(start + n, F.lit(k)) - start)
     gain = F.get(totals, F.least(start + n, F.lit(k)).cast("int")) - F.get(
         totals, F.least(start, F.lit(k)).cast("int")
     )
     is_hit = F.col("relevant")
-    sums = counted.groupBy("user_id").agg(
-        F.sum(F.when(is_hit, _precision_sum(F.col("_hits"), start, n)).otherwise(0.0)).alias("_ap"),
+    sums = [
+        F.sum(F.when(is_hit, _precision_sum(F.col("hits"), start, n)).otherwise(0.0)).alias("_ap"),
         F.sum(F.when(is_hit, inside).otherwise(0)).alias("_inside"),
         F.sum(F.when(is_hit, gain).otherwise(0.0)).alias("_gain"),
-    )
+    ]
+    if labels is None:
+        summed = placed.groupBy(*by).agg(*sums, F.max("labels").alias("labels")).where("labels > 0")
+    else:
+        summed = placed.groupBy(*by).agg(*sums).join(labels, list(by))
     ideal = F.get(totals, F.least(F.col("labels"), F.lit(k)).cast("int"))
-    return sums.join(labels, "user_id").select(
-        "user_id",
+    return summed.select(
+        *by,
         (F.col("_ap") / F.col("labels")).alias("average_precision"),
         (F.col("_inside") / k).alias("precision_at_k"),
         (F.col("_gain") / ideal).alias("ndcg_at_k"),
     )
 
 
-def ranking_metrics(placed: DataFrame, labels: DataFrame, k: int) -> DataFrame:
-    """One row: the means over users, and how many users they cover."""
-    return user_metrics(placed, labels, k).agg(
+def metric_means() -> list[Column]:
+    """The means over users, and how many users they cover."""
+    return [
         F.avg("average_precision").alias("map"),
         F.avg("precision_at_k").alias("precision_at_k"),
         F.avg("ndcg_at_k").alias("ndcg_at_k"),
         F.count(F.lit(1)).alias("users"),
-    )
+    ]
+
+
+def ranking_metrics(placed: DataFrame, labels: DataFrame | None, k: int) -> DataFrame:
+    """One row: the means over users, and how many users they cover."""
+    return user_metrics(placed, labels, k).agg(*metric_means())
 
 
 def rmse(df: DataFrame) -> DataFrame:

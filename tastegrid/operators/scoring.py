@@ -1,8 +1,14 @@
 """Best items per user over all items, by dot product of factors.
 
-Users are cut into blocks, one block a partition, and every block is visited by all
-items in a stream of Arrow batches. A task holds the factors and the current best k of
-its users, nothing that grows with the number of items, and returns k rows a user.
+The items are stored once, the longest vectors first, in files of bounded size. Users are cut into
+blocks, one block a task, and each task reads the files one after the other. No product exceeds the
+product of the lengths, so a user is done once the items to come are too short to reach the k-th
+score, and a task stops when all its users are. Nothing but the users goes through a shuffle. A
+task holds the factors and the current best k of its users, nothing that grows with the number
+of items, and returns k rows a user.
+
+Items travel to each block through the shuffle where all these copies together are small, and
+where Python cannot open the shared folder. Both ways give the same lists.
 """
 
 from __future__ import annotations
@@ -10,13 +16,18 @@ from __future__ import annotations
 import math
 import sys
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tastegrid.sources.workspace import fresh_path
+
 # The functions below travel to the workers inside the task, so the package need not be
 # installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -25,6 +36,61 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 BLOCK_BYTES = 256 << 20
 # Upper bound for the score matrix of one step, in numbers.
 SCORES_PER_STEP = 4_000_000
+# Bytes of the factors in one file of items, and items that a task reads at a time.
+ITEM_FILE_BYTES = 64 << 20
+ITEMS_PER_STEP = 4_096
+# Copies of the items for all blocks, in bytes, that a shuffle takes sooner than a stored table.
+SHUFFLED_BYTES = 64 << 20
+# Room for rounding between a score and the bound on it.
+SLACK = 1e-9
+
+
+@dataclass(frozen=True)
+class ItemFiles:
+    """Stored items: paths with the largest length of a vector in each, the longest first."""
+
+    scheme: str
+    paths: tuple[str, ...]
+    longest: tuple[float, ...]
+
+
+def _local(path: str) -> tuple[str, str]:
+    """The file system and the path in it, as Python names them."""
+    uri = path if "://" in path else "file://" + path.removeprefix("file:")
+    # Spark and Arrow name one store differently.
+    uri = uri.replace("s3a://", "s3://", 1)
+    return uri.split("://", 1)[0] + "://", pyarrow.fs.FileSystem.from_uri(uri)[1]
+
+
+def _open(scheme: str, path: str) -> pyarrow.parquet.ParquetFile:
+    store = pyarrow.fs.LocalFileSystem() if scheme == "file://" else pyarrow.fs.FileSystem.from_uri(scheme + path)[0]
+    return pyarrow.parquet.ParquetFile(store.open_input_file(path))
+
+
+def store_items(items: DataFrame, width: int, number: int) -> ItemFiles | None:
+    """Items with an ``id`` and ``features``, stored by length of the vector; null vectors go.
+
+    None if Python on the driver cannot read the shared folder.
+    """
+    spark = items.sparkSession
+    path = fresh_path(spark, "items")
+    squares = F.aggregate("features", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    files = max(1, math.ceil(8 * width * number / ITEM_FILE_BYTES))
+    measured = items.where(F.col("features").isNotNull()).select(
+        F.col("id").cast("bigint").alias("id"), "features", F.sqrt(squares).alias("length")
+    )
+    ordered = measured.repartitionByRange(files, F.desc("length")) if files > 1 else measured.coalesce(1)
+    ordered.sortWithinPartitions(F.desc("length")).write.option("parquet.block.size", 8 << 20).parquet(path)
+    stored = spark.read.schema("id BIGINT, length DOUBLE").parquet(path)
+    found = stored.groupBy("_metadata.file_path").agg(F.max("length").alias("longest")).orderBy(F.desc("longest")).collect()
+    try:
+        places = [_local(row["file_path"]) for row in found]
+        for scheme, place in places[:1]:
+            _open(scheme, place)
+    except (OSError, NotImplementedError, ValueError, pa.ArrowException):
+        return None
+    scheme = places[0][0] if places else "file://"
+    return ItemFiles(scheme, tuple(place for _, place in places), tuple(row["longest"] for row in found))
 
 
 def top_items(
@@ -33,12 +99,13 @@ def top_items(
     k: int,
     score_type: str = "DOUBLE",
     users_per_block: int | None = None,
+    stored: bool | None = None,
 ) -> DataFrame:
     """``user_id`` and ``recommendations``: the k best (item_id, rating), best first.
 
-    Both frames hold a unique ``id`` and ``features`` of the same width. Equal scores
-    are ordered by item id. The items travel once per user block, in their stored type;
-    a block has as many users as fit in the memory of a task.
+    Both frames hold a unique ``id`` and ``features`` of the same width; rows with null features
+    take no part. Equal scores are ordered by item id. A block has as many users as fit in the
+    memory of a task. ``stored`` names the way of the items, which else follows their size.
     """
     spark = users.sparkSession
     number, width = users.agg(F.count(F.lit(1)), F.max(F.size("features"))).first()
@@ -48,17 +115,18 @@ def top_items(
     blocks = max(1, math.ceil(number / users_per_block), spread)
     block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")
     key = F.col("id").cast("bigint").alias("id")
-    left = users.select(block, F.lit(0).alias("side"), key, "features")
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
-    right = items.select(every, F.lit(1).alias("side"), key, "features")
-    tiles = (
-        left.unionByName(right)
-        .where(F.col("features").isNotNull())
-        .repartitionById(blocks, F.col("block"))
-        .sortWithinPartitions("side")
-    )
     schema = f"user_id BIGINT, recommendations ARRAY<STRUCT<item_id: BIGINT, rating: {score_type}>>"
     kind = pa.float32() if score_type == "FLOAT" else pa.float64()
+    left = users.where(F.col("features").isNotNull()).select(block, F.lit(0).alias("side"), key, "features")
+    many = items.count() if stored is not False else 0
+    if stored is None:
+        stored = blocks * many * 8 * (width or 1) > SHUFFLED_BYTES
+    files = store_items(items, width or 1, many) if stored else None
+    if files is not None:
+        return left.repartitionById(blocks, F.col("block")).mapInArrow(_reader(k, kind, files), schema)
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
+    right = items.where(F.col("features").isNotNull()).select(every, F.lit(1).alias("side"), key, "features")
+    tiles = left.unionByName(right).repartitionById(blocks, F.col("block")).sortWithinPartitions("side")
     return tiles.mapInArrow(_scorer(k, kind), schema)
 
 
@@ -80,41 +148,98 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return np.take_along_axis(scores, chosen, axis=1), np.take_along_axis(ids, chosen, axis=1)
 
 
+class _Block:
+    """Users of one task and their best items so far."""
+
+    def __init__(self, ids: list[np.ndarray], factors: list[np.ndarray], k: int) -> None:
+        self.k = k
+        self.ids, self.matrix = np.concatenate(ids), np.concatenate(factors)
+        self.lengths = np.sqrt(np.einsum("ij,ij->i", self.matrix, self.matrix))
+        self.scores = np.empty((len(self.ids), 0))
+        self.items = np.empty((len(self.ids), 0), dtype=np.int64)
+
+    def open(self, longest: float) -> np.ndarray:
+        """The users whose list items of that length may still enter, ties included."""
+        if self.scores.shape[1] < self.k:
+            return np.arange(len(self.ids))
+        reach = self.lengths * longest
+        # Written so that a length or score that is no number leaves the user open.
+        return np.flatnonzero(~(reach + SLACK * (1 + reach) < self.scores.min(axis=1)))
+
+    def add(self, item_ids: np.ndarray, items: np.ndarray, users: np.ndarray | None = None) -> None:
+        """Score items for the given users, for all of them if the lists are not full."""
+        full = self.scores.shape[1] >= self.k
+        if users is None or not full:
+            users = np.arange(len(self.ids))
+        width = min(self.k, self.scores.shape[1] + len(item_ids))
+        if width > self.scores.shape[1]:
+            scores, names = np.empty((len(self.ids), width)), np.empty((len(self.ids), width), dtype=np.int64)
+        else:
+            scores, names = self.scores, self.items
+        step = max(1, SCORES_PER_STEP // (len(item_ids) + self.k))
+        for at in range(0, len(users), step):
+            rows = users[at : at + step]
+            fresh = self.matrix[rows] @ items.T
+            if full:
+                # Most users meet no item that enters their list.
+                met = (fresh >= self.scores[rows].min(axis=1)[:, None]).any(axis=1)
+                rows, fresh = rows[met], fresh[met]
+            if len(rows):
+                scores[rows], names[rows] = _best(
+                    np.concatenate([self.scores[rows], fresh], axis=1),
+                    np.concatenate([self.items[rows], np.broadcast_to(item_ids, fresh.shape)], axis=1),
+                    self.k,
+                )
+        self.scores, self.items = scores, names
+
+
+def _visit(block: _Block, steps: Iterator[tuple[np.ndarray, np.ndarray, float]]) -> int:
+    """Score items, the longest first, until no list can change; the number of steps taken."""
+    taken = 0
+    for item_ids, items, longest in steps:
+        users = block.open(longest)
+        if not len(users):
+            break
+        block.add(item_ids, items, users)
+        taken += 1
+    return taken
+
+
+def _steps(files: ItemFiles, block: _Block) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
+    """Items of the files in steps; a file is not opened when nothing in it is long enough."""
+    for path, longest in zip(files.paths, files.longest):
+        if not len(block.open(longest)):
+            return
+        for batch in _open(files.scheme, path).iter_batches(ITEMS_PER_STEP):
+            yield *_matrix(batch), batch.column("length")[0].as_py()
+
+
+def _reader(k: int, kind: pa.DataType, files: ItemFiles) -> Callable:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [_matrix(batch) for batch in batches if batch.num_rows]
+        if held:
+            block = _Block(*map(list, zip(*held)), k)
+            _visit(block, _steps(files, block))
+            yield from _lists(block.ids, block.scores, block.items, kind)
+
+    return score
+
+
 def _scorer(k: int, kind: pa.DataType) -> Callable:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        user_ids, factors = [], []
-        best_scores = best_ids = matrix = None
+        held, block = [], None
         for batch in batches:
             sides = batch.column("side").to_numpy(zero_copy_only=False)
             split = int(np.searchsorted(sides, 1))
             if split:
-                ids, values = _matrix(batch.slice(0, split))
-                user_ids.append(ids)
-                factors.append(values)
-            if split == batch.num_rows or not user_ids:
+                held.append(_matrix(batch.slice(0, split)))
+            if split == batch.num_rows or not held:
                 continue
-            if matrix is None:
-                matrix = np.concatenate(factors)
-                best_scores = np.empty((len(matrix), 0))
-                best_ids = np.empty((len(matrix), 0), dtype=np.int64)
-            item_ids, items = _matrix(batch.slice(split))
-            step = max(1, SCORES_PER_STEP // (len(item_ids) + k))
-            kept = []
-            for at in range(0, len(matrix), step):
-                rows = slice(at, at + step)
-                fresh = matrix[rows] @ items.T
-                everyone = np.broadcast_to(item_ids, fresh.shape)
-                kept.append(
-                    _best(
-                        np.concatenate([best_scores[rows], fresh], axis=1),
-                        np.concatenate([best_ids[rows], everyone], axis=1),
-                        k,
-                    )
-                )
-            best_scores = np.concatenate([s for s, _ in kept])
-            best_ids = np.concatenate([i for _, i in kept])
-        if matrix is not None:
-            yield from _lists(np.concatenate(user_ids), best_scores, best_ids, kind)
+            block = block or _Block(*map(list, zip(*held)), k)
+            block.add(*_matrix(batch.slice(split)))
+        if held:
+            block = block or _Block(*map(list, zip(*held)), k)
+            yield from _lists(block.ids, block.scores, block.items, kind)
 
     return score
 
@@ -122,8 +247,10 @@ def _scorer(k: int, kind: pa.DataType) -> Callable:
 def _lists(
     users: np.ndarray, scores: np.ndarray, ids: np.ndarray, kind: pa.DataType
 ) -> Iterator[pa.RecordBatch]:
-    """Sorted lists as Arrow batches of bounded size."""
+    """Sorted lists as Arrow batches of bounded size; no list is empty."""
     width = scores.shape[1]
+    if not width:
+        return
     step = max(1, SCORES_PER_STEP // max(width, 1) // 8)
     for at in range(0, len(users), step):
         part, names = scores[at : at + step], ids[at : at + step]

@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
+
 from pyspark import StorageLevel
 from pyspark.ml.recommendation import ALSModel
 from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from tastegrid.config import EvalConfig
+from tastegrid.config import EvalConfig, SkewConfig
 from tastegrid.operators.als import predict, recommend
 from tastegrid.operators.ranking import (
     exclude_seen,
     label_counts,
+    metric_means,
     place_candidates,
     ranking_metrics,
     rec_rows,
     rmse_of_pairs,
+    user_metrics,
 )
+from tastegrid.operators.skew import HeavyKeys, heavy_keys
+from tastegrid.sources.by_user import UserTables
+from tastegrid.sources.workspace import cut
 
 # Which items stand in the list of a user:
 #   test_rows     the user's own test rows, ordered by prediction
@@ -35,12 +43,14 @@ def _known_in_test(recs: DataFrame, pairs: DataFrame, how: str) -> DataFrame:
     )
 
 
-def candidates_from_pairs(scored: DataFrame, cfg: EvalConfig) -> DataFrame:
+def candidates_from_pairs(
+    scored: DataFrame, cfg: EvalConfig, heavy: HeavyKeys | None = None
+) -> DataFrame:
     """Candidates of the mode ``test_rows``: scored test pairs, cut at the top k."""
     cands = scored.select(*PAIR, "prediction", "copies", "relevant")
     if cfg.dedup:
         cands = cands.withColumn("copies", F.lit(1).cast("bigint"))
-    return place_candidates(cands, cfg.k, cfg.ties)
+    return place_candidates(cands, cfg.k, cfg.ties, heavy)
 
 
 def candidates_from_recs(
@@ -58,6 +68,69 @@ def candidates_from_recs(
     return place_candidates(cands.withColumn("copies", times).drop("_found"))
 
 
+@dataclass(frozen=True)
+class UserFacts:
+    """What evaluations read of the train and test rows, kept by user.
+
+    ``pairs`` are the folded test rows of ``rated_pairs``, ``seen`` the distinct pairs of the train
+    rows if the mode needs them, ``heavy`` the users whose pairs take several tasks.
+    """
+
+    tables: UserTables
+    pairs: DataFrame
+    seen: DataFrame | None
+    heavy: HeavyKeys
+
+
+def user_facts(
+    tables: UserTables,
+    train: DataFrame | None,
+    pairs: DataFrame,
+    cfg: EvalConfig,
+    skew: SkewConfig = SkewConfig(),
+) -> UserFacts:
+    """Store the facts once; every evaluation then meets them without another shuffle."""
+    kept = tables.put("pairs", pairs)
+    seen = None
+    if cfg.mode == "unseen_items":
+        if train is None:
+            raise ValueError("unseen_items needs the training rows")
+        seen = tables.put("seen", train.select(*PAIR).distinct())
+    return UserFacts(tables, kept, seen, heavy_keys(kept, ["user_id"], skew))
+
+
+def candidates_by_user(recs: DataFrame, facts: UserFacts, cfg: EvalConfig) -> DataFrame:
+    """The rows of ``candidates_from_recs``, by one grouping over a tagged union.
+
+    The lists of the users, one row each, are the only thing that is shuffled. Recommended,
+    seen and tested pairs then lie in the same task by user, where each pair is one group.
+    """
+    rows = rec_rows(facts.tables.place(recs)).select(
+        "user_id", F.col("item_id").cast("bigint"), F.col("rating").alias("prediction"), F.lit(True).alias("listed")
+    )
+    tested = facts.pairs.select(*PAIR, "relevant", F.col("copies").alias("found"))
+    parts = rows.unionByName(tested, allowMissingColumns=True)
+    if cfg.mode == "unseen_items":
+        if facts.seen is None:
+            raise ValueError("unseen_items needs the training rows")
+        parts = parts.unionByName(facts.seen.select(*PAIR, F.lit(True).alias("seen")), allowMissingColumns=True)
+    names = [c for c in parts.columns if c not in PAIR]
+    met = parts.groupBy(*PAIR).agg(*[F.max(c).alias(c) for c in names]).where("listed")
+    if cfg.mode == "unseen_items":
+        met = met.where("seen IS NULL")
+    elif cfg.mode == "recs_in_test":
+        met = met.where("found IS NOT NULL")
+    single = cfg.dedup or cfg.mode != "recs_in_test"
+    return place_candidates(
+        met.select(
+            *PAIR,
+            "prediction",
+            (F.lit(1).cast("bigint") if single else F.col("found")).alias("copies"),
+            F.coalesce("relevant", F.lit(False)).alias("relevant"),
+        )
+    )
+
+
 def evaluate(
     model: ALSModel,
     train: DataFrame | None,
@@ -69,40 +142,39 @@ def evaluate(
     ``pairs`` are the folded test rows of ``rated_pairs``. Precision and NDCG use
     ``cfg.k``; the RMSE covers all test rows with a prediction in every mode.
     """
-    return _report(model, train, pairs, predict(model, pairs), cfg)
+    _known_mode(cfg)
+    scored = predict(model, pairs)
+    if cfg.mode == "test_rows":
+        placed = candidates_from_pairs(scored, cfg)
+    else:
+        # Users without a relevant row count in no metric.
+        recs = recommend(model, pairs.where("relevant").select("user_id"), cfg.k)
+        placed = candidates_from_recs(recs, train, pairs, cfg)
+    return _report(scored, placed, label_counts(pairs), cfg)
 
 
-def measure(
-    model: ALSModel,
-    train: DataFrame | None,
-    pairs: DataFrame,
-    cfg: EvalConfig = EvalConfig(),
-) -> Row:
-    """The row of ``evaluate``; the predictions are computed once for all metrics."""
-    scored = predict(model, pairs).persist(StorageLevel.MEMORY_AND_DISK)
+def measure(model: ALSModel, facts: UserFacts, cfg: EvalConfig = EvalConfig()) -> Row:
+    """The row of ``evaluate`` over stored facts; the predictions are computed once for all metrics."""
+    _known_mode(cfg)
+    scored = predict(model, facts.pairs).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return _report(model, train, pairs, scored, cfg).first()
+        if cfg.mode == "test_rows":
+            placed = candidates_from_pairs(scored, cfg, facts.heavy)
+        else:
+            recs = recommend(model, facts.pairs.where("relevant").select("user_id"), cfg.k)
+            placed = candidates_by_user(recs, facts, cfg)
+        return _report(scored, placed, label_counts(facts.pairs), cfg).first()
     finally:
         scored.unpersist()
 
 
-def _report(
-    model: ALSModel,
-    train: DataFrame | None,
-    pairs: DataFrame,
-    scored: DataFrame,
-    cfg: EvalConfig,
-) -> DataFrame:
+def _known_mode(cfg: EvalConfig) -> None:
     if cfg.mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}, not {cfg.mode!r}")
-    if cfg.mode == "test_rows":
-        placed = candidates_from_pairs(scored, cfg)
-    else:
-        # Users without a relevant row count in no metric.
-        recs = recommend(model, pairs.where("relevant").select("user_id"), cfg.k)
-        placed = candidates_from_recs(recs, train, pairs, cfg)
-    metrics = ranking_metrics(placed, label_counts(pairs), cfg.k)
-    return _side_by_side(rmse_of_pairs(scored), metrics)
+
+
+def _report(scored: DataFrame, placed: DataFrame, labels: DataFrame, cfg: EvalConfig) -> DataFrame:
+    return _side_by_side(rmse_of_pairs(scored), ranking_metrics(placed, labels, cfg.k))
 
 
 def _side_by_side(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -111,17 +183,64 @@ def _side_by_side(left: DataFrame, right: DataFrame) -> DataFrame:
     return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
-def evaluate_scores(scored: DataFrame, cfg: EvalConfig = EvalConfig()) -> DataFrame:
+def evaluate_scores(
+    scored: DataFrame, cfg: EvalConfig = EvalConfig(), skew: SkewConfig | None = None
+) -> DataFrame:
     """Ranking metrics of test rows that already carry a ``prediction``.
 
-    Rows are folded first. A pair is relevant if any of its rows is; the label counts
-    come from the relevant rows alone.
+    A pair is relevant if any of its rows is, and it is one relevant item however many predictions
+    it has. Rows without a user count nowhere. With ``skew`` the folded rows are stored, and users that are heavy by it take several
+    tasks; without, each user is one task, and the rows are read and folded once.
+    """
+    if skew is None:
+        return ranking_metrics(_points_placed(scored, ["prediction"], cfg), None, cfg.k)
+    folded = cut(_marked(_folded(scored, ["prediction"], cfg), PAIR))
+    heavy = heavy_keys(folded, ["user_id"], skew)
+    return ranking_metrics(candidates_from_pairs(folded, cfg, heavy), label_counts(folded.where("label")), cfg.k)
+
+
+def evaluate_points(
+    scored: DataFrame, predictions: Sequence[str], cfg: EvalConfig = EvalConfig()
+) -> DataFrame:
+    """The metrics of several predictions in one pass: one row each, ``point`` from 0.
+
+    ``predictions`` name the columns, one a point. The rows are read and folded once and dealt to
+    users once; the points are stacked after that, as lists of (user, point).
     """
+    users = user_metrics(_points_placed(scored, predictions, cfg), None, cfg.k, ("user_id", "point"))
+    return users.groupBy("point").agg(*metric_means())
+
+
+def _folded(scored: DataFrame, predictions: Sequence[str], cfg: EvalConfig) -> DataFrame:
     rated = F.coalesce(F.col("rating") >= cfg.min_rating, F.lit(False))
-    folded = scored.groupBy(*PAIR, "prediction").agg(
+    return scored.groupBy(*PAIR, *predictions).agg(
         F.count(F.lit(1)).alias("copies"), F.max(rated).alias("relevant")
     )
-    marked = folded.withColumn("relevant", F.max("relevant").over(Window.partitionBy(*PAIR)))
-    # A pair may have several predictions; it is one relevant item all the same.
-    labels = label_counts(marked.select(*PAIR, "relevant").distinct())
-    return ranking_metrics(candidates_from_pairs(marked, cfg), labels, cfg.k)
+
+
+def _marked(rows: DataFrame, pair: Sequence[str]) -> DataFrame:
+    """``relevant`` if any row of the pair is, and ``label`` on the one row that stands for a relevant pair."""
+    every = Window.partitionBy(*pair)
+    relevant = F.max("relevant").over(every)
+    first = F.row_number().over(every.orderBy("prediction")) == 1
+    return rows.withColumns({"relevant": relevant, "label": relevant & first})
+
+
+def _points_placed(scored: DataFrame, predictions: Sequence[str], cfg: EvalConfig) -> DataFrame:
+    """Candidates of all points with ``labels``, the number of relevant items of the user."""
+    known = scored.where(F.col("user_id").isNotNull())
+    folded = _folded(known, predictions, cfg).repartition("user_id")
+    stacked = F.inline(
+        F.array(*[F.struct(F.lit(i).alias("point"), F.col(p).alias("prediction")) for i, p in enumerate(predictions)])
+    )
+    rows = folded.select(*PAIR, "copies", "relevant", stacked)
+    by = ("user_id", "point")
+    # Rows of one pair that differ in another point only are one candidate in this one.
+    once = rows.groupBy(*PAIR, "point", "prediction").agg(
+        F.sum("copies").alias("copies"), F.max("relevant").alias("relevant")
+    )
+    marked = _marked(once, (*PAIR, "point"))
+    counted = marked.withColumn("labels", F.count_if("label").over(Window.partitionBy(*by)))
+    if cfg.dedup:
+        counted = counted.withColumn("copies", F.lit(1).cast("bigint"))
+    return place_candidates(counted.drop("label"), cfg.k, cfg.ties, by=by)

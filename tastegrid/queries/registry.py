@@ -13,16 +13,26 @@ from tastegrid.functions.shapes import array_width
 from tastegrid.operators import als, categories, factors, interactions, ranking, sampling
 from tastegrid.operators.skew import copies, heavy_keys
 from tastegrid.plans import jobs, split
-from tastegrid.plans.evaluate import candidates_from_recs, evaluate, evaluate_scores
+from tastegrid.plans.evaluate import (
+    candidates_by_user,
+    candidates_from_recs,
+    evaluate,
+    evaluate_points,
+    evaluate_scores,
+    user_facts,
+)
 from tastegrid.plans.grid import grid_search
 from tastegrid.queries import views
 from tastegrid.sources import files
+from tastegrid.sources.by_user import UserTables
 from tastegrid.sources.workspace import cut, fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 SKEW = SkewConfig()
+# Makes most users heavy, so that their rows take several tasks.
+FEW_ROWS = SkewConfig(rows_per_task=20)
 ROUND = 6
 
 
@@ -323,20 +333,25 @@ def ordered_places(spark, folder):
     return ranking.ordered_places(ranking.place_candidates(cands))
 
 
+@query
+def ordered_places_in_ranges(spark, folder):
+    """The same with every user above twenty rows in several tasks."""
+    cands = copies(views.scored(spark, folder), ["user_id", "item_id", "prediction"])
+    heavy = heavy_keys(cands, ["user_id"], FEW_ROWS)
+    return ranking.ordered_places(ranking.place_candidates(cands, heavy=heavy))
+
+
 @query
 def ranking_pairs_in_parts(spark, folder):
-    """Whole lists cut after five ids, so that many go on in further rows."""
-    scored, rows = views.scored(spark, folder), views.interactions(spark, folder)
-    labels = ranking.relevant_items(interactions.relevant(rows), 5)
-    pairs = ranking.ranking_pairs(ranking.ordered_predictions(scored, 5), labels)
-    return as_text(pairs, "predicted", "relevant")
+    """Whole lists cut after five ids, so that many go on in further rows, from rows kept by user."""
+    rows = UserTables(spark).put("scored", views.scored(spark, folder))
+    return as_text(ranking.pairs_in_one_pass(rows, 5), "predicted", "relevant")
 
 
 @query
 def ranking_pairs(spark, folder):
-    liked = interactions.relevant(views.interactions(spark, folder))
-    labels = ranking.relevant_items(liked, views.LIST_LIMIT)
-    pairs = ranking.ranking_pairs(_predicted_lists(spark, folder), labels)
+    """Both lists in one pass over the rows."""
+    pairs = ranking.pairs_in_one_pass(views.scored(spark, folder), views.LIST_LIMIT, 10)
     return as_text(pairs, "predicted", "relevant")
 
 
@@ -353,6 +368,12 @@ def eval_test_rows(spark, folder):
     return rounded(evaluate_scores(views.scored(spark, folder), views.TOP_10), *METRICS)
 
 
+@query
+def eval_test_rows_in_ranges(spark, folder):
+    """The same with every user above twenty rows in several tasks."""
+    return rounded(evaluate_scores(views.scored(spark, folder), views.TOP_10, FEW_ROWS), *METRICS)
+
+
 @query
 def metric_map(spark, folder):
     found = evaluate_scores(views.scored(spark, folder), EvalConfig(k=500))
@@ -377,20 +398,17 @@ GRID_STEPS = (7919, 7907, 7901)
 
 @query
 def grid_best_point(spark, folder):
-    points = None
-    for place, step in enumerate(GRID_STEPS):
-        found = evaluate_scores(views.scored(spark, folder, step), views.TOP_10)
-        row = rounded(found, "map").select(F.lit(place).alias("point"), "map")
-        points = row if points is None else points.unionByName(row)
-    return ranking.best_point(points)
+    """All points in one pass over the rows."""
+    rows, names = views.interactions(spark, folder), [f"prediction{i}" for i in range(len(GRID_STEPS))]
+    scored = rows.withColumns({n: views.fixed_score(step) for n, step in zip(names, GRID_STEPS)})
+    found = rounded(evaluate_points(scored, names, views.TOP_10), "map")
+    return ranking.best_point(found.select("point", "map"))
 
 
 # --- recommendations from fixed factors --------------------------------------------------
 
 
-@query
-def dot_product_top_k(spark, folder):
-    recs = views.fixed_recs(spark, folder)
+def _ranked(recs):
     rows = recs.select("user_id", F.posexplode("recommendations"))
     return rows.select(
         "user_id",
@@ -400,6 +418,17 @@ def dot_product_top_k(spark, folder):
     )
 
 
+@query
+def dot_product_top_k(spark, folder):
+    return _ranked(views.fixed_recs(spark, folder))
+
+
+@query
+def dot_product_top_k_stored(spark, folder):
+    """The same with the items read from stored files, the longest vectors first."""
+    return _ranked(views.fixed_recs(spark, folder, stored=True))
+
+
 @query
 def rec_items_array(spark, folder):
     return as_text(ranking.rec_items(views.fixed_recs(spark, folder)), "item_ids")
@@ -419,7 +448,7 @@ def recs_exclude_seen(spark, folder):
 
 @query
 def recs_only_test(spark, folder):
-    _, _, test = _split(spark, folder)
+    _, _, test = _split(spark, folder, store=True)
     recs = ranking.rec_rows(views.fixed_recs(spark, folder))
     return rounded(ranking.only_test(recs, test), "rating")
 
@@ -457,6 +486,31 @@ def eval_recs_in_test_fixed(spark, folder):
     return _eval_fixed(spark, folder, "recs_in_test")
 
 
+def _eval_by_user(spark, folder, mode):
+    """The same over tables that are kept by user."""
+    train, _, test = _split(spark, folder, store=True)
+    cfg = EvalConfig(mode=mode, k=views.RECS_K)
+    facts = user_facts(UserTables(spark), train, interactions.rated_pairs(test), cfg)
+    placed = candidates_by_user(views.fixed_recs(spark, folder), facts, cfg)
+    found = ranking.ranking_metrics(placed, ranking.label_counts(facts.pairs), cfg.k)
+    return rounded(found, *METRICS)
+
+
+@query
+def eval_all_items_by_user(spark, folder):
+    return _eval_by_user(spark, folder, "all_items")
+
+
+@query
+def eval_unseen_items_by_user(spark, folder):
+    return _eval_by_user(spark, folder, "unseen_items")
+
+
+@query
+def eval_recs_in_test_by_user(spark, folder):
+    return _eval_by_user(spark, folder, "recs_in_test")
+
+
 # --- models --------------------------------------------------------------------------------
 
 FIT = AlsConfig(rank=10, reg_param=0.1)

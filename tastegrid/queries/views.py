@@ -6,7 +6,7 @@ quantity gives the rating and the buyer's market segment the category.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tastegrid.config import EvalConfig, SplitConfig
@@ -40,10 +40,14 @@ def interactions(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def scored(spark: SparkSession, folder: str, item_step: int = 7919) -> DataFrame:
+def fixed_score(item_step: int = 7919) -> Column:
+    """A fixed integer that takes the place of a prediction and has ties."""
+    return (F.col("item_id") * item_step + F.col("user_id") * 104729) % 97
+
+
+def scored(spark: SparkSession, folder: str) -> DataFrame:
     """Interactions with a fixed integer prediction that has ties."""
-    score = (F.col("item_id") * item_step + F.col("user_id") * 104729) % 97
-    return interactions(spark, folder).withColumn("prediction", score)
+    return interactions(spark, folder).withColumn("prediction", fixed_score())
 
 
 def item_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -91,9 +95,9 @@ def points(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def fixed_recs(spark: SparkSession, folder: str, k: int = RECS_K) -> DataFrame:
+def fixed_recs(spark: SparkSession, folder: str, k: int = RECS_K, stored: bool | None = None) -> DataFrame:
     """Recommendations with the embeddings as the factors of users and of items."""
     both = factors(spark, folder).select("id", "features")
-    return top_items(both, both, k)
+    return top_items(both, both, k, stored=stored)
 
 

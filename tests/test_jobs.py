@@ -43,7 +43,9 @@ def test_split_train_profile_and_view(spark, out):
 
     views.nested_counts(spark, FOLDER).write.json(f"{out}/counts")
     # The translation maps every id to itself, so that factors find their category.
-    ids = views.item_map(spark, FOLDER).selectExpr("item_id AS item_id_csv", "item_id")
+    ids = views.item_counts(spark, FOLDER).selectExpr(
+        "CAST(item_id AS INT) AS item_id_csv", "CAST(item_id AS INT) AS item_id"
+    )
     write_csv(ids, f"{out}/id_map", header=True)
     rejected = jobs.top_categories(
         spark, f"{out}/counts", f"{out}/id_map", f"{out}/top", list(views.SEGMENTS)

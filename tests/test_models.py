@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from tastegrid.config import AlsConfig, EvalConfig, GridConfig
 from tastegrid.operators import als, ranking
 from tastegrid.operators.interactions import rated_pairs
-from tastegrid.operators.scoring import _scorer, top_items
+from tastegrid.operators import scoring
+from tastegrid.operators.scoring import _reader, _scorer, top_items
 from tastegrid.plans.evaluate import evaluate
 from tastegrid.plans.grid import grid_search
 from tastegrid.plans.split import split_interactions
@@ -38,7 +39,8 @@ def model(parts):
 
 @pytest.mark.parametrize("k", [1, 7, 100])
 @pytest.mark.parametrize("per_block", [16, 10_000])
-def test_top_items_equals_a_full_sort(spark, k, per_block):
+@pytest.mark.parametrize("stored", [True, False])
+def test_top_items_equals_a_full_sort(spark, k, per_block, stored):
     rng = np.random.default_rng(3)
     users = rng.integers(-3, 4, (70, 3)).astype(float)
     items = rng.integers(-3, 4, (50, 3)).astype(float)
@@ -47,7 +49,7 @@ def test_top_items_equals_a_full_sort(spark, k, per_block):
         rows = [(i + shift, [float(x) for x in row]) for i, row in enumerate(matrix)]
         return spark.createDataFrame(rows, "id INT, features ARRAY<FLOAT>").repartition(5)
 
-    got = top_items(frame(users, 1000), frame(items, 0), k, users_per_block=per_block)
+    got = top_items(frame(users, 1000), frame(items, 0), k, users_per_block=per_block, stored=stored)
     scores = users @ items.T
     for row in got.collect():
         line = scores[row["user_id"] - 1000]
@@ -64,6 +66,62 @@ def test_top_items_of_nothing(spark):
     assert top_items(one, none, 5).select(F.flatten(F.collect_list("recommendations"))).first()[0] == []
 
 
+def test_items_are_not_shuffled(spark):
+    """Users go through one shuffle; the items are no part of the plan."""
+    frame = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(300)], "id INT, features ARRAY<FLOAT>")
+    text = top_items(frame, frame, 5, users_per_block=10, stored=True)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange") == 1 and "Union" not in text
+    text = top_items(frame, frame, 5, users_per_block=10)._jdf.queryExecution().executedPlan().toString()
+    assert "Union" in text
+
+
+@pytest.mark.parametrize("whole", [True, False])
+def test_a_visit_ends_where_no_item_can_enter(whole):
+    """Steps are skipped, and what is found equals the full product, ties included."""
+    rng = np.random.default_rng(5)
+    users, items = rng.normal(size=(200, 4)), rng.normal(size=(4000, 4)) * rng.pareto(1.0, (4000, 1))
+    if whole:
+        # Whole numbers give many equal scores; repeated items tie at the k-th place.
+        users, items = np.rint(users * 2), np.rint(items * 2)
+        items[2000:] = items[:2000]
+    lengths = np.linalg.norm(items, axis=1)
+    order = np.argsort(-lengths, kind="stable")
+    block, opened, k, size = scoring._Block([np.arange(200)], [users], 10), [], 10, 100
+
+    def steps():
+        for at in range(0, len(order), size):
+            rows = order[at : at + size]
+            opened.append(len(block.open(lengths[rows[0]])))
+            yield rows, items[rows], lengths[rows[0]]
+
+    taken = scoring._visit(block, steps())
+    assert 0 < taken < 40 and opened == sorted(opened, reverse=True)
+    scores = users @ items.T
+    for u in range(200):
+        best = sorted(range(len(items)), key=lambda i: (-scores[u, i], i))[:k]
+        mine = sorted(zip(-block.scores[u], block.items[u]))
+        if whole:
+            assert [i for _, i in mine] == best
+        assert [-s for s, _ in mine] == pytest.approx(scores[u, best], abs=1e-9)
+
+
+def test_short_files_are_not_opened(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "ITEM_FILE_BYTES", 8 * 100)
+    rows = [(i, [float(1000 - i), 0.0]) for i in range(1000)] + [(5000, None)]
+    items = spark.createDataFrame(rows, "id INT, features ARRAY<FLOAT>").repartition(4)
+    files = scoring.store_items(items, 2, 1000)
+    assert len(files.paths) > 10 and list(files.longest) == sorted(files.longest, reverse=True)
+    block = scoring._Block([np.array([1, 2])], [np.array([[1.0, 0.0], [0.5, 0.0]])], 20)
+    read = [len(ids) for ids, _, _ in scoring._steps(files, block) if block.add(ids, _matrix_of(rows, ids)) is None]
+    assert 20 <= sum(read) < 200
+    assert sorted(block.items[0].tolist()) == list(range(20))
+
+
+def _matrix_of(rows, ids):
+    known = dict(rows)
+    return np.array([known[i] for i in ids])
+
+
 def test_recommend_agrees_with_the_model(parts, model):
     users = parts[2].select("user_id").distinct()
     ours = {r["user_id"]: r["recommendations"] for r in als.recommend(model, users, 10).collect()}
@@ -172,7 +230,10 @@ def test_default_grid_has_fifty_points_ranks_outside():
 
 def test_scoring_tasks_do_not_need_the_package(tmp_path):
     (tmp_path / "task").write_bytes(cloudpickle.dumps(_scorer(3, pa.float64())))
+    files = scoring.ItemFiles("file://", (), ())
+    (tmp_path / "reader").write_bytes(cloudpickle.dumps(_reader(3, pa.float64(), files)))
     code = "import pickle, sys; f = pickle.load(open('task', 'rb')); assert list(f(iter([]))) == []"
+    code += "; f = pickle.load(open('reader', 'rb')); assert list(f(iter([]))) == []"
     code += "; assert 'tastegrid' not in sys.modules"
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True)

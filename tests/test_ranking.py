@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tastegrid.config import EvalConfig, SkewConfig
 from tastegrid.operators import ranking
 from tastegrid.operators.skew import copies
-from tastegrid.plans.evaluate import evaluate_scores
+from tastegrid.plans.evaluate import evaluate_points, evaluate_scores
 
 TOY = [
     (1, [1, 2, 3, 4, 5], [2, 5, 9]),
@@ -177,6 +177,21 @@ def test_evaluate_scores_equals_lists_and_rdd_metrics(spark, scored, ties, dedup
     assert got["ndcg_at_k"] == pytest.approx(metrics.ndcgAt(12), abs=1e-12)
 
 
+@pytest.mark.parametrize("dedup", [False, True])
+def test_points_in_one_pass_equal_points_one_by_one(scored, dedup):
+    cfg = EvalConfig(k=12, dedup=dedup)
+    names = ["prediction", "second", "third"]
+    # The second differs between rows of one pair, the third is the same for all rows of a user.
+    rows = scored.withColumns({"second": (F.col("item_id") * 5 + F.col("rating")) % 11, "third": F.lit(1)})
+    found = {r["point"]: r for r in evaluate_points(rows, names, cfg).collect()}
+    assert sorted(found) == [0, 1, 2]
+    for i, name in enumerate(names):
+        alone = rows.withColumn("prediction", F.col(name)).select("user_id", "item_id", "prediction", "rating")
+        wanted = evaluate_scores(alone, cfg, SkewConfig()).first()
+        assert [found[i][c] for c in wanted.asDict()] == pytest.approx(list(wanted), abs=1e-12)
+    assert evaluate_points(rows.limit(0), names, cfg).count() == 0
+
+
 def test_recommendation_filters(spark):
     recs = spark.createDataFrame(
         [(1, [(10, 0.9), (11, 0.8), (12, 0.7)])],
