@@ -5,11 +5,13 @@ number of leading zeros and ten mantissa bits. Bands of four registers are the b
 keys. Pairs that share a band are estimated with the expected number of register collisions
 taken off, and those that may reach the threshold are confirmed on the full shingle sets.
 
-Documents with equal sets are one class from the start. In a band every class is compared
-with one pivot, the class that shares most bands with others; a group of near copies is
-joined by that in one step, without its pairs. Classes that a pivot leaves in different
-components are compared where their differences from the pivot leave a link possible, so
-that no pair that shares a band is left out.
+Documents with equal sets are one class from the start. Classes that share bands are put into
+stars, so that each two of one band share a star, while a class is in few stars and mostly in one.
+In a star every class is compared with one pivot, the class that shares most bands with others; a
+group of near copies is joined by that in one step, without its pairs. Where classes of a star
+are left in different components, they are described by their differences from the shingles that most
+of the star hold, and compared where these differences leave a link possible, so that no pair that
+shares a band is left out.
 """
 
 from __future__ import annotations
@@ -43,7 +45,7 @@ TEXT_CHARS = 3_000_000
 # Standard errors by which an estimate may fall short of the threshold.
 ERRORS = 6.5
 
-SKETCHES = "doc_id BIGINT, n BIGINT, set_key BINARY, sketch ARRAY<BIGINT>"
+SKETCHES = "own_id BIGINT, doc_id BIGINT, n BIGINT, set_key BINARY, sketch ARRAY<BIGINT>"
 SETS = "doc_id BIGINT, n BIGINT, set_key BINARY, shingles ARRAY<BIGINT>"
 
 
@@ -143,12 +145,13 @@ def _sketcher(words: int) -> Callable:
                     sketches.append(registers(shingles, probes).view("<i8") if len(shingles) else None)
             yield pa.RecordBatch.from_arrays(
                 [
+                    batch.column("own_id"),
                     batch.column("doc_id"),
                     pa.array(sizes, pa.int64()),
                     pa.array(keys, pa.binary()),
                     pa.array(sketches, pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "n", "set_key", "sketch"],
+                names=["own_id", "doc_id", "n", "set_key", "sketch"],
             )
             give_back()
 
@@ -221,9 +224,9 @@ class _Search:
         self.docs, self.words, self.at_least = docs, words, at_least
         self.shelf = Shelf(docs.sparkSession)
         put = self.shelf.put
-        found = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+        found = docs.select("own_id", F.col("doc_id").cast("bigint").alias("doc_id"), "text")
         sketches = put("sketches", found.mapInArrow(_sketcher(words), SKETCHES))
-        self.members = sketches.select("doc_id", "n", "set_key")
+        self.members = sketches.select("own_id", "doc_id", "n", "set_key")
         self.classes = put(
             "classes",
             sketches.where("n > 0 AND doc_id IS NOT NULL")
@@ -239,18 +242,26 @@ class _Search:
         self.active = put("active", entries.join(counts, "bucket"))
         self.shelf.drop("counts")
 
-    def pivots(self) -> DataFrame:
-        """``x, y``: each class of a bucket with the pivot of the bucket."""
-        score = self.active.groupBy("cls").agg(F.sum("width").alias("score"))
-        scored = self.shelf.put(
-            "scored", self.active.join(score, "cls").select("bucket", "cls", "score")
-        )
-        best = scored.groupBy("bucket").agg(
-            F.max(F.struct("score", (-F.col("cls")).alias("low"))).alias("best")
+    def stars(self) -> DataFrame:
+        """``star, x, y``: the classes of each star with its pivot, which is one of them.
+
+        The widest bucket of a class is its home. A bucket belongs to the star of the home that most
+        of its classes have; so all classes of a bucket are in one star, and a group whose members
+        share most of their buckets is one star, not one for each bucket.
+        """
+        wide = F.struct("width", "bucket")
+        homes = self.active.groupBy("cls").agg(F.max(wide).alias("home"), F.sum("width").alias("score"))
+        named = self.shelf.put(
+            "named", self.active.select("bucket", "cls").join(homes, "cls")
         )
-        pivot = self.shelf.put("pivots", best.select("bucket", (-F.col("best.low")).alias("y")))
-        pairs = scored.join(pivot, "bucket").where(F.col("cls") != F.col("y"))
-        return pairs.select(F.col("cls").alias("x"), "y").distinct()
+        votes = named.groupBy("bucket", "home").agg(F.count(F.lit(1)).alias("votes"))
+        chosen = votes.groupBy("bucket").agg(F.max(F.struct("votes", "home")).alias("best"))
+        chosen = chosen.select("bucket", F.col("best.home.bucket").alias("star"))
+        members = named.join(chosen, "bucket").groupBy("star", "cls").agg(F.max("score").alias("score"))
+        members = self.shelf.put("star-members", members)
+        best = members.groupBy("star").agg(F.max(F.struct("score", (-F.col("cls")).alias("low"))).alias("best"))
+        pivot = best.select("star", (-F.col("best.low")).alias("y"))
+        return members.join(pivot, "star").select("star", F.col("cls").alias("x"), "y")
 
     def store_sets(self) -> None:
         """The full sets of all classes that share a band with another class."""
@@ -264,7 +275,7 @@ class _Search:
         named = sets.join(
             wanted, (sets["doc_id"] == wanted["doc_id"]) & (sets["set_key"] == wanted["key"])
         )
-        self.sets = self.shelf.put("sets", named.select("cls", "shingles"))
+        self.sets = self.shelf.put("sets", named.select("cls", "shingles").dropDuplicates(["cls"]))
 
     def _sizes(self, n: str, m: str) -> Column:
         """Sets so different in size cannot reach the threshold."""
@@ -304,55 +315,99 @@ class _Search:
         left = left.join(self.sets.withColumnsRenamed({"cls": "x", "shingles": "left"}), "x")
         return left.join(right.select("y", "right", every), ["y", "salt"]).drop("salt")
 
-    def leftovers(self, stars: DataFrame, comps: DataFrame) -> DataFrame:
-        """Pairs ``x, y`` that share a pivot, lie in different components and may be linked.
+    def _placed(self, df: DataFrame, comps: DataFrame) -> DataFrame:
+        """``df`` with the component of its class x."""
+        of = comps.select(F.col("node").alias("x"), F.col("component").alias("cx"))
+        return df.join(of, "x", "left").withColumn("cx", F.coalesce("cx", "x"))
 
-        ``stars`` are the pairs of a class x and its pivot y. Let D be the shingles that a class
-        and its pivot do not share, and c the number that the D of two classes have in common.
-        The classes X and Z differ in |D_X| + |D_Z| - 2c shingles; a threshold t allows them
-        k (|X| + |Z|), with k = (1 - t) / (1 + t). So c is at least half of the sum of both
-        |D| - k |class|. One of the two, Z, is not linked to the pivot, which makes its term
-        positive; the least such term of a star gives each X a least c. Of the rarest shingles
-        of D_X, as many as may be missing and one, at least one must then be in D_Z.
+    def differences(self, stars: DataFrame, comps: DataFrame) -> DataFrame:
+        """``star, x, n, d`` of the stars that hold several components.
 
-        Near copies of one text differ from it in places of their own, so hardly any pair of
-        them is looked at.
+        ``d`` are the shingles by which x differs from the core of its star, the shingles that more
+        than half of its classes hold.
         """
+        placed = self.shelf.put("placed-stars", self._placed(stars.select("star", "x"), comps))
+        shape = placed.groupBy("star").agg(
+            (F.min("cx") != F.max("cx")).alias("open"), F.count(F.lit(1)).alias("classes")
+        )
+        open_ = self.shelf.put("open-stars", shape.where("open").select("star", "classes"))
+        members = self.shelf.put("open-members", placed.join(open_, "star").select("star", "x", "cx"))
+        sets = members.join(self.sets.withColumnRenamed("cls", "x"), "x")
+        held = sets.select("star", F.explode("shingles").alias("e")).groupBy("star", "e").agg(F.count(F.lit(1)).alias("held"))
+        core = held.join(open_, "star").where(F.col("held") * 2 > F.col("classes"))
+        core = core.groupBy("star").agg(F.collect_list("e").alias("core"))
+        core = open_.join(core, "star", "left").withColumn("core", F.coalesce("core", F.array().cast("array<bigint>")))
+        # A star may have very many classes, so they are dealt over salts.
+        salts = core.withColumn("salts", F.ceil(F.col("classes") / PAIRS_PER_SALT))
+        every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt")
+        core = salts.select("star", "core", every)
+        salted = sets.join(salts.select("star", "salts"), "star")
+        salted = salted.withColumn("salt", F.pmod(F.xxhash64("x"), F.col("salts")))
+        met = salted.join(core, ["star", "salt"])
+        apart = F.concat(F.array_except("shingles", "core"), F.array_except("core", "shingles"))
+        return self.shelf.put(
+            "differ", met.select("star", "x", "cx", F.size("shingles").cast("bigint").alias("n"), apart.alias("d"))
+        )
+
+    def _term(self) -> Column:
+        """How far a class is from the core, in whole numbers; see ``leftovers``."""
         top, base = self.at_least
-        comp = comps.withColumnsRenamed({"node": "cls", "component": "comp"})
-
-        def placed(df: DataFrame, key: str, name: str) -> DataFrame:
-            of = comp.select(F.col("cls").alias(key), F.col("comp").alias(name))
-            return df.join(of, key, "left").withColumn(name, F.coalesce(name, key))
-
-        both = self.shelf.put("stars", placed(placed(stars, "x", "cx"), "y", "cy"))
-        open_ = both.groupBy("y").agg(F.max((F.col("cx") != F.col("cy")).cast("int")).alias("open"))
-        members = self.shelf.put("members", both.join(open_.where("open = 1").select("y"), "y"))
-        apart = F.concat(F.array_except("left", "right"), F.array_except("right", "left"))
-        loose = (F.col("cx") != F.col("cy")).alias("loose")
-        sets = self._meet(members, "differ")
-        differ = sets.select("x", "y", "cx", loose, F.size("left").alias("n"), apart.alias("d"))
-        term = F.size("d") - F.col("n") * ((base - top) / (base + top))
-        differ = differ.select("x", "y", "cx", "loose", F.size("d").alias("size"), term.alias("term"), F.explode("d").alias("e"))
-        differ = self.shelf.put("differ", differ)
-        least = differ.where("loose").groupBy("y").agg(F.min("term").alias("least"))
-        least = self.shelf.put("least", least)
-        known = differ.groupBy("y", "e").agg(
-            F.count(F.lit(1)).alias("df"), F.max(F.col("loose").cast("int")).alias("any")
+        return (base + top) * F.size("d").cast("bigint") - (base - top) * F.col("n")
+
+    def near_core(self, differ: DataFrame) -> DataFrame:
+        """Links ``a, b`` that follow from the distances to the core alone: none is counted out."""
+        terms = differ.select("star", "x", self._term().alias("term"))
+        least = terms.groupBy("star").agg(F.min(F.struct("term", "x")).alias("least"))
+        met = terms.join(least, "star").where(F.col("term") + F.col("least.term") <= 0)
+        return met.where(F.col("x") != F.col("least.x")).select(F.col("least.x").alias("a"), F.col("x").alias("b"))
+
+    def leftovers(self, differ: DataFrame, comps: DataFrame) -> DataFrame:
+        """Pairs ``x, y`` of one star that lie in different components and may be linked.
+
+        Let D be the shingles by which a class differs from the core of the star, and c the number
+        that the D of two classes X and Z have in common. They differ in |D_X| + |D_Z| - 2c shingles; a
+        threshold p / q allows them (q - p) (|X| + |Z|) / (q + p). With the term T = (q + p) |D| - (q - p) |X|
+        that asks for 2 (q + p) c >= T_X + T_Z. Where the terms add up to 0 or less, so do those of either
+        with the least term of the star, and both are linked to that class by ``near_core``. So the pairs
+        left need c >= 1, and in one order of the shingles, the rarest first, D_X and D_Z meet in their
+        first |D| - c + 1. A shingle at place r of D_X can be that one for a Z with a term of
+        2 (q + p) (|D_X| - r + 1) - T_X at most, its limit here, and the other way round.
+
+        Near copies of one text differ from the core in places of their own: far from it they need
+        more in common than their few common differences, near it they are linked already. Only classes
+        in between, that share a rare difference, meet here.
+        """
+        top, base = self.at_least
+        placed = self._placed(differ.drop("cx"), comps)
+        rows = placed.select("star", "x", "cx", "n", F.size("d").alias("size"), self._term().alias("term"), F.explode("d").alias("e"))
+        rows = self.shelf.put("differ-rows", rows)
+        known = rows.groupBy("star", "e").agg(
+            F.count(F.lit(1)).alias("df"), F.min("cx").alias("low"), F.max("cx").alias("high")
         )
-        known = self.shelf.put("known", known.where("df > 1"))
-        shared = differ.join(known, ["y", "e"])
-        by_class = Window.partitionBy("y", "x")
+        known = self.shelf.put("known", known.where("df > 1").select("star", "e", "df", (F.col("low") != F.col("high")).alias("mixed")))
+        shared = rows.join(known, ["star", "e"])
+        by_class = Window.partitionBy("star", "x")
         alone = F.col("size") - F.count(F.lit(1)).over(by_class)
-        rank = alone + F.row_number().over(by_class.orderBy("df", "e"))
-        # Rounded down before it is rounded up: a bound met exactly stays.
-        common = F.greatest(F.ceil((F.col("term") + F.col("least")) / 2 - 1e-6), F.lit(1))
-        rare = shared.withColumn("rank", rank).where("any = 1").join(least, "y")
-        rare = rare.where(F.col("rank") <= F.col("size") - common + 1)
-        rare = self.shelf.put("rare", rare.select("y", "e", "x", "cx"))
-        loose = differ.where("loose").select("y", "e", F.col("x").alias("z"), F.col("cx").alias("cz"))
-        pairs = rare.join(loose, ["y", "e"]).where("cx != cz")
-        return pairs.select(F.least("x", "z").alias("x"), F.greatest("x", "z").alias("y")).distinct()
+        place = alone + F.row_number().over(by_class.orderBy("df", "e"))
+        limit = 2 * (base + top) * (F.col("size") - place + 1) - F.col("term")
+        rare = shared.withColumn("limit", limit).where("mixed").drop("size", "df", "mixed")
+        for _ in range(2):
+            # What no class at this shingle can reach, or be reached by, meets nobody here.
+            here = Window.partitionBy("star", "e")
+            rare = rare.withColumns({"low": F.min("term").over(here), "high": F.max("limit").over(here)})
+            rare = rare.where("limit >= low AND term <= high").drop("low", "high")
+        rare = self.shelf.put("rare", rare)
+        other = rare.select("star", "e", *[F.col(c).alias(f"{c}_") for c in ("x", "cx", "n", "term", "limit")])
+        near = (
+            (rare["star"] == other["star"])
+            & (rare["e"] == other["e"])
+            & (F.col("x") < F.col("x_"))
+            & (F.col("cx") != F.col("cx_"))
+            & (F.col("term_") <= F.col("limit"))
+            & (F.col("term") <= F.col("limit_"))
+            & self._sizes("n", "n_")
+        )
+        return rare.join(other, near).select("x", F.col("x_").alias("y")).distinct()
 
     def same_ids(self) -> DataFrame:
         """Links between the classes of rows that share a doc_id."""
@@ -362,6 +417,33 @@ class _Search:
         return of.join(least, "doc_id").where("cls != a").select("a", F.col("cls").alias("b"))
 
 
+def _joined(comps: DataFrame, links: DataFrame, shelf: Shelf, label: str) -> DataFrame:
+    """Components after more links."""
+    if links.isEmpty():
+        return comps
+    known = comps.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return shelf.put(f"{label}-comps", components(known.unionByName(links), shelf, label))
+
+
+def _search(docs: DataFrame, words: int, at_least: tuple[int, int]) -> tuple[_Search, DataFrame]:
+    """The classes of a table, and the components of linked ones as ``node, component``.
+
+    ``doc_id`` names nodes; ``own_id`` goes along with the members.
+    """
+    run = _Search(docs, words, at_least)
+    run.store_sets()
+    stars = run.shelf.put("stars", run.stars())
+    pairs = stars.where("x != y").select("x", "y").distinct()
+    links = run.confirm(pairs, "pivot").unionByName(run.same_ids())
+    comps = run.shelf.put("first-comps", components(links, run.shelf, "first"))
+    differ = run.differences(stars, comps)
+    comps = _joined(comps, run.shelf.put("core-links", run.near_core(differ)), run.shelf, "core")
+    comps = _joined(comps, run.confirm(run.leftovers(differ, comps), "rest"), run.shelf, "last")
+    used = ("sets", "active", "named", "star-members", "stars", "placed-stars", "open-stars", "open-members")
+    run.shelf.drop(*used, "differ", "differ-rows", "known", "rare", "core-links")
+    return run, comps
+
+
 def near_groups(
     docs: DataFrame, words: int = 5, at_least: tuple[int, int] = (4, 5)
 ) -> DataFrame:
@@ -377,16 +459,8 @@ def near_groups(
     Sets are held as 64-bit hashes. A pair at the threshold shares none of the 32 bands with
     probability (1 - s^4)^32: 6e-11 at 0.85, 5e-8 at 0.8.
     """
-    run = _Search(docs, words, at_least)
-    run.store_sets()
-    stars = run.shelf.put("pivot-pairs", run.pivots())
-    links = run.confirm(stars, "pivot").unionByName(run.same_ids())
-    comps = run.shelf.put("first-comps", components(links, run.shelf, "first"))
-    more = run.confirm(run.leftovers(stars, comps), "rest")
-    if not more.isEmpty():
-        known = comps.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        comps = run.shelf.put("last-comps", components(known.unionByName(more), run.shelf, "last"))
-    run.shelf.drop("sets", "active", "scored", "stars", "members", "differ", "least", "known", "rare")
+    named = docs.select(F.lit(None).cast("bigint").alias("own_id"), "doc_id", "text")
+    run, comps = _search(named, words, at_least)
     placed = run.classes.select("set_key", "n", "cls", "rep").join(
         comps.withColumnRenamed("node", "cls"), "cls", "left"
     )
@@ -408,8 +482,25 @@ def near_groups(
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, at_least: tuple[int, int] = (4, 5)) -> DataFrame:
-    """The rows that stay, with all their columns in their order."""
-    gone = near_groups(docs, words, at_least).where("NOT kept").select("doc_id").distinct()
+    """The rows that stay, with all their columns in their order: one of each group of near copies.
+
+    Rows are judged by their texts alone, whatever their ids: of each component of linked sets the
+    row with the smallest doc_id stays, one without doc_id only where no row has one. Rows that
+    repeat are near copies of each other. Rows without words, null or empty, all stay. Columns may
+    have any names; no rows give no rows.
+    """
+    shelf = Shelf(docs.sparkSession)
     # Whole rows as one column: no name of theirs can clash with one used here.
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.struct("*").alias("row"))
-    return rows.join(gone, "doc_id", "left_anti").select("row.*")
+    rows = docs.select(
+        F.col("doc_id").cast("bigint").alias("own_id"), "text", F.struct("*").alias("row")
+    )
+    rows = shelf.put("near-rows", rows.withColumn("doc_id", F.monotonically_increasing_id()))
+    run, comps = _search(rows, words, at_least)
+    classes = run.classes.select("set_key", "n", "cls").join(comps.withColumnRenamed("node", "cls"), "cls", "left")
+    classes = classes.select("set_key", "n", F.coalesce("component", "cls").alias("component"))
+    known = run.members.where("n > 0").join(classes, ["set_key", "n"])
+    order = F.struct(F.col("own_id").isNull().alias("unnamed"), "own_id", "doc_id")
+    first = known.groupBy("component").agg(F.min(order).alias("first"))
+    kept = first.select(F.col("first.doc_id").alias("doc_id"))
+    kept = run.members.where("n = 0").select("doc_id").unionByName(kept)
+    return rows.join(kept, "doc_id", "left_semi").select("row.*")

@@ -90,6 +90,101 @@ def test_stage_keeps_rows_and_columns(spark):
     assert sorted(str(r["doc_id"]) for r in left.collect()) == ["1", "3", "None"]
 
 
+def kept_by_rows(rows, n, top, base):
+    """What stays if rows are judged by their texts alone: (doc_id, text), the first of each group."""
+    by_place = brute_force([(i, t) for i, (_, t) in enumerate(rows)], n, top, base)
+    groups = {}
+    for place, size, comp, _ in by_place:
+        groups.setdefault(comp if size else ("alone", place), []).append(place)
+    best = [min(g, key=lambda i: (rows[i][0] is None, rows[i][0] or 0)) for g in groups.values()]
+    return sorted((rows[i] for i in best), key=str)
+
+
+A, B = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+
+
+@pytest.mark.parametrize(
+    "rows",
+    [
+        # A text that shares its id with a copy of another one stays.
+        [(3, A + " more"), (7, A), (7, B)],
+        [(None, A), (None, A + " x"), (None, B), (5, B + " y"), (None, None), (None, ""), (1, None)],
+        [(4, A), (4, A), (4, A + " z"), (9, "short"), (9, "short")],
+        [],
+    ],
+)
+def test_stage_judges_rows_by_their_texts(spark, rows):
+    left = near_dup.drop_near_copies(documents(spark, rows, clashing=True))
+    found = sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=str)
+    wanted = kept_by_rows(rows, 5, 4, 5)
+    # Of rows that tie in id, which one stays is not told; their group is.
+    assert [i for i, _ in found] == [i for i, _ in wanted] and len(found) == len(wanted)
+    assert {t for _, t in found} >= {B} if (7, B) in rows else True
+
+
+def test_stage_equals_brute_force(spark):
+    rows = corpus(4)
+    left = near_dup.drop_near_copies(documents(spark, rows))
+    found = sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=str)
+    assert found == kept_by_rows(rows, 5, 4, 5)
+
+
+def apart(number):
+    """Copies of one text with many changes each, so that hardly any two are linked."""
+    draw = random.Random(number)
+    vocabulary = [f"w{i}" for i in range(20_000)]
+    base = [draw.choice(vocabulary) for _ in range(200)]
+    texts = []
+    for _ in range(number):
+        text = list(base)
+        for _ in range(draw.randint(4, 14)):
+            text[draw.randrange(200)] = draw.choice(vocabulary)
+        texts.append(" ".join(text))
+    return list(enumerate(texts))
+
+
+@pytest.mark.parametrize("number", [500, 2000])
+def test_a_group_without_links_lists_no_pairs(spark, number, monkeypatch):
+    """The classes of a group that are not linked to each other meet in few pairs, and no link is lost."""
+    rows = apart(number)
+    sizes = {}
+    confirm = near_dup._Search.confirm
+
+    def counted(self, pairs, label):
+        stored = self.shelf.put(f"{label}-pairs", pairs)
+        sizes[label] = stored.count()
+        return confirm(self, stored, label)
+
+    monkeypatch.setattr(near_dup._Search, "confirm", counted)
+    found = near_dup.near_groups(documents(spark, rows), 3, (17, 20)).collect()
+    # Links by an inverted index over shingles, which is brute force for texts of one group.
+    sets = [shingles(t, 3) for _, t in rows]
+    index = {}
+    for i, s in enumerate(sets):
+        for g in s:
+            index.setdefault(g, len(index))
+    width = len(index)
+    bits = np.zeros((number, width), dtype=np.float32)
+    for i, s in enumerate(sets):
+        bits[i, [index[g] for g in s]] = 1
+    common = bits @ bits.T
+    n = bits.sum(axis=1)
+    linked = 100 * common >= 85 * (n[:, None] + n[None, :] - common)
+    parent = list(range(number))
+
+    def root(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for i, j in np.argwhere(np.triu(linked, 1)).tolist():
+        a, b = sorted((root(i), root(j)))
+        parent[b] = a
+    assert {r["doc_id"]: r["component_id"] for r in found} == {i: root(i) for i in range(number)}
+    assert sizes["pivot"] < 4 * number and sizes["rest"] < 20 * number
+
+
 def test_registers_hold_zeros_and_mantissa_of_the_least_hash():
     hashes = np.sort(np.random.RandomState(0).randint(0, 2**63, 5000).astype(np.uint64) * np.uint64(2))
     found = near_dup.registers(hashes, near_dup._probe_order())
