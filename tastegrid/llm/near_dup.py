@@ -173,6 +173,7 @@ def _setter(words: int) -> Callable:
                     ],
                     names=["doc_id", "n", "set_key", "shingles"],
                 )
+            give_back()
 
     return run
 
@@ -491,11 +492,10 @@ def drop_near_copies(docs: DataFrame, words: int = 5, at_least: tuple[int, int]
     """
     shelf = Shelf(docs.sparkSession)
     # Whole rows as one column: no name of theirs can clash with one used here.
-    rows = docs.select(
-        F.col("doc_id").cast("bigint").alias("own_id"), "text", F.struct("*").alias("row")
-    )
-    rows = shelf.put("near-rows", rows.withColumn("doc_id", F.monotonically_increasing_id()))
-    run, comps = _search(rows, words, at_least)
+    rows = docs.select(F.struct("*").alias("row")).withColumn("doc_id", F.monotonically_increasing_id())
+    rows = shelf.put("near-rows", rows)
+    own = F.col("row.doc_id").cast("bigint").alias("own_id")
+    run, comps = _search(rows.select(own, "doc_id", F.col("row.text").alias("text")), words, at_least)
     classes = run.classes.select("set_key", "n", "cls").join(comps.withColumnRenamed("node", "cls"), "cls", "left")
     classes = classes.select("set_key", "n", F.coalesce("component", "cls").alias("component"))
     known = run.members.where("n > 0").join(classes, ["set_key", "n"])
