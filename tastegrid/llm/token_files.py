@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tastegrid.llm.coder import Pieces, read_segment, write_segment
+from tastegrid.llm.shelf import Shelf
 from tastegrid.llm.tokens import WordEncoder, slices
 
 # The functions below travel to the workers inside the task.
@@ -86,13 +87,16 @@ def _write_job(tokenizer: str, segment_ids: int) -> Callable:
 def write(docs: DataFrame, path: str, tokenizer: str, segment_ids: int = SEGMENT_IDS) -> None:
     """Write the ids of ``docs(doc_id, text)``, each document with an end id, to ``path``.
 
-    Documents are in ascending doc_id order, those without doc_id first; a null text is empty.
+    Documents are in ascending doc_id order, those without doc_id first; a null text is empty. Rows that
+    share a doc_id, or have none, go by a hash of their text, so they fall into several ranges
+    and come in one order however they were dealt before.
     """
-    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    ordered = source.repartitionByRange(F.asc_nulls_first("doc_id")).sortWithinPartitions(
-        F.asc_nulls_first("doc_id")
-    )
-    ordered.mapInArrow(_write_job(tokenizer, segment_ids), SEGMENTS).write.parquet(path)
+    text = F.coalesce("text", F.lit(""))
+    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"))
+    source = source.withColumn("hash", F.xxhash64("text"))
+    order = [F.asc_nulls_first("doc_id"), F.asc("hash")]
+    ordered = source.repartitionByRange(*order).sortWithinPartitions(*order)
+    ordered.select("doc_id", "text").mapInArrow(_write_job(tokenizer, segment_ids), SEGMENTS).write.parquet(path)
 
 
 def _read_job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +161,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     not have their checksum is an error.
     """
     segments = spark.read.schema(SEGMENTS).parquet(path)
-    pieces = segments.select("part", "before", "data").mapInArrow(_read_job, PARTS)
+    # Stored, without the ids: whole and split documents both read them, and nothing is decoded twice.
+    pieces = Shelf(spark).put("pieces", segments.select("part", "before", "data").mapInArrow(_read_job, PARTS))
     whole = F.col("size") == F.col("n_tokens")
     one = pieces.where(whole).select("doc_id", "part", "first", "n_tokens", "crc")
     split = _split_documents(segments, pieces.where(~whole))

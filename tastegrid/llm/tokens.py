@@ -1,8 +1,10 @@
-"""Token ids of whole texts, with each distinct word encoded once.
+"""Token ids of whole texts, with each distinct word of a worker encoded once.
 
 A text is cut only at single spaces between two signs that are no white space. Both kinds of
 tokenizer used here look at the pieces of such a cut one by one, so the ids of the pieces, put
 together, are the ids of the text. Tests hold this against the plain way.
+
+The words live on in the worker, within a bound, so the next texts and tasks find them there.
 """
 
 from __future__ import annotations
@@ -11,7 +13,8 @@ import ctypes
 import json
 import os
 import sys
-from itertools import chain
+import types
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +30,14 @@ TAILS = (".", ",")
 SLICE_CHARS = 16_000_000
 
 
+# Bytes of words and ids that a worker keeps, and what one of them takes besides its letters and ids.
+KEPT_BYTES = 16 << 20
+ENTRY_BYTES = 180
+
+# The functions of this module travel with each task; what is to stay in the worker stands here.
+_HOME = "tastegrid_worker_words"
+
+
 class WordEncoder:
     """Encodes texts with a tokenizer file."""
 
@@ -34,14 +45,32 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        normalizer = json.loads(self.tokenizer.to_str()).get("normalizer")
-        self.folds_case = '"Lowercase"' in json.dumps(normalizer)
-        self.tails = [self._plain([sign])[0] for sign in TAILS]
-
-    def _plain(self, pieces: list[str]) -> list[list[int]]:
+        home = sys.modules.setdefault(_HOME, types.ModuleType(_HOME)).__dict__
+        if path not in home:
+            tokenizer = Tokenizer.from_file(path)
+            normalizer = json.loads(tokenizer.to_str()).get("normalizer")
+            home[path] = (tokenizer, '"Lowercase"' in json.dumps(normalizer), {}, [0])
+        # The last two change: words with their ids, and the bytes they take.
+        self.tokenizer, self.folds_case, self.known, self.kept = home[path]
+        self.tails = self._plain(list(TAILS))
+
+    def _plain(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces, as bytes."""
         found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return [e.ids for e in found]
+        return [array("i", e.ids).tobytes() for e in found]
+
+    def _ids_of(self, words: list[str]) -> list[bytes]:
+        """The ids of different words; those that find room stay in the worker."""
+        known = self.known
+        new = [w for w in words if w not in known]
+        fresh = dict(zip(new, self._plain([" " + w for w in new])))
+        ids = [known[w] if w in known else fresh[w] for w in words]
+        for word, found in fresh.items():
+            if self.kept[0] > KEPT_BYTES:
+                break
+            known[word] = found
+            self.kept[0] += ENTRY_BYTES + len(word) + len(found)
+        return ids
 
     def _word_ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct words, each after a space, and where they begin and end.
@@ -59,7 +88,7 @@ class WordEncoder:
             plain = pc.and_(pc.string_is_ascii(heads), pc.invert(pc.match_substring(heads, "<|")))
             heads = pc.if_else(plain, pc.ascii_lower(heads), heads)
         coded = heads.dictionary_encode()
-        ids = self._plain([" " + w for w in coded.dictionary.to_pylist()])
+        ids = self._ids_of(coded.dictionary.to_pylist())
         return _joined(ids, self.tails, np.asarray(coded.indices), tail)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -97,14 +126,14 @@ class WordEncoder:
         return flat[shift], upto[np.searchsorted(places, offsets)]
 
 
-def _appended(flat: np.ndarray, starts: np.ndarray, ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.fromiter(map(len, ids), np.int64, count=len(ids))
-    more = np.fromiter(chain.from_iterable(ids), np.int32, count=int(sizes.sum()))
+def _appended(flat: np.ndarray, starts: np.ndarray, ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.fromiter(map(len, ids), np.int64, count=len(ids)) // 4
+    more = np.frombuffer(b"".join(ids), dtype=np.int32)
     return np.concatenate([flat, more]), np.concatenate([starts, starts[-1] + np.cumsum(sizes)])
 
 
 def _joined(
-    heads: list[list[int]], tails: list[list[int]], head: np.ndarray, tail: np.ndarray
+    heads: list[bytes], tails: list[bytes], head: np.ndarray, tail: np.ndarray
 ) -> tuple[np.ndarray, np.ndarray]:
     """The ids of each word: those of its head, and of its tail where ``tail`` is not 0."""
     flat, starts = _appended(np.empty(0, np.int32), np.zeros(1, np.int64), heads + tails)

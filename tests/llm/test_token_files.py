@@ -80,3 +80,53 @@ def test_round_trip_equals_plain_encoding(spark, tmp_path, segment):
 def test_no_rows(spark, tmp_path):
     write(documents(spark, []), str(tmp_path / "none"), FILE)
     assert read(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_order_and_rows_do_not_depend_on_partitioning(spark):
+    rows = [(None, f"no id {i}") for i in range(40)] + [(5, f"same id {i}") for i in range(40)] + [(i, "t") for i in range(9)]
+    shuffled = rows[::-1]
+
+    def found(df, label):
+        made = round_trip(df, f"{spark.conf.get('spark.checkpoint.dir')}/{label}-{random.random()}", FILE, 64)
+        return sorted((tuple(r) for r in made.collect()), key=str)
+
+    one = found(documents(spark, rows).coalesce(1), "one")
+    many = found(documents(spark, shuffled).repartition(7), "many")
+    assert one == many and len(one) == len(rows)
+
+
+def test_rows_without_id_take_several_ranges(spark, tmp_path):
+    rows = [(None, f"no id {i} {i * i}") for i in range(400)]
+    small = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(small, "false")
+    try:
+        write(documents(spark, rows).repartition(4), str(tmp_path / "set"), FILE)
+    finally:
+        spark.conf.unset(small)
+    assert spark.read.parquet(str(tmp_path / "set")).select("part").distinct().count() > 1
+
+
+def test_words_stay_in_the_worker_within_a_bound(monkeypatch):
+    import sys
+
+    import pyarrow as pa
+
+    from tastegrid.llm import tokens
+
+    monkeypatch.setitem(sys.modules, tokens._HOME, __import__("types").ModuleType(tokens._HOME))
+    texts = pa.array(["some words here", "some more words here, again.", LONG[:5000]])
+    first = tokens.WordEncoder(FILE)
+    ids, ends = first.encode(texts)
+    again = tokens.WordEncoder(FILE)
+    assert again.known is first.known and len(again.known) > 10
+    asked = []
+    monkeypatch.setattr(tokens.WordEncoder, "_plain", lambda self, pieces: asked.append(pieces) or [b""] * len(pieces))
+    again._ids_of(["words", "some"])
+    assert asked == [[]]
+    monkeypatch.undo()
+    monkeypatch.setitem(sys.modules, tokens._HOME, __import__("types").ModuleType(tokens._HOME))
+    monkeypatch.setattr(tokens, "KEPT_BYTES", 500)
+    small = tokens.WordEncoder(FILE)
+    same, places = small.encode(texts)
+    assert same.tolist() == ids.tolist() and places.tolist() == ends.tolist()
+    assert len(small.known) <= 4
