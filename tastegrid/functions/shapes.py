@@ -44,6 +44,13 @@ def largest_column(cols: Sequence[str], empty: str = "first") -> Column:
     raise ValueError(f"empty must be 'first' or 'null', not {empty!r}")
 
 
+def largest_entry(counts: str) -> Column:
+    """Key of the largest positive value of a map, the first of several; null if there is none."""
+    entries = F.filter(F.map_entries(quoted(counts)), lambda e: e["value"] > 0)
+    most = F.array_max(F.transform(entries, lambda e: e["value"]))
+    return F.array_min(F.transform(F.filter(entries, lambda e: e["value"] == most), lambda e: e["key"]))
+
+
 def array_width(df: DataFrame, col: str) -> DataFrame:
     """One row with the longest length in an array column; null if there are no rows."""
     return df.agg(F.max(F.size(F.col(quoted(col)))).alias("width"))

@@ -7,7 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tastegrid.functions.shapes import expand_struct, fill_zero, largest_column, numeric_fields
+from tastegrid.functions.shapes import (
+    expand_struct,
+    fill_zero,
+    largest_column,
+    largest_entry,
+    numeric_fields,
+)
+from tastegrid.sources.workspace import cut
 
 
 def expand_counts(counts: DataFrame, struct: str = "categories") -> tuple[DataFrame, list[str]]:
@@ -25,6 +32,23 @@ def top_category(df: DataFrame, names: Sequence[str], empty: str = "first") -> D
     return df.select("item_id", largest_column(names, empty).alias("top_category"))
 
 
+def top_category_of_map(counts: DataFrame, empty: str = "first", column: str = "categories") -> DataFrame:
+    """The category with the highest count for each item, from counts in a map.
+
+    The rows of ``top_category`` over the same counts: a missing or null count is 0, and an item
+    without a positive one gets the alphabetically first category of all items, or null with
+    ``empty="null"``. Counts are not negative. The frame is read once, and categories are values in it, not columns.
+    """
+    if empty not in ("first", "null"):
+        raise ValueError(f"empty must be 'first' or 'null', not {empty!r}")
+    best = counts.select("item_id", largest_entry(column).alias("top_category"), F.array_min(F.map_keys(column)).alias("_least"))
+    if empty == "null":
+        return best.drop("_least")
+    stored = cut(best)
+    first = F.lit(stored.agg(F.min("_least")).first()[0]).cast("string")
+    return stored.select("item_id", F.coalesce("top_category", first).alias("top_category"))
+
+
 def category_map(top: DataFrame) -> DataFrame:
     """Dense ids from 0 in alphabetical order for the categories that occur.
 

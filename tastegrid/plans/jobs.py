@@ -14,6 +14,7 @@ from tastegrid.operators.categories import (
     rejected_ids,
     remap_ids,
     top_category,
+    top_category_of_map,
 )
 from tastegrid.operators.factors import factors_by_category as join_factors
 from tastegrid.operators.factors import project_2d, wide_factors, with_category_name
@@ -26,6 +27,7 @@ from tastegrid.sources.files import (
     counts_schema,
     read_category_map,
     read_counts_json,
+    read_counts_map,
     read_id_map,
     read_parquet,
     read_wide_factors,
@@ -64,10 +66,11 @@ def train_eval(
     """Search the grid, then store metrics, best model and its item factors.
 
     Models are compared on ``select_on``; the best one may also be scored on rows
-    that took no part in the choice, ``report_on``.
+    that took no part in the choice, ``report_on``. The search keeps a journal under ``out``, so a
+    job that was stopped there goes on where it was.
     """
     rows = read_parquet(spark, train)
-    result = grid_search(rows, read_parquet(spark, select_on), grid, ev)
+    result = grid_search(rows, read_parquet(spark, select_on), grid, ev, f"{out}/journal")
     write_parquet(result.metrics, f"{out}/metrics")
     if result.model is not None:
         save_model(result.model, f"{out}/model")
@@ -88,12 +91,14 @@ def top_categories(
 ) -> int:
     """Write ``top_categories`` (Parquet, sorted by item) and ``category_map`` (CSV).
 
-    With ``names`` the counts are read by schema and not scanned to infer one. Returns
-    how many item ids were left out because they are no number.
+    With ``names`` the counts are read by schema, without as a map; either way the lines are read
+    once. Returns how many item ids were left out because they are no number.
     """
-    schema = counts_schema(names) if names else None
-    flat, found = expand_counts(read_counts_json(spark, counts, schema))
-    top = cut(top_category(flat, found, empty))
+    if names:
+        flat, found = expand_counts(read_counts_json(spark, counts, counts_schema(names)))
+        top = cut(top_category(flat, found, empty))
+    else:
+        top = cut(top_category_of_map(read_counts_map(spark, counts), empty))
     cmap = category_map(top)
     write_csv(cmap.select("category_id", F.col("top_category")), f"{out}/category_map", header=False)
     ready = remap_ids(attach_category_id(top, cmap), read_id_map(spark, id_map))

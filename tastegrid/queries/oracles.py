@@ -427,8 +427,8 @@ ORACLES: dict[str, str] = {
     ),
     "als_grid_points": _with(
         f"{_SPLIT} val",
-        """SELECT CAST(r * 2 + g AS INT) AS point, CAST([5, 10][r + 1] AS INT) AS rank,
-                  [0.05::DOUBLE, 0.1][g + 1] AS reg_param, users
+        """SELECT CAST(r * 2 + g AS INT) AS point, CAST([10, 160][r + 1] AS INT) AS rank,
+                  [0.001::DOUBLE, 1.0][g + 1] AS reg_param, users
            FROM range(2) a(r), range(2) b(g),
                 (SELECT count(DISTINCT user_id)::BIGINT AS users FROM val
                  WHERE rating >= 3 AND user_id IN (SELECT user_id FROM train))""",
@@ -462,8 +462,49 @@ ORACLES: dict[str, str] = {
     ),
 }
 
+_FIT_JOB = _with(
+    _SPLIT,
+    """SELECT users, items, 10::INTEGER AS width
+       FROM (SELECT count(DISTINCT user_id)::BIGINT AS users FROM test
+             WHERE rating >= 3 AND user_id IN (SELECT user_id FROM train)),
+            (SELECT count(DISTINCT item_id)::BIGINT AS items FROM train)""",
+)
+
+_DRAWN = "item_id || ':' || train_draw"
+
+ORACLES |= {
+    "factor_moments": f"""
+        WITH v AS (SELECT list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+                   WHERE len(list_filter(embedding, lambda x: x IS NULL)) = 0)
+        SELECT i::INTEGER AS i, j::INTEGER AS j, count(*) AS n, round(avg(v[i + 1]), 6) AS mean,
+               round(covar_samp(v[i + 1], v[j + 1]), 6) AS covariance
+        FROM v, range({WIDTH}) a(i), range({WIDTH}) b(j) WHERE j >= i GROUP BY i, j""",
+    "job_factor_view": _with(
+        f"{_CATEGORIES} factors",
+        """SELECT draw_id, first_draw, train_draw, item_id, category_id, top_category AS category
+           FROM balanced LEFT JOIN category_names USING (category_id)""",
+        wide="SELECT id AS item_id, category_id FROM factors",
+        train="SELECT * EXCLUDE (draw_id), draw_id AS train_draw FROM ("
+        + _RESAMPLE.format(source="wide", percent=50, key="item_id", pick=_PICK.format("i"))
+        + ")",
+        shown="SELECT * EXCLUDE (draw_id), draw_id AS first_draw FROM ("
+        + _RESAMPLE.format(source="train", percent=80, key=_DRAWN, pick=_PICK.format("i"))
+        + ")",
+        balanced=_BALANCE.format(
+            source="shown",
+            by="category_id",
+            key=f"{_DRAWN} || ':' || first_draw",
+            order="item_id, train_draw, first_draw",
+            pick=_PICK.format("category_id || ':' || i"),
+        ),
+    ),
+    "job_train_eval_test_rows": _FIT_JOB,
+    "job_train_eval_all_items": _FIT_JOB,
+}
+
 # Other ways to the same rows.
 SAME_ROWS = {
+    "top_category_from_map": "top_category",
     "dot_product_top_k_stored": "dot_product_top_k",
     "ordered_places_in_ranges": "ordered_places",
     "eval_test_rows_in_ranges": "eval_test_rows",

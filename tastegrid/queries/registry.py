@@ -214,6 +214,14 @@ def top_category(spark, folder):
     return _top(spark, folder)
 
 
+@query
+def top_category_from_map(spark, folder):
+    """From JSON lines whose categories no schema names."""
+    path = fresh_path(spark, "counts-json")
+    views.nested_counts(spark, folder).write.json(path)
+    return categories.top_category_of_map(files.read_counts_map(spark, path, "BIGINT"))
+
+
 @query
 def category_map(spark, folder):
     """The map after a round trip through a file without header."""
@@ -268,6 +276,14 @@ def widen_factors(spark, folder):
     return as_double(_wide(spark, folder))
 
 
+@query
+def factor_moments(spark, folder):
+    """Means and covariances of all factors, which the projection is made of."""
+    wide = _wide(spark, folder)
+    found = factors.factor_moments(wide, [c for c in wide.columns if c.startswith("x")])
+    return rounded(found, "mean", "covariance")
+
+
 @query
 def factor_projection(spark, folder):
     wide = _wide(spark, folder)
@@ -514,7 +530,8 @@ def eval_recs_in_test_by_user(spark, folder):
 # --- models --------------------------------------------------------------------------------
 
 FIT = AlsConfig(rank=10, reg_param=0.1)
-GRID = GridConfig(ranks=(5, 10), reg_params=(0.05, 0.1))
+# Both ends of both axes of the default grid.
+GRID = GridConfig(ranks=(10, 160), reg_params=(0.001, 1.0))
 
 
 def _model(spark, folder):
@@ -664,3 +681,37 @@ def job_factors_by_category(spark, folder):
     top = f"{_category_files(spark, folder)}/top_categories"
     jobs.factors_by_category(spark, source, top, out)
     return as_double(files.read_wide_factors(spark, out))
+
+
+@query
+def job_factor_view(spark, folder):
+    """The points that the view job draws from written factors, without their coordinates."""
+    wide, names = fresh_path(spark, "wide"), fresh_path(spark, "category-map-csv")
+    files.write_wide_csv(_wide(spark, folder), wide)
+    cmap = categories.category_map(_top(spark, folder))
+    files.write_csv(cmap.select("category_id", "top_category"), names, header=False)
+    points = jobs.factor_view(spark, wide, names, ViewConfig(train_percent=50, plot_percent=80))
+    return points.select("draw_id", "first_draw", "train_draw", "item_id", "category_id", "category")
+
+
+def _fit_job(spark, folder, mode):
+    """The split and train/eval jobs from files to files: the users that the report covers."""
+    source, out = fresh_path(spark, "interactions"), fresh_path(spark, "split")
+    views.interactions(spark, folder).write.parquet(source)
+    paths = jobs.split(spark, source, out, views.SPLIT)
+    grid, ev = GridConfig(ranks=(10,), reg_params=(0.1,)), EvalConfig(mode=mode, k=TOP_K)
+    jobs.train_eval(spark, paths["train"], paths["val"], f"{out}/fit", grid, ev, paths["test"])
+    items = spark.read.parquet(f"{out}/fit/item_factors")
+    width = items.agg(F.count(F.lit(1)).alias("items"), F.max(F.size("features")).alias("width"))
+    report = spark.read.parquet(f"{out}/fit/report").select("users", F.lit(0).alias("one"))
+    return report.join(width.withColumn("one", F.lit(0)), "one").drop("one")
+
+
+@query
+def job_train_eval_test_rows(spark, folder):
+    return _fit_job(spark, folder, "test_rows")
+
+
+@query
+def job_train_eval_all_items(spark, folder):
+    return _fit_job(spark, folder, "all_items")

@@ -28,6 +28,18 @@ def read_counts_json(
     return reader.json(path)
 
 
+def read_counts_map(
+    spark: SparkSession, path: str, id_type: str = "STRING", value_type: str = "BIGINT"
+) -> DataFrame:
+    """Nested counts as a map from category to count, one JSON object a line.
+
+    The lines are read once: no categories have to be known or inferred, and none is a field of the
+    schema, however many there are.
+    """
+    schema = f"item_id {id_type}, categories MAP<STRING, {value_type}>"
+    return spark.read.schema(schema).json(path)
+
+
 def counts_schema(categories: Sequence[str], id_type: T.DataType | None = None) -> T.StructType:
     """Schema for ``read_counts_json`` with the categories in alphabetical order."""
     counts = T.StructType([T.StructField(c, T.LongType()) for c in sorted(categories)])

@@ -1,5 +1,7 @@
 import json
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tastegrid.operators.categories import (
@@ -9,12 +11,14 @@ from tastegrid.operators.categories import (
     rejected_ids,
     remap_ids,
     top_category,
+    top_category_of_map,
 )
-from tastegrid.operators.factors import factors_by_category, project_2d, wide_factors, with_category_name
+from tastegrid.operators.factors import factor_moments, factors_by_category, project_2d, wide_factors, with_category_name
 from tastegrid.sources.files import (
     counts_schema,
     read_category_map,
     read_counts_json,
+    read_counts_map,
     read_id_map,
     read_wide_factors,
     write_csv,
@@ -120,3 +124,59 @@ def test_items_without_a_category_keep_their_rows(spark, tmp_path):
     ids = attach_category_id(top, category_map(top))
     got = {r["item_id"]: (r["category_id"], r["top_category"]) for r in ids.collect()}
     assert len(got) == len(LINES) and got["3"] == (None, None) and got["2"][1] == "poetry"
+
+
+def test_top_category_of_map_equals_columns(spark, tmp_path):
+    path = write_lines(tmp_path)
+    flat, names = expand_counts(read_counts_json(spark, path))
+    for empty in ("first", "null"):
+        wanted = top_category(flat, names, empty)
+        found = top_category_of_map(read_counts_map(spark, path), empty)
+        assert sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, wanted.collect()), key=str)
+    with pytest.raises(ValueError):
+        top_category_of_map(read_counts_map(spark, path), "other")
+
+
+def test_ragged_counts_of_very_many_categories(spark, tmp_path):
+    """Ten thousand categories, each on a few lines, none of them in a schema or a plan."""
+    lines = []
+    for i in range(3000):
+        counts = {f"c{(i * 7 + j * 31) % 10_000:05d}": (i * j) % 5 for j in range(1, 12)}
+        lines.append({"item_id": str(i), "categories": counts if i % 50 else None})
+    path = tmp_path / "counts.json"
+    path.write_text("\n".join(map(json.dumps, lines)))
+    seen = sorted({c for line in lines for c in line["categories"] or {}})
+    assert len(seen) > 9000
+
+    def best(counts):
+        full = counts or {}
+        most = max(full.values(), default=0)
+        return min(c for c in full if full[c] == most) if most > 0 else seen[0]
+
+    frame = read_counts_map(spark, str(path))
+    assert "c00007" not in frame._jdf.queryExecution().executedPlan().toString()
+    found = {r["item_id"]: r["top_category"] for r in top_category_of_map(frame).collect()}
+    assert found == {line["item_id"]: best(line["categories"]) for line in lines}
+    assert top_category_of_map(frame.limit(0)).count() == 0
+
+
+def test_moments_and_projection_leave_out_rows_without_a_coordinate(spark):
+    draw = np.random.default_rng(2)
+    points = draw.normal(size=(80, 4)) * [3.0, 1.0, 0.2, 0.1] + [100.0, 0.0, 5.0, 0.0]
+    rows = [(i, *map(float, p)) for i, p in enumerate(points)] + [(900, 1.0, None, 2.0, 3.0), (901, None, None, None, None)]
+    df = spark.createDataFrame(rows, "item_id INT, x0 DOUBLE, x1 DOUBLE, x2 DOUBLE, x3 DOUBLE")
+    columns = ["x0", "x1", "x2", "x3"]
+    found = factor_moments(df, columns).collect()
+    covariance = np.cov(points.T)
+    assert len(found) == 10 and {r["n"] for r in found} == {80}
+    for r in found:
+        assert r["covariance"] == pytest.approx(covariance[r["i"], r["j"]], abs=1e-9)
+        assert r["mean"] == pytest.approx(points[:, r["i"]].mean(), abs=1e-9)
+    shown = {r["item_id"]: (r["x"], r["y"]) for r in project_2d(df, columns).collect()}
+    assert shown[900] == shown[901] == (None, None)
+    axes = np.linalg.svd(points - points.mean(axis=0))[2][:2]
+    axes = [a * np.sign(a[np.abs(a).argmax()]) for a in axes]
+    for i, p in enumerate(points):
+        assert shown[i] == pytest.approx(tuple(float(p @ a) for a in axes), abs=1e-6)
+    assert project_2d(df.limit(0), columns).columns == ["item_id", "x", "y"]
+    assert factor_moments(df.limit(0), columns).count() == 0

@@ -16,6 +16,7 @@ from tastegrid.operators.interactions import rated_pairs
 from tastegrid.operators import scoring
 from tastegrid.operators.scoring import _reader, _scorer, top_items
 from tastegrid.plans.evaluate import evaluate
+from tastegrid.plans import grid as grid_plan
 from tastegrid.plans.grid import grid_search
 from tastegrid.plans.split import split_interactions
 from tastegrid.queries import views
@@ -221,6 +222,40 @@ def test_grid_search_releases_what_lost(spark, parts):
     assert not set(stored().keySet().toArray()) - before
 
 
+def test_a_stopped_grid_goes_on(parts, tmp_path, monkeypatch):
+    """Two points are done when the search stops; the next one fits only the others."""
+    train, val, _ = parts
+    ev = EvalConfig(mode="test_rows", k=10)
+    config = GridConfig(ranks=(2, 3), reg_params=(0.1, 0.5), als=AlsConfig(max_iter=2))
+    journal, fits = str(tmp_path / "journal"), []
+    fit = grid_plan.fit_als
+
+    def counted(rows, cfg):
+        if len(fits) == 2:
+            raise RuntimeError("stopped")
+        fits.append((cfg.rank, cfg.reg_param))
+        return fit(rows, cfg)
+
+    monkeypatch.setattr(grid_plan, "fit_als", counted)
+    with pytest.raises(RuntimeError, match="stopped"):
+        grid_search(train, val, config, ev, journal)
+    assert [r["point"] for r in sorted(grid_plan.finished_points(train.sparkSession, journal))] == [0, 1]
+    fits.clear()
+    result = grid_search(train, val, config, ev, journal)
+    assert fits == [(3, 0.1), (3, 0.5)]
+    monkeypatch.undo()
+    whole = grid_search(train, val, config, ev)
+    for a, b in zip(result.metrics.collect(), whole.metrics.collect()):
+        assert tuple(a) == pytest.approx(tuple(b), abs=1e-6)
+    assert result.best["point"] == whole.best["point"] and result.model.rank == whole.model.rank
+    # With all points done nothing is fitted, and the best model is there.
+    monkeypatch.setattr(grid_plan, "fit_als", None)
+    again = grid_search(train, val, config, ev, journal)
+    assert again.best["point"] == whole.best["point"] and again.model.itemFactors.count() > 0
+    with pytest.raises(ValueError, match="another grid"):
+        grid_search(train, val, GridConfig((7, 3), (0.1, 0.5)), ev, journal)
+
+
 def test_default_grid_has_fifty_points_ranks_outside():
     points = GridConfig().points()
     assert len(points) == 50
