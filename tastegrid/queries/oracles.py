@@ -476,8 +476,8 @@ ORACLES |= {
     "factor_moments": f"""
         WITH v AS (SELECT list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
                    WHERE len(list_filter(embedding, lambda x: x IS NULL)) = 0)
-        SELECT i::INTEGER AS i, j::INTEGER AS j, count(*) AS n, round(avg(v[i + 1]), 6) AS mean,
-               round(covar_samp(v[i + 1], v[j + 1]), 6) AS covariance
+        SELECT i::INTEGER AS i, j::INTEGER AS j, count(*) AS n, round(avg(v[i + 1]), 6) + 0.0::DOUBLE AS mean,
+               round(covar_samp(v[i + 1], v[j + 1]), 6) + 0.0::DOUBLE AS covariance
         FROM v, range({WIDTH}) a(i), range({WIDTH}) b(j) WHERE j >= i GROUP BY i, j""",
     "job_factor_view": _with(
         f"{_CATEGORIES} factors",
