@@ -1,11 +1,13 @@
 """Adaptive range coder for token ids, with context mixing of orders 0 to 2.
 
 A text of ids is cut into blocks that are coded independently of each other, all blocks of a
-segment step by step at once. In every block, two tables remember the id that last followed
-the previous id (order 1) and the previous two (order 2), each with a confidence. The chance
-of each order to hit is learned for each pair of confidences and mixes the three orders into
-one distribution: the order-2 id, the order-1 id, or neither. Ids that neither predicts are
-coded by order 0, as two bytes with adaptive frequencies. All arithmetic is on integers.
+segment step by step at once. A block numbers its ids as they first occur, and all models
+count these numbers. Order 0 counts every id of the block. For each previous id (order 1) and each
+previous two (order 2) a table keeps the id that followed, with a count that grows with each hit.
+The chance of each order to hit is learned for each pair of counts; these chances weigh
+the orders against each other: the order-2 id, the order-1 id, or the counts of order 0.
+An id that is new to the block is an escape of order 0, as likely as the block has
+different ids, and its bytes with adaptive frequencies. All arithmetic is on integers.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark import cloudpickle
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLOCK_IDS = 4096
-MAX_ID = 0xFFFF
+MAX_ID = 0xFFFFFFFF
 SLOTS = 2048
 TOP_CONFIDENCE = 7
 MIX_BITS, BYTE_BITS = 12, 10
@@ -34,23 +36,70 @@ _WORD = _U(32)
 _LOW = _U(0xFFFFFFFF)
 
 
+# A tree of three levels with 16 branches holds the counts of up to 4,096 numbers.
+_LEVELS = 3
+_LATER = np.tri(16, k=-1, dtype=np.uint16).T.copy()
+
+
+class _Counts:
+    """How often each number occurred in each block, with sums over all smaller numbers.
+
+    A node keeps for each branch the count of the branches before it.
+    """
+
+    def __init__(self, blocks: int) -> None:
+        self.before = [np.zeros((blocks * 16**k, 16), dtype=np.uint16) for k in range(_LEVELS)]
+        self.count = np.zeros(blocks * BLOCK_IDS, dtype=np.uint16)
+
+    def range(self, block: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The count of all smaller numbers, and the own one."""
+        start = np.zeros(len(block), dtype=np.int64)
+        for k, table in enumerate(self.before):
+            node = block * 16**k + (number >> 12 - 4 * k)
+            start += table[node, number >> 8 - 4 * k & 15]
+        return start, self.count[block * BLOCK_IDS + number].astype(np.int64)
+
+    def find(self, block: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """The number whose range holds ``place``, which lies below the count of all."""
+        number, rest = np.zeros(len(block), dtype=np.int64), place.copy()
+        for k, table in enumerate(self.before):
+            node = block * 16**k + number
+            branch = np.count_nonzero(table.take(node, axis=0) <= rest[:, None], axis=1) - 1
+            rest -= table[node, branch]
+            number = number * 16 + branch
+        return number
+
+    def add(self, block: np.ndarray, number: np.ndarray) -> None:
+        """One more of ``number`` in each of these different blocks."""
+        for k, table in enumerate(self.before):
+            node = block * 16**k + (number >> 12 - 4 * k)
+            row = table.take(node, axis=0)
+            row += _LATER.take(number >> 8 - 4 * k & 15, axis=0)
+            table[node] = row
+        self.count[block * BLOCK_IDS + number] += 1
+
+
 class _Model:
     """What every block knows so far; the same in coder and decoder."""
 
-    def __init__(self, blocks: int) -> None:
-        self.base = np.arange(blocks, dtype=np.int64)
-        self.guess = [np.zeros(blocks * SLOTS, dtype=np.uint16) for _ in range(2)]
-        self.trust = [np.zeros(blocks * SLOTS, dtype=np.uint8) for _ in range(2)]
+    def __init__(self, widths: np.ndarray) -> None:
+        blocks = len(widths)
+        self.widths, self.base = widths, np.arange(blocks, dtype=np.int64)
+        # The number that followed, times 8, and how sure that is.
+        self.table = [np.zeros(blocks * SLOTS, dtype=np.int32) for _ in range(2)]
         kinds = 2 * (TOP_CONFIDENCE + 1) ** 2
         self.chance = [np.full(blocks * kinds, 1 << 14, dtype=np.int32) for _ in range(2)]
         self.kinds = kinds
-        self.counts = [np.zeros((blocks, 256), dtype=np.int64) for _ in range(2)]
-        self.cum = [np.zeros((blocks, 257), dtype=np.int64) for _ in range(2)]
+        self.counts = _Counts(blocks)
+        self.known = np.zeros(blocks, dtype=np.int64)
+        bytes_ = int(widths.max())
+        self.seen_bytes = [np.zeros((blocks, 256), dtype=np.int64) for _ in range(bytes_)]
+        self.cum = [np.zeros((blocks, 257), dtype=np.int64) for _ in range(bytes_)]
         self.before = [np.zeros(blocks, dtype=np.int64) for _ in range(2)]
 
     def narrow(self, n: int) -> None:
         """Go on with the first ``n`` blocks; the others have ended."""
-        self.base = self.base[:n]
+        self.base, self.known = self.base[:n], self.known[:n]
         self.before = [b[:n] for b in self.before]
 
     def look(self, step: int) -> None:
@@ -59,49 +108,64 @@ class _Model:
         last = SLOTS - 1
         slot = [(one * 40503 >> 3) & last, (one * 40503 + two * 30011 >> 5) & last]
         self.at = [self.base * SLOTS + s for s in slot]
-        self.seen = [g[a].astype(np.int64) for g, a in zip(self.guess, self.at)]
-        self.sure = [t[a].astype(np.int64) for t, a in zip(self.trust, self.at)]
-        same = (self.seen[0] == self.seen[1]).astype(np.int64)
+        entries = [t.take(a) for t, a in zip(self.table, self.at)]
+        self.sure, self.seen = [e & TOP_CONFIDENCE for e in entries], [e >> 3 for e in entries]
+        same = self.seen[0] == self.seen[1]
         kind = (self.sure[1] * (TOP_CONFIDENCE + 1) + self.sure[0]) * 2 + same
         self.mix_at = self.base * self.kinds + kind
-        # Chance of order 2, and of order 1 where order 2 misses; none is ever 0 or 1.
+        # Chance of order 2, and of order 1 where order 2 misses; an order without a count,
+        # or with the same id, has next to none, and none is ever 0 or 1.
         whole = 1 << MIX_BITS
-        self.odds = [c[self.mix_at] for c in self.chance]
-        self.first = (self.odds[0] * (whole - 4) >> 16) + 1
-        self.second = self.first + ((whole - self.first - 2) * self.odds[1] >> 16) + 1
+        self.odds = [c.take(self.mix_at) for c in self.chance]
+        two = self.sure[1] > 0
+        self.useful = [(self.sure[0] > 0) & ~(two & same), two]
+        self.first = (self.odds[0] * (whole - 4) >> 16) * two + 1
+        self.second = self.first + ((whole - self.first - 2) * self.odds[1] >> 16) * self.useful[0] + 1
+        self.step, self.escape = step, np.maximum(self.known, 1)
         if step % REFRESH == 0:
             n = len(self.base)
-            for counts, cum in zip(self.counts, self.cum):
-                known = counts[:n]
-                total = np.maximum(known.sum(axis=1), 1)[:, None]
-                np.cumsum(known * ((1 << BYTE_BITS) - 256) // total + 1, axis=1, out=cum[:n, 1:])
+            for counts, cum in zip(self.seen_bytes, self.cum):
+                seen = counts[:n]
+                total = np.maximum(seen.sum(axis=1), 1)[:, None]
+                np.cumsum(seen * ((1 << BYTE_BITS) - 256) // total + 1, axis=1, out=cum[:n, 1:])
                 cum[:n, 256] = 1 << BYTE_BITS
 
-    def learn(self, ids: np.ndarray, outcome: np.ndarray) -> None:
+    def learn(self, number: np.ndarray, outcome: np.ndarray) -> None:
         two, one = self.odds
-        self.chance[0][self.mix_at] = two + (((outcome == 0) * 65535 - two) >> RATE)
-        fresh = one + (((outcome == 1) * 65535 - one) >> RATE)
-        self.chance[1][self.mix_at] = np.where(outcome == 0, one, fresh)
-        for order in (0, 1):
-            hit = ids == self.seen[order]
-            sure = self.sure[order]
+        hit = outcome == 0
+        self.chance[0][self.mix_at] = two + (hit * 65535 - two >> RATE) * self.useful[1]
+        self.chance[1][self.mix_at] = one + ((outcome == 1) * 65535 - one >> RATE) * (self.useful[0] & ~hit)
+        for seen, sure, table, at in zip(self.seen, self.sure, self.table, self.at):
+            hit = (number == seen) & (sure > 0)
             fresh = np.where(hit, np.minimum(sure + 1, TOP_CONFIDENCE), sure >> 1)
-            swap = ~hit & (fresh == 0)
-            self.trust[order][self.at[order]] = np.where(swap, 1, fresh)
-            self.guess[order][self.at[order]] = np.where(swap, ids, self.seen[order])
-        new = np.flatnonzero(outcome == 2)
-        self.counts[0][new, ids[new] >> 8] += 1
-        self.counts[1][new, ids[new] & 255] += 1
-        self.before = [ids, self.before[0]]
+            table[at] = np.where(fresh > 0, seen * 8 + fresh, number * 8 + 1)
+        self.counts.add(self.base, number)
+        self.known = np.maximum(self.known, number + 1)
+        self.before = [number, self.before[0]]
 
-    def outcome(self, ids: np.ndarray) -> np.ndarray:
-        return np.where(ids == self.seen[1], 0, np.where(ids == self.seen[0], 1, 2))
+    def outcome(self, number: np.ndarray) -> np.ndarray:
+        """0 where order 2 has the id, 1 where only order 1 has it, else 2."""
+        one = self.useful[0] & (number == self.seen[0])
+        return np.where(self.useful[1] & (number == self.seen[1]), 0, np.where(one, 1, 2))
 
     def mix_range(self, outcome: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         start = np.where(outcome == 0, 0, np.where(outcome == 1, self.first, self.second))
         end = np.where(outcome == 0, self.first, np.where(outcome == 1, self.second, 1 << MIX_BITS))
         return start, end - start
 
+    def order0_range(self, block: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The range of known numbers, and of the escape beyond all of them."""
+        start, size = self.counts.range(block, number)
+        new = number >= self.known[block]
+        return np.where(new, self.step, start), np.where(new, self.escape[block], size)
+
+    def byte_places(self, new: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """The bytes to code, the highest first, and the blocks that have them.
+
+        Each pair of bytes begins with a settled range, which is wide enough for both.
+        """
+        return [(k, new[self.widths[new] > k]) for k in reversed(range(len(self.cum)))]
+
 
 def _ready(low: np.ndarray, width: np.ndarray) -> np.ndarray:
     """Blocks whose leading 32 bits are settled; a range too narrow is cut at the word's end."""
@@ -112,66 +176,91 @@ def _ready(low: np.ndarray, width: np.ndarray) -> np.ndarray:
     return np.flatnonzero(settled | tight)
 
 
-def _shifted(ready: np.ndarray, low: np.ndarray, width: np.ndarray) -> np.ndarray:
-    """Move those blocks on by a word, and return those of them that have another one."""
-    some_low, some_width = low[ready] << _WORD, width[ready] << _WORD
-    again = _ready(some_low, some_width)
-    low[ready], width[ready] = some_low, some_width
-    return ready[again]
+def _settle(low: np.ndarray, width: np.ndarray, move, some: np.ndarray | None = None) -> None:
+    """Move blocks with settled words on, among ``some`` of them or all; ``move`` takes the words."""
+    ready = _ready(low, width) if some is None else some[_ready_of(low, width, some)]
+    while len(ready):
+        move(ready)
+        some_low, some_width = low[ready] << _WORD, width[ready] << _WORD
+        again = _ready(some_low, some_width)
+        low[ready], width[ready] = some_low, some_width
+        ready = ready[again]
+
+
+def _ready_of(low: np.ndarray, width: np.ndarray, some: np.ndarray) -> np.ndarray:
+    part = width[some]
+    found = _ready(low[some], part)
+    width[some] = part
+    return found
+
+
+def _narrow(low, width, some, part, start, size) -> None:
+    low[some] += part * start.astype(_U)
+    width[some] = part * size.astype(_U)
 
 
 def _blocks_of(ids: np.ndarray) -> list[int]:
     return [min(BLOCK_IDS, len(ids) - at) for at in range(0, len(ids), BLOCK_IDS)]
 
 
+def _numbered(block: np.ndarray) -> np.ndarray:
+    """Each id as its number in the order of first occurrence."""
+    _, first, inverse = np.unique(block, return_index=True, return_inverse=True)
+    rank = np.empty(len(first), dtype=np.int64)
+    rank[np.argsort(first)] = np.arange(len(first))
+    return rank[inverse]
+
+
 def encode_blocks(ids: np.ndarray) -> list[np.ndarray]:
-    """The 32-bit words of each block of ids."""
+    """The 32-bit words of each block of ids: the bytes that an id takes, two or four, then the code."""
     sizes = _blocks_of(ids)
     if not sizes:
         return []
     if ids.min() < 0 or ids.max() > MAX_ID:
         raise ValueError(f"ids must lie between 0 and {MAX_ID}")
     blocks = len(sizes)
-    table = np.zeros((blocks, BLOCK_IDS), dtype=np.int64)
+    table, numbers = (np.zeros((blocks, BLOCK_IDS), dtype=np.int64) for _ in range(2))
     table.ravel()[: len(ids)] = ids
-    table = np.ascontiguousarray(table.T)
-    words = np.zeros((blocks, 2 * BLOCK_IDS + 4), dtype=np.uint32)
-    place = np.zeros(blocks, dtype=np.int64)
+    for row, block, size in zip(numbers, table, sizes):
+        row[:size] = _numbered(block[:size])
+    widths = np.where(table.max(axis=1) >> 16 > 0, 4, 2)
+    table, numbers = np.ascontiguousarray(table.T), np.ascontiguousarray(numbers.T)
+    words = np.zeros((blocks, 3 * BLOCK_IDS + 8), dtype=np.uint32)
+    words[:, 0] = widths
+    place = np.ones(blocks, dtype=np.int64)
     low, width = np.zeros(blocks, dtype=_U), np.full(blocks, ~_U(0))
-    model = _Model(blocks)
-
-    def narrow_to(lo, wi, start, size, bits, some=None):
-        part = wi >> _U(bits)
-        lo += part * start.astype(_U)
-        wi[:] = part * size.astype(_U)
-
-    def put(ready: np.ndarray, lo: np.ndarray) -> None:
-        words[ready, place[ready]] = (lo[ready] >> _WORD).astype(np.uint32)
-        place[ready] += 1
+    model = _Model(widths)
 
     for step in range(max(sizes)):
         active = blocks if step < sizes[-1] else blocks - 1
         if len(model.base) > active:
             model.narrow(active)
-        now, lo, wi = table[step, :active], low[:active], width[:active]
+        now, number, lo, wi = table[step, :active], numbers[step, :active], low[:active], width[:active]
+
+        def put(ready: np.ndarray) -> None:
+            words[ready, place[ready]] = (lo[ready] >> _WORD).astype(np.uint32)
+            place[ready] += 1
+
         model.look(step)
-        outcome = model.outcome(now)
-        narrow_to(lo, wi, *model.mix_range(outcome), MIX_BITS)
-        new = np.flatnonzero(outcome == 2)
-        if len(new):
-            some_low, some_width = lo[new], wi[new]
-            for cum, byte in zip(model.cum, (now[new] >> 8, now[new] & 255)):
-                start = cum[new, byte]
-                narrow_to(some_low, some_width, start, cum[new, byte + 1] - start, BYTE_BITS)
-            lo[new], wi[new] = some_low, some_width
-        ready = _ready(lo, wi)
-        while len(ready):
-            put(ready, lo)
-            ready = _shifted(ready, lo, wi)
-        model.learn(now, outcome)
+        outcome = model.outcome(number)
+        _narrow(lo, wi, slice(None), wi >> _U(MIX_BITS), *model.mix_range(outcome))
+        rest = np.flatnonzero(outcome == 2)
+        if len(rest):
+            part = wi[rest] // (step + model.escape[rest]).astype(_U)
+            _narrow(lo, wi, rest, part, *model.order0_range(rest, number[rest]))
+            for k, new in model.byte_places(rest[number[rest] >= model.known[rest]]):
+                if k % 2:
+                    _settle(lo, wi, put, new)
+                byte = now[new] >> 8 * k & 255
+                start = model.cum[k][new, byte]
+                _narrow(lo, wi, new, wi[new] >> _U(BYTE_BITS), start, model.cum[k][new, byte + 1] - start)
+                model.seen_bytes[k][new, byte] += 1
+        _settle(lo, wi, put)
+        model.learn(number, outcome)
     every = np.arange(blocks)
     for _ in range(2):
-        put(every, low)
+        words[every, place] = (low >> _WORD).astype(np.uint32)
+        place += 1
         low <<= _WORD
     return [w[:n].copy() for w, n in zip(words, place)]
 
@@ -184,51 +273,59 @@ def decode_blocks(coded: list[np.ndarray], sizes: list[int]) -> np.ndarray:
     words = np.zeros((blocks, longest + 2), dtype=_U)
     for row, block in zip(words, coded):
         row[: len(block)] = block
-    code = (words[:, 0] << _WORD) | words[:, 1]
-    place = np.full(blocks, 2, dtype=np.int64)
+    widths = words[:, 0].astype(np.int64)
+    if not np.isin(widths, (2, 4)).all():
+        raise ValueError("a block of ids is damaged")
+    code = (words[:, 1] << _WORD) | words[:, 2]
+    place = np.full(blocks, 3, dtype=np.int64)
     low, width = np.zeros(blocks, dtype=_U), np.full(blocks, ~_U(0))
     found = np.zeros((max(sizes), blocks), dtype=np.int64)
-    model = _Model(blocks)
-
-    def inside(co, lo, wi, bits):
-        part = wi >> _U(bits)
-        value = (co - lo) // part
-        return part, np.minimum(value, _U((1 << bits) - 1)).astype(np.int64)
+    ids_of = np.zeros((blocks, BLOCK_IDS), dtype=np.int64)
+    model = _Model(widths)
 
     for step in range(max(sizes)):
         active = blocks if step < sizes[-1] else blocks - 1
         if len(model.base) > active:
             model.narrow(active)
         lo, wi, co = low[:active], width[:active], code[:active]
+
+        def take(ready: np.ndarray) -> None:
+            co[ready] = (co[ready] << _WORD) | words[ready, np.minimum(place[ready], longest + 1)]
+            place[ready] += 1
+
+        def inside(some, part: np.ndarray, total: np.ndarray | int) -> np.ndarray:
+            value = (co[some] - lo[some]) // part
+            return np.minimum(value, np.asarray(total - 1).astype(_U)).astype(np.int64)
+
         model.look(step)
-        part, value = inside(co, lo, wi, MIX_BITS)
+        part = wi >> _U(MIX_BITS)
+        value = inside(slice(None), part, 1 << MIX_BITS)
         outcome = np.where(value < model.first, 0, np.where(value < model.second, 1, 2))
-        start, size = model.mix_range(outcome)
-        lo += part * start.astype(_U)
-        wi[:] = part * size.astype(_U)
-        now = np.where(outcome == 0, model.seen[1], model.seen[0])
-        new = np.flatnonzero(outcome == 2)
-        if len(new):
-            some_low, some_width, some_code = lo[new], wi[new], co[new]
-            symbol = np.zeros(len(new), dtype=np.int64)
-            for cum in model.cum:
-                part, value = inside(some_code, some_low, some_width, BYTE_BITS)
-                byte = np.zeros(len(new), dtype=np.int64)
+        _narrow(lo, wi, slice(None), part, *model.mix_range(outcome))
+        number = np.where(outcome == 0, model.seen[1], model.seen[0])
+        rest = np.flatnonzero(outcome == 2)
+        if len(rest):
+            total = step + model.escape[rest]
+            part = wi[rest] // total.astype(_U)
+            value = inside(rest, part, total)
+            new = value >= step
+            number[rest] = model.known[rest]
+            number[rest[~new]] = model.counts.find(rest[~new], value[~new])
+            _narrow(lo, wi, rest, part, *model.order0_range(rest, number[rest]))
+            for k, some in model.byte_places(rest[new]):
+                if k % 2:
+                    _settle(lo, wi, take, some)
+                part = wi[some] >> _U(BYTE_BITS)
+                value, byte = inside(some, part, 1 << BYTE_BITS), np.zeros(len(some), dtype=np.int64)
                 for jump in (128, 64, 32, 16, 8, 4, 2, 1):
-                    byte += jump * (cum[new, byte + jump] <= value)
-                start = cum[new, byte]
-                some_low += part * start.astype(_U)
-                some_width = part * (cum[new, byte + 1] - start).astype(_U)
-                symbol = symbol << 8 | byte
-            lo[new], wi[new] = some_low, some_width
-            now[new] = symbol
-        ready = _ready(lo, wi)
-        while len(ready):
-            co[ready] = (co[ready] << _WORD) | words[ready, np.minimum(place[ready], longest + 1)]
-            place[ready] += 1
-            ready = _shifted(ready, lo, wi)
-        model.learn(now, outcome)
-        found[step, :active] = now
+                    byte += jump * (model.cum[k][some, byte + jump] <= value)
+                start = model.cum[k][some, byte]
+                _narrow(lo, wi, some, part, start, model.cum[k][some, byte + 1] - start)
+                model.seen_bytes[k][some, byte] += 1
+                ids_of[some, model.known[some]] |= byte << 8 * k
+        _settle(lo, wi, take)
+        found[step, :active] = ids_of[model.base, number]
+        model.learn(number, outcome)
     flat = np.ascontiguousarray(found.T).ravel()
     return flat[: sum(sizes)] if max(sizes) == BLOCK_IDS or blocks == 1 else flat
 

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -39,11 +40,54 @@ def test_any_ids_come_back(ids):
 def test_repeating_ids_get_small_and_wrong_ids_are_errors():
     ids = np.tile(np.arange(50), 400)
     assert len(write_segment(one_document(ids), ids)) < len(ids) / 4
-    for bad in ([-1], [65536]):
+    for bad in ([-1], [1 << 32]):
         with pytest.raises(ValueError):
             encode_blocks(np.array(bad))
 
 
+@settings(max_examples=20, deadline=None)
+@given(st.lists(st.one_of(st.integers(0, 300), st.integers(0, (1 << 32) - 1)), max_size=300))
+def test_wide_ids_come_back(ids):
+    ids = np.array(ids, dtype=np.int64)
+    assert decode_blocks(encode_blocks(ids), [len(ids)] if len(ids) else []).tolist() == ids.tolist()
+
+
+def test_narrow_and_wide_blocks_side_by_side():
+    draw = np.random.RandomState(3)
+    ids = np.concatenate([draw.randint(0, 900, BLOCK_IDS), draw.randint(0, 1 << 31, BLOCK_IDS), draw.randint(0, 70_000, 900)])
+    assert read_segment(write_segment(one_document(ids), ids))[1].tolist() == ids.tolist()
+
+
+def order_0_bits(ids):
+    """Adaptive counts of ids, reset with each block; a new id is an escape and 16 plain bits."""
+    bits, counts = 0.0, {}
+    for i, x in enumerate(ids.tolist()):
+        if i % BLOCK_IDS == 0:
+            counts, seen = {}, 0
+        total = seen + max(len(counts), 1)
+        bits += np.log2(total / counts[x]) if x in counts else np.log2(total / max(len(counts), 1)) + 16
+        counts[x] = counts.get(x, 0) + 1
+        seen += 1
+    return bits
+
+
+def test_mixed_orders_need_fewer_bits_than_order_0():
+    texts = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"])["text"].to_pylist()
+    found = Tokenizer.from_file(FILE).encode_batch([t or "" for t in texts], add_special_tokens=False)
+    ids = np.concatenate([np.array(e.ids, dtype=np.int64) for e in found])
+    assert 32 * sum(map(len, encode_blocks(ids))) < 0.99 * order_0_bits(ids) < 10 * len(ids)
+
+
+def test_a_repeated_context_predicts():
+    """A pair that is always followed by the same id costs less than order 0 can know."""
+    draw = np.random.RandomState(5)
+    after = draw.permutation(200)
+    ids = np.empty(BLOCK_IDS, dtype=np.int64)
+    ids[0::2] = draw.randint(0, 200, BLOCK_IDS // 2)
+    ids[1::2] = 200 + after[ids[0::2]]
+    assert 32 * len(encode_blocks(ids)[0]) < 0.8 * order_0_bits(ids)
+
+
 def test_blocks_are_independent_and_damage_is_found():
     draw = np.random.RandomState(1)
     ids = draw.randint(0, 500, 2 * BLOCK_IDS)
