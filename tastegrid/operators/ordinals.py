@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 
 from tastegrid.config import ROWS_PER_TASK
 from tastegrid.functions.hashing import DRAW_BITS, digest, leading_bits
+from tastegrid.operators.skew import small
 from tastegrid.sources.workspace import cut
 
 ROWS_WORTH_A_TASK = 50_000
+FINE_BITS = 16
 BUCKET = "_bucket"
 DIGEST = "_digest"
 
@@ -79,6 +81,69 @@ def hash_ordinal(
     )
 
 
+def fine_counts(
+    df: DataFrame, purpose: str, seed: int, keys: Sequence[str], by: Sequence[str] = ()
+) -> DataFrame:
+    """Rows ``n`` of each fine bucket of a seeded shuffle, in the table or per group; stored.
+
+    Only the key columns are read. There are at most 2^16 rows for each group.
+    """
+    bucket = hash_bucket(digest(purpose, seed, keys), FINE_BITS)
+    marked = df.select(*by, bucket.alias(BUCKET))
+    return cut(marked.groupBy(*by, BUCKET).agg(F.count(F.lit(1)).alias("n")))
+
+
+def rows_at(
+    df: DataFrame,
+    draws: DataFrame,
+    counts: DataFrame,
+    bits: int,
+    purpose: str,
+    seed: int,
+    keys: Sequence[str],
+    by: Sequence[str] = (),
+) -> DataFrame:
+    """``draws`` with the row of ``df`` at their place in a seeded shuffle, as ``_row``.
+
+    A draw has a ``draw_id``, the ``by`` columns, an ``ordinal`` and ``n``, the rows to draw from.
+    ``counts`` are the ``fine_counts`` of the same shuffle. The bucket of a draw is looked up in
+    the small table of buckets. Then rows and draws go to their buckets in one shuffle; there the
+    rows are numbered, and each draw meets the row with its number.
+    """
+    bits = min(bits, FINE_BITS)
+    bucket = F.shiftright(BUCKET, FINE_BITS - bits).alias(BUCKET)
+    coarse = counts.select(*by, bucket, "n").groupBy(*by, BUCKET).agg(F.sum("n").alias("_rows"))
+    whole = Window.partitionBy(*(by or [F.lit(0)]))
+    starts = rows_before(coarse.withColumnRenamed("_rows", "n"), by or [F.lit(0)], [BUCKET])
+    starts = starts.withColumn("_width", _cell_width(F.sum("n").over(whole), bits))
+    # A bucket lies in all cells of ordinals that it touches, about two.
+    first, last = (F.floor(c / F.col("_width")) for c in (F.col("before"), F.col("before") + F.col("n") - 1))
+    cells = starts.select(
+        *by, BUCKET, "before", (F.col("before") + F.col("n")).alias("_end"), F.explode(F.sequence(first, last)).alias("_cell")
+    )
+    cell = F.floor(F.col("ordinal") / _cell_width(F.col("n"), bits)).alias("_cell")
+    dealt = draws.select(*by, "draw_id", "ordinal", cell).join(small(cells), [*by, "_cell"])
+    dealt = dealt.where((F.col("ordinal") >= F.col("before")) & (F.col("ordinal") < F.col("_end"))).select(
+        *by, BUCKET, "draw_id", (F.col("ordinal") - F.col("before")).alias("_place")
+    )
+    mark = digest(purpose, seed, keys)
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
+    rows = df.select(*by, hash_bucket(mark, bits).alias(BUCKET), mark.alias(DIGEST), row)
+    both = rows.unionByName(dealt, allowMissingColumns=True)
+    # Rows come before draws, so the draws take no numbers away.
+    order = [F.col("draw_id").isNotNull(), F.col(DIGEST), *[F.col("_row")[k] for k in keys]]
+    number = F.row_number().over(Window.partitionBy(*by, BUCKET).orderBy(*order)) - 1
+    met = both.withColumn("_place", F.coalesce(F.col("_place"), number.cast("bigint")))
+    same = Window.partitionBy(*by, BUCKET, "_place").orderBy(F.col("draw_id").asc_nulls_first())
+    found = F.first("_row").over(same.rowsBetween(Window.unboundedPreceding, 0))
+    return met.withColumn("_row", found).where("draw_id IS NOT NULL").select(*by, "draw_id", "_row")
+
+
+def _cell_width(rows: Column, bits: int) -> Column:
+    """Ordinals in a cell, if ``rows`` of them are cut into as many cells as there are buckets."""
+    return F.greatest(F.ceil(rows / (1 << bits)), F.lit(1).cast("bigint"))
+
+
 def key_offsets(
     counts: DataFrame, by: str, key: str, rows_per_task: int = ROWS_PER_TASK
 ) -> DataFrame:

@@ -1,17 +1,18 @@
-"""Resampling with replacement, as joins between draws and row numbers."""
+"""Resampling with replacement: draws meet the rows in the buckets these are numbered in."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tastegrid.config import ROWS_PER_TASK, ViewConfig
 from tastegrid.functions.hashing import draw
-from tastegrid.operators.ordinals import hash_ordinal
-from tastegrid.operators.skew import small
-from tastegrid.sources.workspace import cut
+from tastegrid.operators.ordinals import bucket_bits, fine_counts, rows_at
+
+# Draws of one class that are made at a time.
+PIECE = 1 << 16
 
 
 def sample_size(rows: int, percent: float) -> int:
@@ -28,16 +29,20 @@ def resample_percent(
 ) -> DataFrame:
     """Draw a percentage of the rows with replacement, with ``draw_id`` 0, 1, 2, ...
 
-    Each draw picks one ordinal; ordinals are unique, so the join has no heavy key
-    beyond a row that chance picks several times. Every pick reduces 64 hash bits.
+    Each draw picks one place in a seeded shuffle of the rows. The rows are read twice, once for
+    their keys alone, and shuffled once. Every pick reduces 64 hash bits.
     """
-    rows = df.count()
-    size = sample_size(rows, percent)
-    placed = hash_ordinal(df, "place", seed, keys, rows, rows_per_task=rows_per_task)
-    draws = df.sparkSession.range(size).select(
-        F.col("id").alias("draw_id"), _pick(F.lit(rows), seed, [F.col("id")]).alias("ordinal")
+    counts = fine_counts(df, "place", seed, keys)
+    rows = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
+    draws = df.sparkSession.range(sample_size(rows, percent)).select(
+        F.col("id").alias("draw_id"),
+        _pick(F.lit(rows), seed, [F.col("id")]).alias("ordinal"),
+        F.lit(rows).cast("bigint").alias("n"),
     )
-    return draws.join(placed, "ordinal").drop("ordinal")
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    bits = bucket_bits(rows, rows_per_task, tasks)
+    picked = rows_at(df, draws, counts, bits, "place", seed, keys)
+    return picked.select("draw_id", *[F.col("_row")[c].alias(c) for c in df.columns])
 
 
 def _pick(rows: Column, seed: int, keys: list) -> Column:
@@ -66,38 +71,24 @@ def resample_to_smallest(
 ) -> DataFrame:
     """Draw from every class, with replacement, as many rows as the smallest has.
 
-    ``draw_id`` counts the draws of one class. A class may hold most of the table:
-    its rows are numbered bucket by bucket, and the draws of all classes come from
-    one distributed range. Classes are categories, few by nature.
+    ``draw_id`` counts the draws of one class. A class may hold most of the table: its rows lie in
+    many buckets, and its draws are made in pieces. Rows without a class take no part.
     """
-    numbered = F.row_number().over(Window.orderBy(by)) - 1
-    classes = cut(class_sizes(df, by).withColumn("_class", numbered))
-    shape = classes.agg(
-        F.count(F.lit(1)).alias("classes"),
-        F.coalesce(F.min("n"), F.lit(0)).alias("least"),
-        F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
-        F.coalesce(F.max("n"), F.lit(0)).alias("largest"),
-    ).first()
-    least = max(shape["least"], 1)
-    placed = hash_ordinal(
-        df.where(F.col(by).isNotNull()),
-        "place",
-        seed,
-        keys,
-        shape["largest"],
-        by=[by],
-        rows_per_task=rows_per_task,
-    )
-    draws = df.sparkSession.range(shape["classes"] * shape["least"]).select(
-        F.floor(F.col("id") / least).cast("int").alias("_class"),
-        F.pmod(F.col("id"), F.lit(least)).alias("draw_id"),
-    )
-    picked = draws.join(small(classes), "_class").select(
-        by,
-        "draw_id",
-        _pick(F.col("n"), seed, [F.col(by), F.col("draw_id")]).alias("ordinal"),
-    )
-    return picked.join(placed, [by, "ordinal"]).drop("ordinal")
+    known = df.where(F.col(by).isNotNull())
+    counts = fine_counts(known, "place", seed, keys, [by])
+    classes = counts.groupBy(by).agg(F.sum("n").alias("n"))
+    shape = classes.agg(F.min("n").alias("least"), F.max("n").alias("largest")).first()
+    least, largest = shape["least"] or 0, shape["largest"] or 0
+    pieces = classes.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.lit(max(least - 1, 0) // PIECE))))
+    start = F.col("_piece").cast("bigint") * PIECE
+    ids = F.sequence(start, F.least(start + PIECE, F.lit(max(least, 1)).cast("bigint")) - 1)
+    draws = pieces.repartition(by, "_piece").select(by, "n", F.explode(ids).alias("draw_id"))
+    pick = _pick(F.col("n"), seed, [F.col(by), F.col("draw_id")])
+    draws = draws.withColumn("ordinal", pick)
+    bits = bucket_bits(largest, rows_per_task)
+    picked = rows_at(known, draws, counts, bits, "place", seed, keys, [by])
+    rest = [F.col("_row")[c].alias(c) for c in df.columns if c != by]
+    return picked.select(by, "draw_id", *rest)
 
 
 def plot_points(df: DataFrame, keys: Sequence[str], cfg: ViewConfig = ViewConfig()) -> DataFrame:

@@ -114,3 +114,56 @@ def test_picks_are_even_for_very_large_tables(spark):
     low = picks.where(F.col("p") < (1 << 32) % rows).count() / n
     assert abs(low - ((1 << 32) % rows) / rows) < 0.01
     assert picks.agg(F.max("p")).first()[0] < rows
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("by", [None, "category_id"])
+def test_resampling_shuffles_the_rows_once(spark, points, tmp_path, by):
+    """With forced buckets: one scan, and one exchange that carries rows."""
+    points.write.parquet(str(tmp_path / "points"))
+    rows = spark.read.parquet(str(tmp_path / "points"))
+    if by:
+        drawn = resample_to_smallest(rows, by, 1, ["item_id"], 40)
+    else:
+        drawn = resample_percent(rows, 30, 1, ["item_id"], 40)
+    text = plan(drawn)
+    assert text.count("FileScan parquet") == 1
+    assert sum("_row" in line or "_digest" in line for line in text.splitlines() if "Exchange" in line) <= 1
+    # Both windows keep the one partitioning by bucket.
+    above = text[: text.index("Union")]
+    assert above.count("Exchange hashpartitioning") == 1 and "Join" not in above
+    plain = resample_to_smallest(points, by, 1, ["item_id"]) if by else resample_percent(points, 30, 1, ["item_id"])
+    assert bag(drawn) == bag(plain)
+
+
+def test_draws_are_even_over_seeds(spark):
+    """Every row is drawn equally often, whatever its bucket, over many seeds."""
+    rows = spark.range(40).withColumn("k", F.lit(1))
+    drawn = [resample_percent(rows, 100, seed, ["id"], 10).select("id") for seed in range(12)]
+    every = drawn[0]
+    for more in drawn[1:]:
+        every = every.unionByName(more)
+    counts = dict(every.groupBy("id").count().collect())
+    assert sum(counts.values()) == 480
+    chi = sum((counts.get(i, 0) - 12) ** 2 / 12 for i in range(40))
+    assert chi < 80  # 39 degrees of freedom: exceeded by chance once in about 8,000
+
+
+def test_one_class_may_own_nearly_all_rows(spark):
+    rows = spark.range(5000).select("id", F.when(F.col("id") < 30, "few").otherwise("most").alias("kind"))
+    drawn = resample_to_smallest(rows, "kind", 3, ["id"], 100)
+    assert dict(drawn.groupBy("kind").count().collect()) == {"few": 30, "most": 30}
+    assert bag(drawn) == bag(resample_to_smallest(rows.repartition(9), "kind", 3, ["id"]))
+    assert drawn.where("(kind = 'few') <> (id < 30)").count() == 0
+
+
+def test_draws_in_several_pieces(spark, monkeypatch):
+    from tastegrid.operators import sampling
+
+    rows = spark.range(300).select("id", (F.col("id") % 2).alias("kind"))
+    whole = bag(resample_to_smallest(rows, "kind", 1, ["id"]))
+    monkeypatch.setattr(sampling, "PIECE", 7)
+    assert bag(resample_to_smallest(rows, "kind", 1, ["id"])) == whole and sum(whole.values()) == 300
