@@ -6,8 +6,9 @@ from pyspark.ml.recommendation import ALS, ALSModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tastegrid.config import ALS_MIN_BLOCKS, AlsConfig
+from tastegrid.config import ALS_MIN_BLOCKS, AlsConfig, SkewConfig
 from tastegrid.operators.scoring import top_items
+from tastegrid.operators.skew import heavy_keys, salted_join
 from tastegrid.sources.workspace import shared_folder
 
 
@@ -42,9 +43,20 @@ def fit_als(train: DataFrame, cfg: AlsConfig = AlsConfig()) -> ALSModel:
     return als.fit(ratings(train))
 
 
-def predict(model: ALSModel, df: DataFrame) -> DataFrame:
-    """Rows with known user and item, with ``prediction``."""
-    return model.transform(df)
+def predict(model: ALSModel, df: DataFrame, skew: SkewConfig = SkewConfig()) -> DataFrame:
+    """Rows with known user and item, with ``prediction``, the product of their factors.
+
+    Rows of a heavy user or item are spread over several tasks, which get a copy of its factors
+    each; all others are joined as usual. The product is summed in doubles, in one expression. Rows
+    without user or item, or with one that the model does not know, give none.
+    """
+    found = df
+    for key, factors, name in (("user_id", model.userFactors, "_u"), ("item_id", model.itemFactors, "_i")):
+        known = factors.select(F.col("id").alias(key), F.col("features").alias(name))
+        found = salted_join(found, known, "inner", heavy_keys(df, [key], skew))
+    products = F.zip_with("_u", "_i", lambda u, i: u.cast("double") * i)
+    value = F.aggregate(products, F.lit(0.0), lambda total, x: total + x).cast("float")
+    return found.withColumn("prediction", value).drop("_u", "_i").where(~F.isnan("prediction"))
 
 
 def release(model: ALSModel) -> None:

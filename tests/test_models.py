@@ -10,7 +10,7 @@ from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.mllib.evaluation import RankingMetrics
 from pyspark.sql import functions as F
 
-from tastegrid.config import AlsConfig, EvalConfig, GridConfig
+from tastegrid.config import AlsConfig, EvalConfig, GridConfig, SkewConfig
 from tastegrid.operators import als, ranking
 from tastegrid.operators.interactions import rated_pairs
 from tastegrid.operators import scoring
@@ -272,3 +272,29 @@ def test_scoring_tasks_do_not_need_the_package(tmp_path):
     code += "; assert 'tastegrid' not in sys.modules"
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True)
+
+
+@pytest.mark.parametrize("rows_per_task", [50, 1_000_000])
+def test_predictions_equal_the_model_also_for_hot_items(spark, model, rows_per_task):
+    """One item owns half the rows, one user a fifth; some rows have no user, item or factors."""
+    users = [r[0] for r in model.userFactors.select("id").orderBy("id").limit(40).collect()]
+    items = [r[0] for r in model.itemFactors.select("id").orderBy("id").limit(40).collect()]
+    rows = [
+        (users[0] if n % 5 == 0 else users[n % 40], items[0] if n % 2 == 0 else items[n % 39], float(n % 5), n)
+        for n in range(600)
+    ]
+    odd = [(None, items[0], 1.0, 600), (users[0], None, 1.0, 601), (-7, items[0], 1.0, 602), (users[0], -7, 1.0, 603), (None, None, None, 604)]
+    table = spark.createDataFrame(rows + odd + rows[:5], "user_id BIGINT, item_id BIGINT, rating DOUBLE, n INT")
+    skew = SkewConfig(rows_per_task=rows_per_task)
+    found = als.predict(model, table, skew)
+    assert found.columns == [*table.columns, "prediction"] and found.schema["prediction"].dataType.simpleString() == "float"
+    assert als.predict(model, table.limit(0), skew).count() == 0
+
+    def rmse(df):
+        return RegressionEvaluator(labelCol="rating").evaluate(df)
+
+    theirs = model.transform(table.dropna(subset=["user_id", "item_id"]))
+    assert rmse(found) == pytest.approx(rmse(theirs), abs=1e-6)
+    mine, other = (df.orderBy("n", "prediction").select("n", "prediction").collect() for df in (found, theirs))
+    assert [r["n"] for r in mine] == [r["n"] for r in other] and len(mine) == 605
+    assert [r["prediction"] for r in mine] == pytest.approx([r["prediction"] for r in other], abs=1e-5)
