@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 import re
 import sys
+import unicodedata
 import zlib
 from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
@@ -31,7 +32,8 @@ from tastegrid.llm.tokens import give_back, slices
 # The functions below travel to the workers inside the task.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Frequent short words of the four languages of the corpus.
+# Frequent short words of four languages. Texts without any of them may be in another
+# language, so the labeller that looks for them abstains there.
 STOP_WORDS = frozenset(
     "the of and to in a is was for on that with as by at it are be from this "
     "le la les de des et un une du que qui dans pour sur au est par ne pas se "
@@ -45,6 +47,8 @@ SHAPE_BUCKETS = 512
 PADDING = 8
 # Characters whose words a task holds at a time.
 TEXT_CHARS = 8_000_000
+# Signs of plain prose, also in other scripts.
+PROSE_SIGNS = frozenset(".,;:'’\"-()¿?¡" "।॥、。，！？：；「」،؛؟۔·«»“”„‘–—…")
 # Latin capitals, then small letters, then a full stop or comma.
 PLAIN = re.compile("([A-ZÀ-ÖØ-Þ]*)([a-zß-öø-ÿ]*)([.,]?)")
 
@@ -68,12 +72,20 @@ class QualityConfig:
 # ---- what is seen of a word ----
 
 
+def _is_letter(c: str) -> bool:
+    """Letters, and the marks that are written with them."""
+    return c.isalpha() or unicodedata.category(c)[0] == "M"
+
+
 def _shape(word: str) -> str:
-    """Upper-case, lower-case and digit runs as one sign each; other signs at most twice."""
+    """Upper-case, lower-case and digit runs as one sign each; other signs at most twice.
+
+    Letters of scripts without case, and marks, count as lower-case letters.
+    """
     signs = []
     for c in word:
-        kind = "x" if c.islower() else "X" if c.isupper() else "9" if c.isdigit() else "l" if c.isalpha() else c
-        if kind in "xX9l":
+        kind = "X" if c.isupper() else "9" if c.isdigit() else "x" if _is_letter(c) else c
+        if kind in "xX9":
             if signs[-1:] != [kind]:
                 signs.append(kind)
         elif signs[-2:] != [kind, kind]:
@@ -99,9 +111,9 @@ def _word_facts(word: str) -> tuple[int, int, int, int, int, int, int]:
 
 
 def _any_word_facts(word: str) -> tuple[int, int, int, int, int, int, int]:
-    letters = sum(map(str.isalpha, word))
+    letters = sum(map(_is_letter, word))
     capitals = sum(map(str.isupper, word))
-    strange = sum(not c.isalnum() and c not in ".,;:'’\"-()¿?¡" for c in word)
+    strange = sum(not c.isalnum() and not _is_letter(c) and c not in PROSE_SIGNS for c in word)
     end = len(word) - len(word.rstrip("!#$%&*=~^|<>_+"))
     bare = word.strip(".,;:!?\"'()").lower()
     return (
@@ -187,7 +199,7 @@ def votes(seen: Seen) -> np.ndarray:
         _band(sums(2) / letters, 0.15, 0.45),
         np.where(short, ABSTAIN, _band(seen.total(seen.echo) / words, 0.04, 0.20)),
         _band(sums(4) / words, 0.02, 0.20),
-        np.where(short, ABSTAIN, np.where(function >= 0.10, ACCEPT, np.where(function <= 0.03, REJECT, ABSTAIN))),
+        np.where(short | (function == 0), ABSTAIN, np.where(function >= 0.10, ACCEPT, np.where(function <= 0.03, REJECT, ABSTAIN))),
         _band(sums(6) / words, 0.02, 0.10),
         np.where(short, ABSTAIN, _band(1 - np.log(np.maximum(seen.distinct, 1)) / np.log(words + 1), 0.25, 0.35)),
         _band(seen.longest_run, 2, 5),

@@ -1,9 +1,12 @@
 import itertools
+import math
 
 import pyarrow as pa
 import pytest
 
-from tastegrid.llm.quality import ACCEPT, LABELLERS, REJECT, QualityConfig, fit_label_model, judged, keep_good, look, votes
+from tastegrid.llm.quality import (
+    ABSTAIN, ACCEPT, LABELLERS, REJECT, SHAPE_BUCKETS, QualityConfig, _any_word_facts, _word_facts, fit, fit_label_model, judged, keep_good, look, votes,
+)
 from tests.llm.tables import LONG, documents
 
 FOLDER = "/root/testdata/sf0.01"
@@ -63,3 +66,71 @@ def test_odd_rows(spark):
 def test_one_class_only(spark):
     docs = documents(spark, [(i, "The man and the sea of the north is on the way to the town.") for i in range(20)])
     assert keep_good(docs).count() == 20
+
+
+# Clean sentences in languages and scripts that no list of words here knows.
+OTHER = {
+    "hindi": "यह एक साधारण वाक्य है जो हिंदी में लिखा गया है और इसमें कोई गलती नहीं है। आज मौसम अच्छा है, हम बाहर जाएंगे।",
+    "polish": "Wczoraj poszliśmy nad rzekę, ponieważ pogoda była piękna, więc dzieci mogły pływać przez całe popołudnie.",
+    "greek": "Χθες πήγαμε στη θάλασσα επειδή ο καιρός ήταν καλός και τα παιδιά ήθελαν πολύ να κολυμπήσουν μαζί μας.",
+    "arabic": "ذهبنا أمس إلى البحر لأن الطقس كان جميلا، وأراد الأطفال السباحة معنا طوال اليوم حتى غروب الشمس.",
+    "thai": "เมื่อวานนี้ เราไป ทะเล เพราะว่า อากาศดี มาก และ เด็กๆ อยากจะ ว่ายน้ำ ด้วยกัน ทั้งวัน จนถึง เย็น",
+    "japanese": "昨日は天気がとても良かったので、私たちは海へ行きました。子供たちは一日中泳いでいました。",
+}
+
+
+def test_clean_texts_of_other_languages_are_not_rejected(spark):
+    table = votes(look(pa.array(list(OTHER.values()))))
+    assert {k: row.tolist() for k, row in zip(OTHER, table) if (row == REJECT).any()} == {}
+    assert (table[:, LABELLERS.index("function_words")] == ABSTAIN).all()
+    model = fit(spark.read.parquet(f"{FOLDER}/documents.parquet"))
+    rows = model.scores(documents(spark, list(enumerate(OTHER.values())))).collect()
+    assert all(r["score"] >= 0.5 and r["posterior"] > 0.5 for r in rows)
+
+
+def test_both_ways_to_see_a_word_agree():
+    for word in ("The", "and", "end.", "ÉTÉ", "x,", ".", "más", "Ünder.", "AB", "ßa"):
+        assert _word_facts(word) == _any_word_facts(word)
+
+
+def test_scores_equal_a_plain_loop(spark):
+    """Votes, posterior and score of every document of the table, word by word."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text")
+    model = fit(docs)
+
+    def band(share, accept, reject):
+        return ACCEPT if share <= accept else REJECT if share >= reject else ABSTAIN
+
+    def expected(text):
+        words = [w for w in (text or "").translate({c: " " for c in range(9, 14)}).split(" ") if w]
+        if not words:
+            return model.labels.prior, 0.0
+        facts = [_any_word_facts(w) for w in words]
+        n, echo = len(words), sum(a == b for a, b in zip(words, words[1:]))
+        letters, capitals, strange, decorated, function, bare = (sum(f[i] for f in facts) for i in range(1, 7))
+        run = max(len(list(group)) for _, group in itertools.groupby(words))
+        cast = [
+            band(strange / (max(letters, 1) + strange), 0.02, 0.06),
+            band(capitals / max(letters, 1), 0.15, 0.45),
+            ABSTAIN if n < 8 else band(echo / n, 0.04, 0.20),
+            band(decorated / n, 0.02, 0.20),
+            ABSTAIN if n < 8 or not function else ACCEPT if function / n >= 0.10 else REJECT if function / n <= 0.03 else ABSTAIN,
+            band(bare / n, 0.02, 0.10),
+            ABSTAIN if n < 8 else band(1 - math.log(len(set(words))) / math.log(n + 1), 0.25, 0.35),
+            band(run, 2, 5),
+        ]
+        odds = model.labels.prior / (1 - model.labels.prior)
+        for vote, good, bad in zip(cast, model.labels.good, model.labels.bad):
+            if vote == ACCEPT:
+                odds *= good[0] / (good[0] + good[2]) * (bad[0] + bad[2]) / bad[0]
+            elif vote == REJECT:
+                odds *= good[2] / (good[0] + good[2]) * (bad[0] + bad[2]) / bad[2]
+        margin = model.bias + (sum(model.weights[f[0]] for f in facts) + echo * model.weights[SHAPE_BUCKETS - 1]) / (n + 8)
+        return odds / (1 + odds), 1 / (1 + math.exp(-margin))
+
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    rows = model.scores(docs).collect()
+    assert len(rows) == 1000
+    for row in rows:
+        posterior, score = expected(texts[row["doc_id"]])
+        assert row["posterior"] == pytest.approx(posterior, abs=1e-9) and row["score"] == pytest.approx(score, abs=1e-9)
