@@ -74,7 +74,7 @@ class QualityConfig:
 
 def _is_letter(c: str) -> bool:
     """Letters, and the marks that are written with them."""
-    return c.isalpha() or unicodedata.category(c)[0] == "M"
+    return c.isalpha() or c >= "\u0300" and unicodedata.category(c)[0] == "M"
 
 
 def _shape(word: str) -> str:
