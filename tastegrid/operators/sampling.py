@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -9,10 +10,12 @@ from pyspark.sql import functions as F
 
 from tastegrid.config import ROWS_PER_TASK, ViewConfig
 from tastegrid.functions.hashing import draw
-from tastegrid.operators.ordinals import bucket_bits, fine_counts, rows_at
+from tastegrid.operators.ordinals import ROWS_WORTH_A_TASK, bucket_bits, fine_counts, rows_at
 
 # Draws of one class that are made at a time.
 PIECE = 1 << 16
+# Tasks for each core that make draws, if there are as many pieces.
+PIECES_TASKS = 8
 
 
 def sample_size(rows: int, percent: float) -> int:
@@ -48,8 +51,11 @@ def resample_percent(
 def _pick(rows: Column, seed: int, keys: list) -> Column:
     """A draw of 64 bits reduced to ``[0, rows)``; the bias is below rows / 2^64."""
     low, high = draw("pick", seed, keys), draw("pick-high", seed, keys)
+    rows = F.greatest(rows.cast("bigint"), F.lit(1).cast("bigint"))
+    # Below 2^31 rows the product of two remainders fits in 64 bits.
+    short = F.pmod(F.pmod(high, rows) * F.pmod(F.lit(1 << 32), rows) + low, rows)
     wide = high.cast("decimal(38,0)") * F.lit(1 << 32).cast("decimal(38,0)") + low
-    return F.pmod(wide, F.greatest(rows.cast("bigint"), F.lit(1).cast("bigint"))).cast("bigint")
+    return F.when(rows < 1 << 31, short).otherwise(F.pmod(wide, rows).cast("bigint"))
 
 
 def class_sizes(df: DataFrame, by: str) -> DataFrame:
@@ -77,15 +83,18 @@ def resample_to_smallest(
     known = df.where(F.col(by).isNotNull())
     counts = fine_counts(known, "place", seed, keys, [by])
     classes = counts.groupBy(by).agg(F.sum("n").alias("n"))
-    shape = classes.agg(F.min("n").alias("least"), F.max("n").alias("largest")).first()
+    shape = classes.agg(F.min("n").alias("least"), F.max("n").alias("largest"), F.count(F.lit(1)).alias("classes")).first()
     least, largest = shape["least"] or 0, shape["largest"] or 0
+    tasks = df.sparkSession.sparkContext.defaultParallelism
     pieces = classes.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.lit(max(least - 1, 0) // PIECE))))
     start = F.col("_piece").cast("bigint") * PIECE
     ids = F.sequence(start, F.least(start + PIECE, F.lit(max(least, 1)).cast("bigint")) - 1)
-    draws = pieces.repartition(by, "_piece").select(by, "n", F.explode(ids).alias("draw_id"))
+    # The pieces are few and short, the draws made of them are not: a fixed number keeps them apart.
+    spread = max(1, min(shape["classes"] * math.ceil(least / PIECE), PIECES_TASKS * tasks))
+    draws = pieces.repartition(spread, by, "_piece").select(by, "n", F.explode(ids).alias("draw_id"))
     pick = _pick(F.col("n"), seed, [F.col(by), F.col("draw_id")])
     draws = draws.withColumn("ordinal", pick)
-    bits = bucket_bits(largest, rows_per_task)
+    bits = bucket_bits(largest, min(rows_per_task, ROWS_WORTH_A_TASK))
     picked = rows_at(known, draws, counts, bits, "place", seed, keys, [by])
     rest = [F.col("_row")[c].alias(c) for c in df.columns if c != by]
     return picked.select(by, "draw_id", *rest)

@@ -167,3 +167,26 @@ def test_draws_in_several_pieces(spark, monkeypatch):
     whole = bag(resample_to_smallest(rows, "kind", 1, ["id"]))
     monkeypatch.setattr(sampling, "PIECE", 7)
     assert bag(resample_to_smallest(rows, "kind", 1, ["id"])) == whole and sum(whole.values()) == 300
+
+
+def test_draws_are_made_in_several_tasks(spark, monkeypatch):
+    """Pieces are short before the draws are made of them, so nothing may put them together by size."""
+    from tastegrid.operators import sampling
+
+    rows = spark.range(3000).select("id", (F.col("id") % 3).alias("kind"))
+    monkeypatch.setattr(sampling, "PIECE", 50)
+    drawn = resample_to_smallest(rows, "kind", 1, ["id"])
+    exchanges = [line for line in plan(drawn).splitlines() if "Exchange" in line and "_piece" in line]
+    assert exchanges and all("REPARTITION_BY_NUM" in line for line in exchanges)
+    assert drawn.groupBy("kind").count().where("count <> 1000").count() == 0
+
+
+@pytest.mark.parametrize("rows", [1, 7, 3_600_000, (1 << 31) - 1, 1 << 31, 10**12])
+def test_picks_are_remainders_of_64_bits(spark, rows):
+    from tastegrid.functions.hashing import draw
+    from tastegrid.operators.sampling import _pick
+
+    ids = spark.range(200)
+    low, high = draw("pick", 1, ["id"]), draw("pick-high", 1, ["id"])
+    found = ids.select(_pick(F.lit(rows), 1, ["id"]).alias("got"), low.alias("low"), high.alias("high")).collect()
+    assert [r["got"] for r in found] == [((r["high"] << 32) + r["low"]) % rows for r in found]
