@@ -121,3 +121,24 @@ def test_tables_meet_without_exchange_and_go(spark, rows):
         names = list(tables.paths)
         assert all(spark.catalog.tableExists(n) for n in names)
     assert not any(spark.catalog.tableExists(n) for n in names) and tables.paths == {}
+
+
+@pytest.mark.parametrize("mode", ["all_items", "unseen_items", "recs_in_test"])
+def test_candidates_are_the_tested_pairs_of_a_list(spark, mode):
+    """One row for a tested pair, one for the end of a list; other items only move these down."""
+    lists = [(u, [(i, float(-i)) for i in range(100)]) for u in (1, 2, 3)]
+    recs = spark.createDataFrame(
+        lists, "user_id BIGINT, recommendations ARRAY<STRUCT<item_id: BIGINT, rating: DOUBLE>>"
+    )
+    schema = "user_id INT, item_id INT, rating INT"
+    test = spark.createDataFrame([(1, 50, 5), (1, 50, 1), (1, 7, 1), (2, 200, 5), (1, 30, 4)], schema)
+    train = spark.createDataFrame([(1, 3, 5), (1, 30, 5), (1, 3, 1), (2, 0, 1), *[(3, i, 1) for i in range(100)]], schema)
+    found = candidates_from_recs(recs, train, rated_pairs(test), EvalConfig(mode=mode, k=100))
+    rows = {(r["user_id"], r["item_id"], r["start"], r["copies"], r["relevant"]) for r in found.collect()}
+    wanted = {
+        "all_items": {(1, 7, 7, 1, False), (1, 30, 30, 1, True), (1, 50, 50, 1, True)}
+        | {(u, None, 100, 1, False) for u in (1, 2, 3)},
+        "unseen_items": {(1, 7, 6, 1, False), (1, 50, 48, 1, True), (1, None, 98, 1, False), (2, None, 99, 1, False)},
+        "recs_in_test": {(1, 7, 0, 1, False), (1, 30, 1, 1, True), (1, 50, 2, 2, True)},
+    }
+    assert rows == wanted[mode]
