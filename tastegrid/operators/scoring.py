@@ -33,9 +33,9 @@ from tastegrid.sources.workspace import fresh_path
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Bytes that a task may hold for its users: factors as doubles, the k best, and room to merge.
-BLOCK_BYTES = 256 << 20
+BLOCK_BYTES = 64 << 20
 # Upper bound for the score matrix of one step, in numbers.
-SCORES_PER_STEP = 4_000_000
+SCORES_PER_STEP = 1_000_000
 # Bytes of the factors in one file of items, and items that a task reads at a time.
 ITEM_FILE_BYTES = 64 << 20
 ITEMS_PER_STEP = 4_096
@@ -148,6 +148,17 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return np.take_along_axis(scores, chosen, axis=1), np.take_along_axis(ids, chosen, axis=1)
 
 
+def _entering(scores: np.ndarray, enters: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The marked scores of each row with their ids, as wide as the row that has most; others give no room."""
+    number = enters.sum(axis=1)
+    width = int(number.max(initial=0))
+    best, names = np.full((len(scores), width), -np.inf), np.full((len(scores), width), np.iinfo(np.int64).max)
+    row, column = np.nonzero(enters)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(number) - number, number)
+    best[row, place], names[row, place] = scores[row, column], ids[column]
+    return best, names
+
+
 class _Block:
     """Users of one task and their best items so far."""
 
@@ -181,13 +192,17 @@ class _Block:
             rows = users[at : at + step]
             fresh = self.matrix[rows] @ items.T
             if full:
-                # Most users meet no item that enters their list.
-                met = (fresh >= self.scores[rows].min(axis=1)[:, None]).any(axis=1)
-                rows, fresh = rows[met], fresh[met]
+                # Most users meet no item that enters their list, the others few of them.
+                enters = fresh >= self.scores[rows].min(axis=1)[:, None]
+                met = enters.any(axis=1)
+                rows = rows[met]
+                fresh, fresh_ids = _entering(fresh[met], enters[met], item_ids)
+            else:
+                fresh_ids = np.broadcast_to(item_ids, fresh.shape)
             if len(rows):
                 scores[rows], names[rows] = _best(
                     np.concatenate([self.scores[rows], fresh], axis=1),
-                    np.concatenate([self.items[rows], np.broadcast_to(item_ids, fresh.shape)], axis=1),
+                    np.concatenate([self.items[rows], fresh_ids], axis=1),
                     self.k,
                 )
         self.scores, self.items = scores, names

@@ -106,6 +106,26 @@ def test_a_visit_ends_where_no_item_can_enter(whole):
         assert [-s for s, _ in mine] == pytest.approx(scores[u, best], abs=1e-9)
 
 
+def test_only_items_that_enter_are_ranked(monkeypatch):
+    """Once the lists are full, a step ranks the few items that reach them, not all of its items."""
+    rng = np.random.default_rng(9)
+    users, items = rng.normal(size=(50, 4)), rng.normal(size=(6000, 4))
+    block, widths, best = scoring._Block([np.arange(50)], [users], 20), [], scoring._best
+
+    def counted(scores, ids, k):
+        widths.append(scores.shape[1])
+        return best(scores, ids, k)
+
+    monkeypatch.setattr(scoring, "_best", counted)
+    for at in range(0, 6000, 1000):
+        block.add(np.arange(at, at + 1000), items[at : at + 1000])
+    assert widths[0] == 1000 and max(widths[1:]) < 200
+    scores = users @ items.T
+    for u in range(50):
+        wanted = sorted(range(6000), key=lambda i: (-scores[u, i], i))[:20]
+        assert sorted(block.items[u].tolist()) == sorted(wanted)
+
+
 def test_short_files_are_not_opened(spark, monkeypatch):
     monkeypatch.setattr(scoring, "ITEM_FILE_BYTES", 8 * 100)
     rows = [(i, [float(1000 - i), 0.0]) for i in range(1000)] + [(5000, None)]
