@@ -222,3 +222,21 @@ def test_places_are_the_lists_with_one_row_each(spark):
     many = spark.createDataFrame([(1, 7, 0, 25_003)], "user_id INT, item_id INT, start BIGINT, copies BIGINT")
     places = sorted(r["place"] for r in ranking.ordered_places(many).collect())
     assert places == list(range(25_003))
+
+
+def test_lists_are_dealt_by_the_number_of_rows(spark, scored, monkeypatch):
+    """Partitions of the lists hold a bounded number of rows, however few partitions a shuffle has."""
+    from tastegrid.plans import evaluate as plans
+
+    names = ["prediction", "second"]
+    rows = scored.withColumn("second", F.col("item_id") % 5)
+    wanted = sorted(map(tuple, evaluate_points(rows, names, EvalConfig(k=5)).collect()))
+    monkeypatch.setattr(plans, "ROWS_SORTED", 4)
+    placed = plans._points_placed(rows, names, EvalConfig(k=5))
+    known = rows.where("user_id IS NOT NULL").count()
+    text = placed._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in text.splitlines() if "REPARTITION_BY_NUM" in line]
+    number = max(4, -(-2 * known // 4))
+    assert number > 4 and any(f", {number})" in line for line in dealt), text
+    found = sorted(map(tuple, evaluate_points(rows, names, EvalConfig(k=5)).collect()))
+    assert [x for row in found for x in row] == pytest.approx([x for row in wanted for x in row], abs=1e-12)
