@@ -7,11 +7,12 @@ import pyarrow as pa
 import pytest
 from pyspark import cloudpickle
 from pyspark.ml.evaluation import RegressionEvaluator
+from pyspark.ml.recommendation import ALS
 from pyspark.mllib.evaluation import RankingMetrics
 from pyspark.sql import functions as F
 
 from tastegrid.config import AlsConfig, EvalConfig, GridConfig, SkewConfig
-from tastegrid.operators import als, ranking
+from tastegrid.operators import als, als_blocks, ranking
 from tastegrid.operators.interactions import rated_pairs
 from tastegrid.operators import scoring
 from tastegrid.operators.scoring import _reader, _scorer, top_items
@@ -21,6 +22,7 @@ from tastegrid.plans.grid import grid_search
 from tastegrid.plans.split import split_interactions
 from tastegrid.queries import views
 from tastegrid.sources.files import load_model, save_model
+from tastegrid.sources.workspace import shared_folder
 
 FOLDER = "/root/testdata/sf0.001"
 FIT = AlsConfig(rank=4, max_iter=3)
@@ -318,3 +320,90 @@ def test_predictions_equal_the_model_also_for_hot_items(spark, model, rows_per_t
     mine, other = (df.orderBy("n", "prediction").select("n", "prediction").collect() for df in (found, theirs))
     assert [r["n"] for r in mine] == [r["n"] for r in other] and len(mine) == 605
     assert [r["prediction"] for r in mine] == pytest.approx([r["prediction"] for r in other], abs=1e-5)
+
+
+@pytest.mark.parametrize(("rank", "reg"), [(3, 0.1), (60, 0.001)])
+def test_a_fit_equals_spark_ml(spark, parts, rank, reg, monkeypatch):
+    """With fewer and with more factors than ratings, and blocks that hold few ratings each."""
+    monkeypatch.setattr(als_blocks, "BLOCK_VALUES", 300 * rank)
+    train = parts[0].select("user_id", "item_id", "rating").union(parts[0].select("user_id", "item_id", F.lit(1)).limit(50))
+    ours = als.fit_als(train, AlsConfig(rank=rank, reg_param=reg, max_iter=4))
+    theirs = ALS(
+        userCol="user_id", itemCol="item_id", ratingCol="rating", rank=rank, regParam=reg, maxIter=4, seed=1, numUserBlocks=10, numItemBlocks=10
+    ).fit(train)
+    assert ours.rank == rank
+    for mine, other in ((ours.userFactors, theirs.userFactors), (ours.itemFactors, theirs.itemFactors)):
+        assert mine.dtypes == other.dtypes
+        a, b = (dict(df.rdd.map(tuple).collect()) for df in (mine, other))
+        assert a.keys() == b.keys() and len(a) > 100
+        for key in a:
+            assert a[key] == pytest.approx(b[key], abs=1e-3)
+
+
+def test_half_iterations_shuffle_no_factors(spark, parts, monkeypatch):
+    """Ratings are dealt once by each side; each half iteration is a map over stored blocks."""
+    plans, store = [], als_blocks._store
+
+    def seen(df, label):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return store(df, label)
+
+    monkeypatch.setattr(als_blocks, "_store", seen)
+    als.fit_als(parts[0], AlsConfig(rank=2, max_iter=3))
+    assert len(plans) == 7
+    for text in plans[1:]:
+        outside = text.split("InMemoryRelation")[0]
+        assert "Exchange" not in outside and "Repartition" not in outside and "Join" not in outside
+
+
+@pytest.mark.parametrize("counts", [[1, 2, 3, 9, 9, 40], [5], [700, 1, 700]])
+@pytest.mark.parametrize("rank", [4, 20])
+def test_solve_equals_the_equations(counts, rank, monkeypatch):
+    """Short, long and very long ids, which are solved in three ways."""
+    monkeypatch.setattr(als_blocks, "STEP_VALUES", 2_000)
+    rng, counts = np.random.default_rng(2), np.array(counts)
+    near = np.vstack([rng.normal(size=(50, rank)), np.zeros((1, rank))]).astype(np.float32)
+    at, values = rng.integers(0, 50, counts.sum()).astype(np.int32), rng.integers(1, 6, counts.sum()).astype(np.float32)
+    found = als_blocks.solve(counts, at, values, near, 0.05)
+    ends = np.cumsum(counts)
+    for row, n, end in zip(found, counts, ends):
+        x, r = near[at[end - n : end]].astype(float), values[end - n : end]
+        assert row == pytest.approx(np.linalg.solve(x.T @ x + 0.05 * n * np.eye(rank), x.T @ r), abs=1e-4)
+
+
+def test_a_fit_without_files_that_python_reads(parts, model, monkeypatch):
+    """Then the solver of Spark ML does the whole fit."""
+    monkeypatch.setattr(als_blocks, "factor_files", lambda spark, path: None)
+    other = als.fit_als(parts[0], FIT)
+    a, b = (dict(m.itemFactors.rdd.map(tuple).collect()) for m in (model, other))
+    assert a.keys() == b.keys()
+    for key in a:
+        assert a[key] == pytest.approx(b[key], abs=1e-3)
+
+
+@pytest.mark.parametrize("row", [(None, 1, 1.0), (1, None, 1.0), (1, 1 << 40, 1.0), (1, 2, None), (1, 2, float("nan"))])
+def test_a_fit_refuses_what_is_no_rating(spark, row):
+    rows = spark.createDataFrame([(1, 3, 2.0), (2, 3, 2.0), row], "user_id BIGINT, item_id BIGINT, rating DOUBLE")
+    with pytest.raises(Exception, match="must"):
+        als.fit_als(rows, AlsConfig(rank=2, max_iter=1))
+
+
+def test_a_fit_leaves_only_the_factors_of_its_model(spark, parts):
+    """Blocks, and the factors of earlier iterations, are gone; release takes the rest."""
+    folder, stored = shared_folder(spark).removeprefix("file:"), spark.sparkContext._jsc.getPersistentRDDs
+    files, kept = set(os.listdir(folder)), set(stored().keySet().toArray())
+    model = als.fit_als(parts[0], AlsConfig(rank=2, max_iter=2))
+    new = {n for n in os.listdir(folder) if "-rows-" in n or "-factors-" in n} - files
+    assert sorted(n.split("-rows-")[0] for n in new) == ["item", "user"]
+    als.release(model)
+    assert not set(os.listdir(folder)) & new
+    assert not set(stored().keySet().toArray()) - kept
+
+
+def test_solving_tasks_do_not_need_the_package(tmp_path):
+    job = als_blocks._solve_job(als_blocks.FactorFiles("file://", ()), 3, 0.1)
+    (tmp_path / "task").write_bytes(cloudpickle.dumps(job))
+    code = "import pickle, sys; f = pickle.load(open('task', 'rb')); assert list(f(iter([]))) == []"
+    code += "; assert 'tastegrid' not in sys.modules"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True)
