@@ -12,6 +12,7 @@ import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import accumulate
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tastegrid.llm.coder import Pieces, read_segment, write_segment
+from tastegrid.llm.coder import BLOCK_IDS, Pieces, read_segments, write_segments
 from tastegrid.llm.shelf import Shelf
 from tastegrid.llm.tokens import WordEncoder, slices
 
@@ -28,6 +29,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 END_ID = 0
 SEGMENT_IDS = 1024 * 4096
+# Blocks that are coded side by side, of several segments where these are small; one segment may have more.
+TOGETHER = 2048
 SEGMENTS = "part INT, before BIGINT, n_ids BIGINT, data BINARY"
 PARTS = (
     "doc_id BIGINT, part INT, first BIGINT, n_tokens BIGINT, piece_start BIGINT, size BIGINT, crc BIGINT"
@@ -47,39 +50,55 @@ class _Segment:
         self.ids.append(ids)
         self.size += len(ids)
 
-    def data(self) -> bytes:
+    def content(self) -> tuple[Pieces, np.ndarray]:
         columns = (np.array(c, dtype=np.int64) for c in zip(*self.rows))
-        return write_segment(Pieces(*columns), np.concatenate(self.ids))
+        return Pieces(*columns), np.concatenate(self.ids)
+
+
+def _together(sized: Iterator[tuple[int, Any]]) -> Iterator[list]:
+    """Things with so many ids each, in order, in lists of at most ``TOGETHER`` blocks or of one thing."""
+    found, blocks = [], 0
+    for ids, thing in sized:
+        more = -(-ids // BLOCK_IDS)
+        if found and blocks + more > TOGETHER:
+            yield found
+            found, blocks = [], 0
+        found.append(thing)
+        blocks += more
+    if found:
+        yield found
 
 
 def _write_job(tokenizer: str, segment_ids: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, before = WordEncoder(tokenizer), TaskContext.get().partitionId(), 0
-        segment = _Segment([], [])
+        encoder, part = WordEncoder(tokenizer), TaskContext.get().partitionId()
 
-        def closed() -> pa.RecordBatch:
-            nonlocal segment, before
-            row = {"part": part, "before": before, "n_ids": segment.size, "data": segment.data()}
-            before += segment.size
+        def filled() -> Iterator[tuple[int, _Segment]]:
             segment = _Segment([], [])
-            schema = pa.schema([("part", pa.int32()), ("before", pa.int64()), ("n_ids", pa.int64()), ("data", pa.binary())])
-            return pa.RecordBatch.from_pylist([row], schema=schema)
-
-        for batch in batches:
-            docs, texts = batch.column("doc_id").to_pylist(), batch.column("text")
-            for low, high in slices(texts):
-                ids, ends = encoder.encode(texts.slice(low, high - low))
-                for i in range(high - low):
-                    whole = np.append(ids[ends[i] : ends[i + 1]], np.int32(END_ID))
-                    at = 0
-                    while at < len(whole):
-                        piece = whole[at : at + segment_ids - segment.size]
-                        segment.add(docs[low + i], len(whole), at, piece)
-                        at += len(piece)
-                        if segment.size == segment_ids:
-                            yield closed()
-        if segment.size:
-            yield closed()
+            for batch in batches:
+                docs, texts = batch.column("doc_id").to_pylist(), batch.column("text")
+                for low, high in slices(texts):
+                    ids, ends = encoder.encode(texts.slice(low, high - low))
+                    for i in range(high - low):
+                        whole = np.append(ids[ends[i] : ends[i + 1]], np.int32(END_ID))
+                        at = 0
+                        while at < len(whole):
+                            piece = whole[at : at + segment_ids - segment.size]
+                            segment.add(docs[low + i], len(whole), at, piece)
+                            at += len(piece)
+                            if segment.size == segment_ids:
+                                yield segment.size, segment
+                                segment = _Segment([], [])
+            if segment.size:
+                yield segment.size, segment
+
+        schema = pa.schema([("part", pa.int32()), ("before", pa.int64()), ("n_ids", pa.int64()), ("data", pa.binary())])
+        before = 0
+        for segments in _together(filled()):
+            for segment, data in zip(segments, write_segments([s.content() for s in segments])):
+                row = {"part": part, "before": before, "n_ids": segment.size, "data": data}
+                before += segment.size
+                yield pa.RecordBatch.from_pylist([row], schema=schema)
 
     return run
 
@@ -101,9 +120,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, segment_ids: int = SEGMENT
 
 def _read_job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [c.split()[0] for c in PARTS.split(", ")]
-    for batch in batches:
-        for row in batch.to_pylist():
-            pieces, ids = read_segment(row["data"])
+    rows = ((row["n_ids"], row) for batch in batches for row in batch.to_pylist())
+    for several in _together(rows):
+        for row, (pieces, ids) in zip(several, read_segments([row["data"] for row in several])):
             ends = np.concatenate([[0], np.cumsum(pieces.size)])
             raw = memoryview(ids.astype("<u4").tobytes())
             sums = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(ends[:-1], ends[1:])]
@@ -162,7 +181,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """
     segments = spark.read.schema(SEGMENTS).parquet(path)
     # Stored, without the ids: whole and split documents both read them, and nothing is decoded twice.
-    pieces = Shelf(spark).put("pieces", segments.select("part", "before", "data").mapInArrow(_read_job, PARTS))
+    pieces = Shelf(spark).put("pieces", segments.mapInArrow(_read_job, PARTS))
     whole = F.col("size") == F.col("n_tokens")
     one = pieces.where(whole).select("doc_id", "part", "first", "n_tokens", "crc")
     split = _split_documents(segments, pieces.where(~whole))

@@ -5,6 +5,8 @@ tokenizer used here look at the pieces of such a cut one by one, so the ids of t
 together, are the ids of the text. Tests hold this against the plain way.
 
 The words live on in the worker, within a bound, so the next texts and tasks find them there.
+Where a tokenizer keeps the space before a word in its first id, new words are encoded as texts of
+many words and told apart by these ids, since a call for each word takes longer than its ids.
 """
 
 from __future__ import annotations
@@ -30,6 +32,9 @@ TAILS = (".", ",")
 SLICE_CHARS = 16_000_000
 
 
+# New words that are encoded as one text.
+JOINED_WORDS = 100
+
 # Bytes of words and ids that a worker keeps, and what one of them takes besides its letters and ids.
 KEPT_BYTES = 16 << 20
 ENTRY_BYTES = 180
@@ -48,10 +53,11 @@ class WordEncoder:
         home = sys.modules.setdefault(_HOME, types.ModuleType(_HOME)).__dict__
         if path not in home:
             tokenizer = Tokenizer.from_file(path)
-            normalizer = json.loads(tokenizer.to_str()).get("normalizer")
-            home[path] = (tokenizer, '"Lowercase"' in json.dumps(normalizer), {}, [0])
+            settings = json.loads(tokenizer.to_str())
+            folds_case = '"Lowercase"' in json.dumps(settings.get("normalizer"))
+            home[path] = (tokenizer, folds_case, _spaced(settings), {}, [0])
         # The last two change: words with their ids, and the bytes they take.
-        self.tokenizer, self.folds_case, self.known, self.kept = home[path]
+        self.tokenizer, self.folds_case, self.spaced, self.known, self.kept = home[path]
         self.tails = self._plain(list(TAILS))
 
     def _plain(self, pieces: list[str]) -> list[bytes]:
@@ -59,11 +65,29 @@ class WordEncoder:
         found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
         return [array("i", e.ids).tobytes() for e in found]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of words without spaces, each after a space."""
+        if self.spaced is None:
+            return self._plain([" " + w for w in words])
+        # A word that begins or ends with white space, or may hold a special token, goes alone.
+        solid = [w for w in words if w and w == w.strip() and "<|" not in w]
+        texts = [" " + " ".join(solid[i : i + JOINED_WORDS]) for i in range(0, len(solid), JOINED_WORDS)]
+        raw = b"".join(self._plain(texts))
+        places = np.append(np.flatnonzero(self.spaced.take(np.frombuffer(raw, dtype=np.int32))) * 4, len(raw)).tolist()
+        if len(places) != len(solid) + 1:
+            raise ValueError("the tokenizer does not keep one space before each word")
+        if len(solid) == len(words):
+            return [raw[a:b] for a, b in zip(places, places[1:])]
+        found = dict(zip(solid, (raw[a:b] for a, b in zip(places, places[1:]))))
+        others = [w for w in words if w not in found]
+        found.update(zip(others, self._plain([" " + w for w in others])))
+        return [found[w] for w in words]
+
     def _ids_of(self, words: list[str]) -> list[bytes]:
         """The ids of different words; those that find room stay in the worker."""
         known = self.known
         new = [w for w in words if w not in known]
-        fresh = dict(zip(new, self._plain([" " + w for w in new])))
+        fresh = dict(zip(new, self._words(new)))
         ids = [known[w] if w in known else fresh[w] for w in words]
         for word, found in fresh.items():
             if self.kept[0] > KEPT_BYTES:
@@ -79,9 +103,14 @@ class WordEncoder:
         difference to a tokenizer that lowers all text; so many words share their ids.
         """
         tail = np.zeros(len(words), dtype=np.int64)
+        places = np.int64 if pa.types.is_large_string(words.type) else np.int32
+        ends = np.frombuffer(words.buffers()[1], places)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+        signs = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+        long = np.flatnonzero(np.diff(ends) > 1)
+        last, before = signs.take(ends[long + 1] - 1), signs.take(ends[long + 1] - 2) | 32
+        letter = (before >= ord("a")) & (before <= ord("z"))
         for i, sign in enumerate(TAILS):
-            ends = pc.match_substring_regex(words, f"[A-Za-z][{sign}]$")
-            tail[np.asarray(pc.and_(ends, pc.ends_with(words, sign)))] = i + 1
+            tail[long[letter & (last == ord(sign))]] = i + 1
         heads = pc.if_else(pa.array(tail > 0), pc.utf8_slice_codeunits(words, 0, -1), words)
         if self.folds_case:
             # Not so for other letters: composing them first may depend on their case.
@@ -126,6 +155,19 @@ class WordEncoder:
         return flat[shift], upto[np.searchsorted(places, offsets)]
 
 
+def _spaced(settings: dict) -> np.ndarray | None:
+    """Which ids begin with a space, where each word of a text has exactly one such id, the first; else None."""
+    cut = settings.get("pre_tokenizer") or {}
+    plain = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
+    marked = all("<|" in t["content"] for t in settings.get("added_tokens") or [])
+    model = settings["model"]
+    if not plain or not marked or settings.get("normalizer") or model["type"] != "BPE" or model.get("dropout"):
+        return None
+    found = np.zeros(1 + max([*model["vocab"].values(), *(t["id"] for t in settings.get("added_tokens") or [])]), dtype=bool)
+    found[[i for word, i in model["vocab"].items() if word.startswith("\u0120")]] = True
+    return found
+
+
 def _appended(flat: np.ndarray, starts: np.ndarray, ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.fromiter(map(len, ids), np.int64, count=len(ids)) // 4
     more = np.frombuffer(b"".join(ids), dtype=np.int32)

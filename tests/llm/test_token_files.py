@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from tastegrid.llm import coder, tokens
 from tastegrid.llm.coder import BLOCK_IDS, Pieces, decode_blocks, encode_blocks, read_segment, write_segment
 from tastegrid.llm.token_files import crc32_of_both, read, round_trip, write
 from tests.llm.tables import LONG, documents
@@ -174,3 +175,50 @@ def test_words_stay_in_the_worker_within_a_bound(monkeypatch):
     same, places = small.encode(texts)
     assert same.tolist() == ids.tolist() and places.tolist() == ends.tolist()
     assert len(small.known) <= 4
+
+
+def test_the_format_stays():
+    draw = np.random.RandomState(11)
+    ids = np.concatenate([draw.zipf(1.3, 5000) % 50_000, draw.randint(0, 1 << 31, 300)])
+    assert zlib.crc32(b"".join(w.tobytes() for w in encode_blocks(ids))) == 2215621936
+
+
+def test_blocks_of_any_sizes_side_by_side_equal_each_alone():
+    draw = np.random.RandomState(6)
+    sizes = [700, BLOCK_IDS, 1, 64, BLOCK_IDS, 65, 700]
+    parts = [draw.randint(0, (1 << 32) if i == 3 else 900, n) for i, n in enumerate(sizes)]
+    side_by_side = encode_blocks(np.concatenate(parts), sizes)
+    assert [w.tolist() for w in side_by_side] == [encode_blocks(p)[0].tolist() for p in parts]
+    assert decode_blocks(side_by_side, sizes).tolist() == np.concatenate(parts).tolist()
+
+
+def test_segments_of_a_task_are_coded_in_one_call(monkeypatch):
+    draw = np.random.RandomState(7)
+    parts = [(one_document(ids), ids) for ids in (draw.randint(0, 500, n) for n in (900, 0, 2 * BLOCK_IDS + 5))]
+    alone = [write_segment(*p) for p in parts]
+    calls, plain = [], coder.decode_blocks
+    monkeypatch.setattr(coder, "decode_blocks", lambda *a: calls.append(1) or plain(*a))
+    assert coder.write_segments(parts) == alone
+    assert [ids.tolist() for _, ids in coder.read_segments(alone)] == [ids.tolist() for _, ids in parts]
+    assert len(calls) == 1
+    assert coder.write_segments([]) == [] and coder.read_segments([]) == []
+
+
+def test_new_words_are_encoded_many_at_a_time(monkeypatch):
+    import sys
+    import types
+
+    import pyarrow as pa
+
+    monkeypatch.setitem(sys.modules, tokens._HOME, types.ModuleType(tokens._HOME))
+    odd = ["<|endoftext|>", "a<|endoftext|>b", "x\n", "\ty", "in\nside", "\u00a0nb\u00a0", "it's", "'s", "\u0120x", "9,9.", "\u4e2d\u6587", "\x1f", "", "e\u0301"]
+    words = [f"w{i}q{'z' * (i % 7)}" for i in range(500)] + odd
+    encoder, asked = tokens.WordEncoder(FILE), []
+    plain = encoder._plain
+    monkeypatch.setattr(encoder, "_plain", lambda pieces: asked.extend(pieces) or plain(pieces))
+    assert encoder._ids_of(words) == plain([" " + w for w in words])
+    assert len(asked) < 30
+    text = " ".join(words + words[::-1])
+    for kind in (pa.string(), pa.large_string()):
+        found, _ = encoder.encode(pa.array([text], kind))
+        assert found.tolist() == Tokenizer.from_file(FILE).encode(text, add_special_tokens=False).ids
