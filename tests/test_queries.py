@@ -3,10 +3,12 @@
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from tastegrid.config import GridConfig
 from tastegrid.operators.interactions import active_users_sql
 from tastegrid.operators.ranking import top_k_per_user
+from tastegrid.plans.grid import GridResult
 from tastegrid.plans.split import ordinals, user_plan
-from tastegrid.queries import views
+from tastegrid.queries import registry, views
 from tastegrid.queries.oracles import ORACLES
 from tastegrid.queries.registry import QUERIES
 from tests.compare import connect, difference
@@ -46,6 +48,20 @@ def test_model_query_gives_rows(spark, name):
     assert queries()[name](spark, FOLDER).count() > 0
 
 
+def test_the_grid_of_the_metrics_is_whole(spark, monkeypatch):
+    """All fifty points of the default settings, at their rank and iterations."""
+    grids = []
+
+    def noted(train, test, grid, ev):
+        grids.append((grid, ev))
+        return GridResult(spark.range(1), None, None)
+
+    monkeypatch.setattr(registry, "grid_search", noted)
+    queries()["als_grid_metrics"](spark, FOLDER)
+    (grid, ev), = grids
+    assert grid == GridConfig() and len(grid.points()) == 50 and ev.k == 500
+
+
 def test_entry_gives_the_known_metrics(spark):
     assert entry(spark).first()["users"] == 150
     row = queries()["eval_test_rows"](spark, "/root/testdata/sf0.01").first()
