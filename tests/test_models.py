@@ -128,6 +128,27 @@ def test_only_items_that_enter_are_ranked(monkeypatch):
         assert sorted(block.items[u].tolist()) == sorted(wanted)
 
 
+def test_single_precision_loses_no_pair_and_lists_are_ranked_seldom(monkeypatch):
+    """Scores that agree in single precision are told apart, and few steps rank the lists again."""
+    rng = np.random.default_rng(12)
+    users, items = rng.normal(size=(40, 6)), rng.normal(size=(50, 6)).repeat(160, axis=0)
+    items *= 1 + rng.permutation(len(items))[:, None] * 1e-11
+    order, calls, best = rng.permutation(len(items)), [], scoring._best
+    monkeypatch.setattr(scoring, "_best", lambda *a: calls.append(1) or best(*a))
+    block = scoring._Block([np.arange(40)], [users], 100)
+    for at in range(0, len(items), 200):
+        block.add(order[at : at + 200], items[order[at : at + 200]])
+    # Vectors that single precision cannot hold are scored in doubles.
+    block.add(np.array([8000, 8001]), np.array([np.full(6, 1e40), np.full(6, -1e40)]))
+    every = np.vstack([items, np.full((1, 6), 1e40), np.full((1, 6), -1e40)])
+    scores = users @ every.T
+    for u in range(40):
+        wanted = np.argsort(-scores[u], kind="stable")[:100]
+        assert np.sort(-block.scores[u]) == pytest.approx(-scores[u][wanted], rel=1e-14)
+        assert len(set(block.items[u].tolist()) & set(wanted.tolist())) >= 97
+    assert len(calls) < 30
+
+
 def test_short_files_are_not_opened(spark, monkeypatch):
     monkeypatch.setattr(scoring, "ITEM_FILE_BYTES", 8 * 100)
     rows = [(i, [float(1000 - i), 0.0]) for i in range(1000)] + [(5000, None)]
@@ -229,6 +250,39 @@ def test_grid_search_keeps_the_best_model(parts):
         assert tuple(a) == pytest.approx(tuple(b), abs=1e-6)
 
 
+def test_points_of_one_rank_share_their_blocks(parts, monkeypatch):
+    """Ratings are blocked once a rank; the fits equal those that stand alone, and nothing stays."""
+    train, val, _ = parts
+    made, prepare, stored = [], als.prepare, train.sparkSession.sparkContext._jsc.getPersistentRDDs
+    monkeypatch.setattr(als, "prepare", lambda rows, first, rank: made.append(rank) or prepare(rows, first, rank))
+    kept, before = als.Ratings(train), set(stored().keySet().toArray())
+    shared = [als.fit_als(kept, AlsConfig(rank=3, reg_param=reg, max_iter=2)) for reg in (0.1, 0.5)]
+    assert made == [3]
+    als.fit_als(kept, AlsConfig(rank=2, max_iter=2))
+    kept.forget(but={2})
+    assert [key[0] for key in kept._starts] == [2]
+    kept.close()
+    assert not set(stored().keySet().toArray()) - before
+    alone = als.fit_als(train, AlsConfig(rank=3, reg_param=0.5, max_iter=2))
+    a, b = (dict(m.itemFactors.rdd.map(tuple).collect()) for m in (shared[1], alone))
+    assert a.keys() == b.keys() and all(a[key] == pytest.approx(b[key], abs=1e-6) for key in a)
+
+
+def test_only_files_with_wanted_ids_are_opened(tmp_path, monkeypatch):
+    """A block takes its rows out of the files whose ids it needs."""
+    names = [
+        als_blocks._write_factors("file://", str(tmp_path), np.arange(at, at + 10, dtype=np.int32), np.full((10, 2), at))
+        for at in range(0, 100, 10)
+    ]
+    found = [tuple(row.values()) for batch in names for row in batch.to_pylist()]
+    files, opened, read = als_blocks.FactorFiles("file://", *zip(*found)), [], als_blocks._factors
+    monkeypatch.setattr(als_blocks, "_factors", lambda scheme, path: opened.append(path) or read(scheme, path))
+    rows = files.rows(np.array([3, 4, 57], dtype=np.int32), 2)
+    assert rows.tolist() == [[0, 0], [0, 0], [50, 50], [0, 0]] and len(opened) == 2
+    with pytest.raises(ValueError, match="without factors"):
+        files.rows(np.array([3, 100], dtype=np.int32), 2)
+
+
 def test_grid_search_releases_what_lost(spark, parts):
     """Afterwards only the factors of the best model are stored."""
     train, val, _ = parts
